@@ -3,14 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapeloom.llm.common import table
+from tapeloom.llm.language import held_out, language_spans, train
+from tapeloom.llm.license_scan import license_scan
+from tapeloom.llm.media import media_features, to_media
 from tapeloom.llm.near_dup import near_duplicates
+from tapeloom.llm.packing import pack, word_encoder
+from tapeloom.llm.pii import pii_spans
+
+
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(to_media(table(spark, sf_dir, "documents"))).drop("error")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dup,)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()))
+    return language_spans(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    from public_tokenizers import path
+
+    return path(name)
+
+
+def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), lambda: word_encoder(tokenizer_path()))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op3_license_scan, op5_minhash_near_dup, op7_pii, op8_language_id, op10_sum_of_squares_packing)}
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,62 @@
+import hashlib
+import random
+import re
+
+from tapeloom.llm.pii import KINDS, iban, luhn, pii_spans, spans_of
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def base(text):
+    digits = lambda s: "".join(c for c in s if c in "0123456789")
+    out = [(m.start(), 0, m.end(), "email") for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end(), "ip") for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 2, m.end(), "card") for m in CARD.finditer(text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(m.start(), 3, m.end(), "phone") for m in PHONE.finditer(text) if 10 <= len(digits(m[0])) <= 15]
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(out)]
+
+
+def same(text):
+    own = [f"{k}:{s}:{e}" for s, e, k in spans_of(text) if k in KINDS[:4]]
+    assert own == base(text), text
+
+
+def test_query_against_the_patterns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in pii_spans(docs).collect()}
+    hits = 0
+    for r in docs.collect():
+        want, g = base(r.text), got[r.doc_id]
+        assert g.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == [sum(x.startswith(k) for x in want) for k in KINDS[:4]]
+        assert [x for x in g.spans.split(",") if x.split(":")[0] in KINDS[:4]] == want
+        hits += len(want)
+    assert hits > 50
+
+
+def test_random_strings_equal_the_patterns():
+    rng = random.Random(3)
+    for alphabet in ("0123456789.", "01.-  +()", "ab@.-%+1", "4111 -", "a@b.c +12 (3)-4.5é", "@@..aa"):
+        for _ in range(3000):
+            same("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))))
+    for text in ("1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 (555) 201-3333 x", "a@b.c@d.e", "x" * 50 + "@a.b", "256.1.1.1 0001.2.3.4", "9" * 5000 + ".1.1.1"):
+        same(text) if len(text) < 3000 else spans_of(text)
+
+
+def test_added_kinds():
+    text = "See https://user@www.example.org:80/a?b=c, IBAN DE89 3704 0044 0532 0130 00, account no. 12345678; 12 Oak Hill Street."
+    assert [(k, text[s:e]) for s, e, k in spans_of(text)] == [
+        ("url", "https://user@www.example.org:80/a?b=c"), ("email", "user@www.example.org"),
+        ("account", "DE89 3704 0044 0532 0130 00"), ("account", "12345678"), ("street", "12 Oak Hill Street"),
+    ]
+    assert iban("GB82 WEST 1234 5698 7654 32") and not iban("GB82 WEST 1234 5698 7654 33")
+    assert spans_of("on account of the street, a road and 3 drives by Lane") == []
+
+
+def test_odd_rows(spark, odd):
+    rows = pii_spans(odd).collect()
+    assert len(rows) == 10 and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
+    assert pii_spans(odd.limit(0)).count() == 0
