@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -35,6 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fitting(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, a cut table of a few numbers in each row, marked for a broadcast if it has no more than rows; else a shuffle does."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def slices(texts: list[str], limit: int) -> Iterator[slice]:
     """Consecutive slices of texts of about limit characters each, one text at least."""
     start = size = 0

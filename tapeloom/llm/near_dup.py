@@ -7,9 +7,11 @@
    of its (size - need + 1) rarest values: lists of common passages stay out of it.
 3. Candidate pairs pass a size filter and the union-sketch estimate, then the exact Jaccard
    similarity of the full sets decides.
-Long lists never emit all their pairs. First each class is compared with three heads of its
-lists, which joins most of a large group; then only members of different components of a list
-are paired, in blocks.
+Long lists never emit all their pairs. First each class is compared with a few heads of its
+lists, which joins most of a large group. Then only members of lists that still hold different
+components are compared across those, and for them the lists are those of the full sets: every
+class stands in the lists of as many of its rarest shingles as it may lack and one more, and a
+pair passes only where what follows the shared shingle can still make up the similarity.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import cut, slices
+from tapeloom.llm.common import cut, fitting, slices
 from tapeloom.llm.graph import components
 
 U = np.uint64
@@ -139,7 +141,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(texts, width)))], names=["cid", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    found = rows.join(wanted, (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("cid", "text")
+    found = rows.join(fitting(wanted), (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("cid", "text")
     return found.dropDuplicates(["cid"]).mapInArrow(run, "cid long, shingles array<long>")
 
 
@@ -169,7 +171,26 @@ def _prefix(need: int, percent: int, k: int) -> Column:
     return size - least + 1
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 32, miss: float = 1e-9, heads: int = 3, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _cross_pairs(sets: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) among classes(cid, label), of different labels, that may be similar; exact, by the rarest shingles of the full sets."""
+    held = sets.join(classes, "cid").select("cid", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
+    common = held.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1")
+    by_class = Window.partitionBy("cid")
+    held = held.join(common, "v")
+    # shingles of no other class come first, then the rarer ones
+    held = held.withColumn("place", F.col("n") - F.count("*").over(by_class) + F.row_number().over(by_class.orderBy("c", "v")))
+    held = held.where((F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1) & (F.col("lo") != F.col("hi")))
+    blocks = F.ceil(F.col("c") / block).cast("int")
+    side = held.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = side.select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), (F.col("n") - F.col("place")).alias("after"))
+    other = side.select("v", "x", "y", F.col("own").alias("own2"), F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"), F.col("after").alias("after2"))
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    enough = (100 + percent) * (1 + F.least("after", "after2")) >= percent * (F.col("na") + F.col("nb"))
+    once = (F.col("x") == F.col("y")) | (F.col("own") != F.col("own2"))
+    return side.join(other, ["v", "x", "y"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & once & sized & enough).select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 32, miss: float = 1e-9, heads: int = 2, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every row of docs.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
@@ -208,16 +229,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: in
     first = cut(_verified(near, sets, percent))
     labels = cut(wanted.select("cid").join(components(first).withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("label", "cid").alias("label")))
 
-    members = listed.select("v", "c", "cid").join(labels, "cid")
+    members = listed.select("v", "cid").join(labels, "cid")
     mixed = members.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
-    members = cut(members.join(mixed, "v"))
-    blocks = F.ceil(F.col("c") / block).cast("int")
-    side = members.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    side = side.select("v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "label")
-    other = side.select("v", "lo", "hi", F.col("own").alias("own2"), F.col("cid").alias("b"), F.col("label").alias("label2"))
-    cross = side.join(other, ["v", "lo", "hi"]).where((F.col("cid") < F.col("b")) & (F.col("label") != F.col("label2")) & ((F.col("lo") == F.col("hi")) | (F.col("own") != F.col("own2"))))
-    cross = cross.select(F.col("cid").alias("a"), "b").distinct()
-    second = cut(_verified(_estimated(cross, sketches, k, percent, need), sets, percent))
+    open_ = cut(members.join(mixed, "v").select("cid", "label").distinct())
+    cross = _cross_pairs(sets, open_, percent, block)
+    second = cut(_verified(cross, sets, percent))
     if second.head(1):
         joined = second.join(labels.withColumnRenamed("cid", "a").withColumnRenamed("label", "la"), "a").join(labels.withColumnRenamed("cid", "b").withColumnRenamed("label", "lb"), "b")
         merged = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("final"))

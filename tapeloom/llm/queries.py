@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import table
 from tapeloom.llm.language import held_out, language_spans, train
+from tapeloom.llm import line_dedup, mixing
 from tapeloom.llm.license_scan import license_scan
+from tapeloom.llm.line_dedup import dedup_lines
 from tapeloom.llm.media import media_features, to_media
+from tapeloom.llm.mixing import TREE, mix
 from tapeloom.llm.near_dup import near_duplicates
 from tapeloom.llm.packing import pack, word_encoder
 from tapeloom.llm.pii import pii_spans
@@ -18,6 +21,11 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(to_media(table(spark, sf_dir, "documents"))).drop("error")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(table(spark, sf_dir, "documents"), min_sites=10)
+    return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_spans(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), TREE, percent=60, max_epochs=2, seed=7)
+    return mixed.where("_copies > 0").select("doc_id", "domain", "lang", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_copies").alias("copies"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     from public_tokenizers import path
 
@@ -46,5 +59,5 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), lambda: word_encoder(tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op3_license_scan, op5_minhash_near_dup, op7_pii, op8_language_id, op10_sum_of_squares_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_license_scan, op5_minhash_near_dup, op7_pii, op8_language_id, op9_mixing, op10_sum_of_squares_packing)}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
