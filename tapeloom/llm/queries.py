@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.llm import line_dedup, mixing, tool_calls
+from tapeloom.llm.bm25 import search
 from tapeloom.llm.common import table
 from tapeloom.llm.language import held_out, language_spans, train
-from tapeloom.llm import line_dedup, mixing
 from tapeloom.llm.license_scan import license_scan
 from tapeloom.llm.line_dedup import dedup_lines
 from tapeloom.llm.media import media_features, to_media
@@ -15,6 +16,7 @@ from tapeloom.llm.mixing import TREE, mix
 from tapeloom.llm.near_dup import near_duplicates
 from tapeloom.llm.packing import pack, word_encoder
 from tapeloom.llm.pii import pii_spans
+from tapeloom.llm.tool_calls import SCHEMAS, calls_of, link_calls
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +32,20 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_calls(*calls_of(table(spark, sf_dir, "conversations")), SCHEMAS)
+    return linked.withColumn("layer", F.coalesce("layer", F.lit(-1)))
+
+
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_hash")
 
 
+def op6_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 50 = 0"), k=10)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents")).drop("found")
 
@@ -59,5 +71,5 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), lambda: word_encoder(tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_license_scan, op5_minhash_near_dup, op7_pii, op8_language_id, op9_mixing, op10_sum_of_squares_packing)}
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_license_scan, op4_tool_calls, op5_minhash_near_dup, op6_bm25_top_k, op7_pii, op8_language_id, op9_mixing, op10_sum_of_squares_packing)}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op4_tool_calls": tool_calls.ORACLE, "op9_mixing": mixing.ORACLE}

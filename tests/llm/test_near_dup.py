@@ -1,3 +1,4 @@
+import random
 import re
 
 from tapeloom.llm.near_dup import near_duplicates, needed
@@ -64,6 +65,22 @@ def test_chains_and_long_lists_in_blocks(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, heads=1, block=4)
 
 
+def test_group_of_many_edits_in_blocks(spark):
+    rng = random.Random(4)
+    rows = []
+    for g in range(3):
+        base = [f"b{g}_{i}" for i in range(90)]
+        for i in range(60):
+            words = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2, 3, 5, 9))):
+                words[rng.randrange(90)] = f"e{rng.randrange(400)}"
+            rows.append((1000 * g + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for more in ({}, {"heads": 1, "block": 7, "k": 16}):
+        want = check(docs, 3, 85, **more)
+        assert 10 < len({c for _, c in want.values()}) < 150
+
+
 def test_odd_rows(spark, odd):
     got = near_duplicates(odd, width=5, percent=80).collect()
     assert len(got) == 10
