@@ -168,8 +168,8 @@ def _label(texts: list[str], model: Model, penalty: float) -> tuple[list[str], l
     return labels, shares, spans
 
 
-def language_spans(docs: DataFrame, model: Model, *, penalty: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, spans, text_hash for every row.
+def language_spans(docs: DataFrame, model: Model, *, penalty: float = 12.0, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score, spans for every row; with whole all columns of docs, and these as _lang_pred, _score, _spans.
 
     spans are runs of words (letters only, from 0, end exclusive) of one language; lang_pred has
     the largest share of the text's letters, and score is that share. Ties go to the language first
@@ -177,18 +177,24 @@ def language_spans(docs: DataFrame, model: Model, *, penalty: float = 12.0, id_c
     every text under a model of no language. Repeated rows are labelled alike; further columns,
     also one named lang, are not read. The whole text counts, however long it is.
     """
+    rows = docs if whole else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    at = rows.columns.index(text_col if whole else "text")
+    kept = [f for i, f in enumerate(rows.schema) if whole or i != at]
+    lead = "_" if whole else ""
+    names = [*(f"c{i}" for i in range(len(kept))), "lang_pred", "score", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
-            texts = batch.column(2).fill_null("").to_pylist()
+            texts = batch.column(at).fill_null("").to_pylist()
+            columns = [c for i, c in enumerate(batch.columns) if whole or i != at]
             for part in slices(texts, 1 << 23):
                 labels, shares, spans = _label(texts[part], model, penalty)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.array(labels), pa.array(shares, pa.float64()), pa.array(spans, span)], names=["doc_id", "text_hash", "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*(c[part] for c in columns), pa.array(labels), pa.array(shares, pa.float64()), pa.array(spans, span)], names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, lang_pred string, score double, spans array<struct<first_word:long,end_word:long,lang:string>>")
+    shape = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=False))
+    found = rows.mapInArrow(run, f"{shape}, lang_pred string, score double, spans array<struct<first_word:long,end_word:long,lang:string>>")
+    return found.toDF(*[f.name for f in kept], *[lead + n for n in names[-3:]])
 
 
 def held_out(id_col: str = "doc_id"):

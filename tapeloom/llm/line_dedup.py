@@ -54,7 +54,7 @@ def dedup_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "sou
     drop = cut(lines.join(fitting(found), "line_key").groupBy("_text_key").agg(F.collect_set("line_key").alias("_drop")))
     split = F.split(F.col(text_col), "\n")
     kept = F.filter(split, lambda x: ~F.array_contains(F.col("_drop"), _key(x)) | (F.btrim(x, F.lit(BLANK)) == ""))
-    joined = docs.withColumn("_text_key", F.xxhash64(text_col)).join(drop, "_text_key", "left")
+    joined = docs.withColumn("_text_key", F.xxhash64(text_col)).join(fitting(drop), "_text_key", "left")
     joined = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), split).otherwise(kept))
     joined = joined.withColumn("_n_lines", F.coalesce(F.size(split), F.lit(0))).withColumn("_n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_n_lines")).cast("long"))
     joined = joined.withColumn("_n_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_n_lines") - F.size("_kept")).cast("long"))

@@ -183,6 +183,7 @@ def _cross_pairs(sets: DataFrame, classes: DataFrame, percent: int, block: int)
     blocks = F.ceil(F.col("c") / block).cast("int")
     side = held.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = side.select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), (F.col("n") - F.col("place")).alias("after"))
+    side = cut(side)
     other = side.select("v", "x", "y", F.col("own").alias("own2"), F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"), F.col("after").alias("after2"))
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     enough = (100 + percent) * (1 + F.least("after", "after2")) >= percent * (F.col("na") + F.col("nb"))
@@ -222,8 +223,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: in
     sketches = cut(classes.join(met, "cid").select("cid", "n", "sketch"))
     sets = cut(_full_sets(docs, wanted, width, id_col, text_col))
 
-    star = listed.select(F.col("cid").alias("a"), F.explode(F.array(*[f"h{j}" for j in range(heads)])).alias("b")).where("a <> b").distinct()
-    near = _estimated(star, sketches, k, percent, need)
+    star = listed.select(F.col("cid").alias("a"), F.explode(F.array(*[f"h{j}" for j in range(heads)])).alias("b")).where("a <> b")
+    most = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+    star = star.groupBy("a", "b").agg(F.count("*").alias("shared")).withColumn("place", F.row_number().over(most)).where(F.col("place") <= 2 * heads)
+    near = _estimated(star.select("a", "b"), sketches, k, percent, need)
     best = Window.partitionBy("a").orderBy(F.desc("est"), "b")
     near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= heads).select("a", "b")
     first = cut(_verified(near, sets, percent))
