@@ -206,13 +206,12 @@ def redact_terms(spark, d):
 
 
 def redact_hits(spark, d):
-    found = redaction_hits(personal(spark, d), level="heavy").select("doc_id", F.explode("hits").alias("h"))
-    return found.select("doc_id", F.col("h.pass_no").alias("pass_no"), F.col("h.label").alias("label"), F.col("h.match").alias("match"), F.col("h.start").alias("start"), F.col("h.end").alias("end"))
+    return redaction_hits(personal(spark, d), level="heavy").select("doc_id", F.inline("hits")).select("doc_id", "pass_no", "label", "match", "start", "end")
 
 
 def redaction_counts(spark, d):
-    found = redaction_hits(table(spark, d, "documents"), level="standard").select(F.explode("hits.label").alias("label"))
-    return found.groupBy("label").agg(F.count("*").alias("n"))
+    # inline() takes the array once; fields of an exploded struct would each be computed from the text anew
+    return redaction_hits(table(spark, d, "documents"), level="standard").select(F.inline("hits")).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def report(spark, d):
