@@ -9,7 +9,7 @@ end fill each other up, and the last one is cut where powers of two need no padd
 
 from __future__ import annotations
 
-import struct
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,36 +20,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tapeloom.llm.common import slices
+
 END = 2
+#: What keeps full stops and commas from being split off: other marks, and marks in a row.
+MARKS = re.compile(r"[^\w\s.,]|_|[.,][.,]")
 Encode = Callable[[list[str]], Iterator[np.ndarray]]
 
 
-def word_encoder(path: str, *, cached: int = 400_000) -> Encode:
+#: What a worker keeps for its next tasks: by file the tokenizer and its words' ids.
+_kept: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
+
+
+def word_encoder(path: str, *, cached: int = 1_000_000) -> Encode:
     """Encodes whole texts with a tokenizer that drops white space and never joins words.
 
     As its ids of a text are those of its blank-separated words one after the other, each distinct
-    word is encoded once and kept, cached words at most. A text that holds one of the tokenizer's
-    added tokens is encoded whole.
+    word is encoded once and kept, cached words at most. It takes A-Z as a-z and ends a token where a
+    mark follows a letter or digit, so where full stops and commas stand alone and are the only marks
+    they count as words of their own. A text that holds one of the tokenizer's added tokens is encoded whole.
     """
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, cache = _kept.setdefault(path, (Tokenizer.from_file(path), {}) if path not in _kept else _kept[path])
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    cache: dict[str, bytes] = {}
+
+    def words_of(text: str) -> list[str]:
+        text = text.encode("utf-8", "replace").lower().decode()
+        if not MARKS.search(text):
+            text = text.replace(",", " ,").replace(".", " .")
+        return text.replace("\n", " ").split(" ")
 
     def encode(texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if any(a in text for a in added):
-                yield np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            words = text.replace("\n", " ").split(" ")
-            new = [w for w in set(words) if w not in cache]
-            if len(cache) + len(new) > cached:
-                cache.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, x in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    cache[w] = struct.pack(f"<{len(x.ids)}I", *x.ids)
-            yield np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32)
+        split = [None if any(a in t for a in added) else words_of(t) for t in texts]
+        every = {w for words in split if words for w in words}
+        new = [w for w in every if w not in cache]
+        if len(cache) + len(new) > cached:
+            cache.clear()
+            new = list(every)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for w, x in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                cache[w] = np.array(x.ids, "<u4").tobytes()
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                yield np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            else:
+                yield np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4")
 
     return encode
 
@@ -178,9 +193,9 @@ def pack(docs: DataFrame, make_encoder: Callable[[], Encode], *, window: int = 4
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            texts = (t.as_py() or "" for t in batch.column(1))
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                for ids in encode([text]):
+            docs_of, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
+            for part in slices(texts, 1 << 20):
+                for doc, ids in zip(docs_of[part], encode(texts[part]), strict=True):
                     whole = np.append(ids, np.uint32(end_id))
                     for pieces in packer.place(doc, whole, len(whole)):
                         note(pieces)
