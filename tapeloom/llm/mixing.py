@@ -9,6 +9,8 @@ many tokens as remain, in the order of a seeded hash.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,12 +66,15 @@ def mix(docs: DataFrame, levels: list[Level], *, percent: int, max_epochs: int =
     rows = cut(docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), *own, tokens.alias("_n")))
 
     leaves = rows.groupBy(*leaf).agg(F.sum("_n").alias("held"))
+    # what stands below a node of no weight can't be used, so it is no capacity of the nodes above
+    usable = [F.coalesce(F.expr(x.weight).cast("double"), F.lit(0.0)) > 0 for x in levels]
+    leaves = leaves.select("*", *[F.col(c).alias(n) for c, n in zip(leaf, names, strict=True)]).withColumn("usable", F.when(reduce(and_, usable), F.col("held")).otherwise(0)).drop(*names)
     nodes = leaves.withColumn("budget", F.floor(F.sum("held").over(Window.partitionBy()) * percent / 100).cast("double"))
     for i, x in enumerate(levels):
         path, above = leaf[: i + 1], leaf[:i]
         weight = F.expr(x.weight)
         named = nodes.select("*", *[F.col(c).alias(n) for c, n in zip(leaf, names, strict=True)]).withColumn("weight", weight).drop(*names)
-        level = named.groupBy(*path).agg(F.sum(F.col("held") * max_epochs).alias("capacity"), F.first("weight").alias("weight"), F.first("budget").alias("budget"))
+        level = named.groupBy(*path).agg(F.sum(F.col("usable") * max_epochs).alias("capacity"), F.first("weight").alias("weight"), F.first("budget").alias("budget"))
         nodes = nodes.drop("budget").join(_filled(level, above, path[-1]).select(*path, "budget"), path)
     whole = F.floor(F.col("budget") + 1e-6).cast("long")
     plan = cut(nodes.select(*leaf, whole.alias("budget"), F.coalesce(F.try_divide(whole, F.col("held")), F.lit(0.0)).cast("long").alias("full"), "held"))
