@@ -188,7 +188,7 @@ def language_spans(docs: DataFrame, model: Model, *, penalty: float = 12.0, id_c
         for batch in batches:
             texts = batch.column(at).fill_null("").to_pylist()
             columns = [c for i, c in enumerate(batch.columns) if whole or i != at]
-            for part in slices(texts, 1 << 23):
+            for part in slices(texts, 1 << 22):
                 labels, shares, spans = _label(texts[part], model, penalty)
                 yield pa.RecordBatch.from_arrays([*(c[part] for c in columns), pa.array(labels), pa.array(shares, pa.float64()), pa.array(spans, span)], names=names)
 
