@@ -8,6 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,5 +56,21 @@ def slices(texts: list[str], limit: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches in consecutive parts of about limit bytes of text, one row at least, with the texts of a column (null: empty).
+
+    Only a part's texts are Python objects at a time, so that a worker's memory does not grow with a batch.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            part = batch.slice(start, end - start)
+            yield part, part.column(column).fill_null("").to_pylist()
+            start = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import slices
+from tapeloom.llm.common import parts
 
 BUCKETS = 1 << 15
 SEGMENT = 1 << 20
@@ -185,12 +185,10 @@ def language_spans(docs: DataFrame, model: Model, *, penalty: float = 12.0, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())]))
-        for batch in batches:
-            texts = batch.column(at).fill_null("").to_pylist()
+        for batch, texts in parts(batches, at, 1 << 22):
+            labels, shares, spans = _label(texts, model, penalty)
             columns = [c for i, c in enumerate(batch.columns) if whole or i != at]
-            for part in slices(texts, 1 << 22):
-                labels, shares, spans = _label(texts[part], model, penalty)
-                yield pa.RecordBatch.from_arrays([*(c[part] for c in columns), pa.array(labels), pa.array(shares, pa.float64()), pa.array(spans, span)], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(labels), pa.array(shares, pa.float64()), pa.array(spans, span)], names=names)
 
     shape = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=False))
     found = rows.mapInArrow(run, f"{shape}, lang_pred string, score double, spans array<struct<first_word:long,end_word:long,lang:string>>")

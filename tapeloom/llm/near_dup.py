@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import cut, fitting, slices
+from tapeloom.llm.common import cut, fitting, parts, slices
 from tapeloom.llm.graph import components
 
 U = np.uint64
@@ -118,8 +118,7 @@ def marks(docs: DataFrame, width: int, k: int, id_col: str, text_col: str) -> Da
     """One row per document: doc_id, text_hash, key (digest of its shingle set; null if empty), n_shingles, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).fill_null("").to_pylist()
+        for batch, texts in parts(batches, 2, 4 * SEGMENT):
             keys, sizes, sketches = [], [], []
             for found in shingle_sets(texts, width):
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
@@ -136,8 +135,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
     """(cid, shingles) with the whole shingle set of each class in wanted(cid, doc_id, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).fill_null("").to_pylist()
+        for batch, texts in parts(batches, 1, 4 * SEGMENT):
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(texts, width)))], names=["cid", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))

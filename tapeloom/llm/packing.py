@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tapeloom.llm.common import slices
+from tapeloom.llm.common import parts
 
 END = 2
 #: What keeps full stops and commas from being split off: other marks, and marks in a row.
@@ -191,14 +191,12 @@ def pack(docs: DataFrame, make_encoder: Callable[[], Encode], *, window: int = 4
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", *(c.split(" ")[0] for c in COLUMNS.split(", "))])
 
         kind = None
-        for batch in batches:
+        for batch, texts in parts(batches, 1, 1 << 20):
             kind = batch.schema.field(0).type
-            docs_of, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
-            for part in slices(texts, 1 << 20):
-                for doc, ids in zip(docs_of[part], encode(texts[part]), strict=True):
-                    whole = np.append(ids, np.uint32(end_id))
-                    for pieces in packer.place(doc, whole, len(whole)):
-                        note(pieces)
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                whole = np.append(ids, np.uint32(end_id))
+                for pieces in packer.place(doc, whole, len(whole)):
+                    note(pieces)
             if rows:
                 yield flush()
         for pieces in packer.close():
