@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import parts
 
 BUCKETS = 1 << 15
-SEGMENT = 1 << 20
+SEGMENT = 1 << 17
 #: First code points of scripts and of what lies between them: fixed values.
 SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB10, "other"), (0x20000, "han"), (0x32000, "other"))
 NAMES = sorted({n for _, n in SCRIPTS})

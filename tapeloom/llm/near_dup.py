@@ -32,7 +32,7 @@ from tapeloom.llm.graph import components
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
-SEGMENT = 1 << 20
+SEGMENT = 1 << 17
 #: Bytes as they count: A-Z in lower case, all white space one byte.
 FOLD = bytes(32 if b in b" \t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -118,7 +118,7 @@ def marks(docs: DataFrame, width: int, k: int, id_col: str, text_col: str) -> Da
     """One row per document: doc_id, text_hash, key (digest of its shingle set; null if empty), n_shingles, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, 2, 4 * SEGMENT):
+        for batch, texts in parts(batches, 2, 1 << 22):
             keys, sizes, sketches = [], [], []
             for found in shingle_sets(texts, width):
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
@@ -135,7 +135,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
     """(cid, shingles) with the whole shingle set of each class in wanted(cid, doc_id, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, 1, 4 * SEGMENT):
+        for batch, texts in parts(batches, 1, 1 << 22):
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(texts, width)))], names=["cid", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
