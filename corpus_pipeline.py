@@ -32,8 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without short lines that stand on ten sites or more; longer passages are left to the next stage, which judges texts whole."""
-    cleaned = dedup_lines(docs, min_sites=10, max_chars=200)
+    """Texts without lines of any length that stand on ten sites and in ten distinct texts or more."""
+    cleaned = dedup_lines(docs, min_sites=10)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

@@ -74,6 +74,16 @@ def test_lines(stages):
     assert rows_of(after) == sorted(((r.doc_id, t, r.lang, r.source, len(t)) for r, t in zip(rows, texts, strict=True)), key=repr)
 
 
+def test_long_lines_go_too(spark, sf):
+    passage = " ".join(f"passage{i}" for i in range(60))
+    rows = [(i, f"own words of text {i}\n{passage}\nend {i}", "en", f"site{i}", 0) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(i, t := f"own words of text {i}\nend {i}", "en", f"site{i}", len(t)) for i in range(10)]
+    assert len(passage) > 200 and rows_of(pipeline.line_dedup(spark, docs, sf)) == want
+    nine = docs.where("doc_id < 9")
+    assert [r[1] for r in rows_of(pipeline.line_dedup(spark, nine, sf))] == [r[1] for r in rows[:9]]
+
+
 def test_one_of_each_group_stays(stages):
     before, after = stages["near_dedup"]
     rows = before.collect()
