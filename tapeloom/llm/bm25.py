@@ -1,9 +1,10 @@
-"""Exact top-k by BM25 over an inverted index with block-max WAND pruning.
+"""Exact top-k by BM25 over an inverted index that each task makes of its own rows.
 
-The index is a table of posting blocks: shard, term, up to 128 documents and their counts, and the
-block's largest impact. Shards are runs of rows, and impacts use the statistics of all rows,
-so shards' results merge exactly. Blocks meet the queries by a join on the term; a task takes
-one shard and one set of queries, and prunes with block maxima.
+A shard is a run of rows; its index stays in the task's memory. Impacts use the statistics of all
+rows, so shards' results merge exactly. A set of queries at a time is broadcast and meets every
+shard where it is, so neither texts nor postings are shuffled or written. Queries of few words are
+pruned by block-max WAND; those of whole texts are scored in full, the words of a quarter of a
+shard's rows or more by a product of matrices and the others by their postings.
 
 Impacts are whole numbers (2**-24 each), so sums don't depend on their order and ties are ties.
 """
@@ -16,14 +17,12 @@ from collections.abc import Iterator
 from heapq import heappush, heapreplace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import cut, fitting, slices
+from tapeloom.llm.common import cut, slices
 from tapeloom.llm.license_scan import FOLD
 from tapeloom.llm.near_dup import word_hashes
 
@@ -31,6 +30,8 @@ BLOCK = 128
 #: characters in a shard
 SHARD = 1 << 24
 SCALE = 1 << 24
+#: scores and postings that a task holds for the queries of a chunk
+CELLS = 1 << 20
 K1, B = 1.2, 0.75
 NEVER = (1 << 63) - 1
 
@@ -55,45 +56,32 @@ def _statistics(docs: DataFrame) -> tuple[int, float]:
     return n or 0, (words or 0) / max(1, n or 0)
 
 
-def _blocks(ids: list[int], texts: list[str | None], mean: float) -> dict[str, np.ndarray]:
-    """Posting blocks of one shard: bounds of the blocks among its postings, and the postings' columns, by term and then id."""
-    order = np.argsort(np.array(ids, np.int64), kind="stable")
-    folded = [(texts[i] or "").encode("utf-8", "replace").translate(FOLD) for i in order]
+def _postings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, rows, counts, lengths) of the words of texts, by term and then row; a row is a place in texts."""
+    folded = [t.encode("utf-8", "replace").translate(FOLD) for t in texts]
     terms, at = word_hashes(b" ".join(folded))
-    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in folded]), at, "right").astype(np.int32)
-    lengths = np.bincount(doc, minlength=len(folded))
+    rows = np.searchsorted(np.cumsum([len(t) + 1 for t in folded]), at, "right").astype(np.int32)
+    lengths = np.bincount(rows, minlength=len(folded))
     terms = terms.view(np.int64)
-    by = np.lexsort((doc, terms))
-    terms, doc = terms[by], doc[by]
-    starts = np.flatnonzero(np.concatenate(([len(terms) > 0], (terms[1:] != terms[:-1]) | (doc[1:] != doc[:-1]))))
+    by = np.lexsort((rows, terms))
+    terms, rows = terms[by], rows[by]
+    starts = np.flatnonzero(np.concatenate(([len(terms) > 0], (terms[1:] != terms[:-1]) | (rows[1:] != rows[:-1]))))
     counts = np.diff(np.append(starts, len(terms)))
-    terms, doc = terms[starts], doc[starts]
-    first = np.flatnonzero(np.concatenate(([len(terms) > 0], terms[1:] != terms[:-1])))
-    place = np.arange(len(terms)) - np.repeat(first, np.diff(np.append(first, len(terms))))
-    begins = np.flatnonzero(place % BLOCK == 0)
-    sizes = lengths[doc]
-    impacts = impact(counts, sizes, mean)
-    top = np.maximum.reduceat(impacts, begins) if len(begins) else np.zeros(0)
-    return {"bounds": np.append(begins, len(terms)).astype(np.int32), "terms": terms[begins], "docs": np.array(ids, np.int64)[order][doc], "counts": counts.astype(np.int32), "lengths": sizes.astype(np.int32), "top": top}
+    terms, rows = terms[starts], rows[starts]
+    return terms, rows, counts, lengths[rows]
 
 
-def index(docs: DataFrame, mean: float) -> DataFrame:
-    """(shard, term, docs, counts, lengths, top) of all rows of docs(id, text); a shard is a run of rows of a partition.
-
-    top is the block's largest impact before it is weighted by the term's rarity.
-    """
+def _held(docs: DataFrame) -> DataFrame:
+    """(term, df) of all words of docs(id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 24
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
+            texts = batch.column(1).fill_null("").to_pylist()
             for part in slices(texts, SHARD):
-                x = _blocks(ids[part], texts[part], mean)
-                many = [pa.ListArray.from_arrays(x["bounds"], x[c]) for c in ("docs", "counts", "lengths")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x["terms"]), shard)), pa.array(x["terms"]), *many, pa.array(x["top"])], names=["shard", "term", "docs", "counts", "lengths", "top"])
-                shard += 1
+                terms, n = np.unique(_postings(texts[part])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], names=["term", "df"])
 
-    return docs.mapInArrow(run, "shard long, term long, docs array<long>, counts array<int>, lengths array<int>, top double")
+    return docs.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def impact(count, length, mean: float):
@@ -179,50 +167,116 @@ def key_terms(queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(run, "query_id long, term long, n long")
 
 
-def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, n_terms: int = 16, queries_per_task: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Queries:
+    """Queries(query_id, term, idf, n) as arrays: by query, and their distinct words in the order of terms."""
+
+    def __init__(self, rows: pa.Table):
+        query, term, idf, n = (rows.column(c).to_numpy() for c in ("query_id", "term", "idf", "n"))
+        by = np.lexsort((term, query))
+        self.ids, starts = np.unique(query[by], return_index=True)
+        self.bounds = np.append(starts, len(query))
+        self.terms, first, at = np.unique(term, return_index=True, return_inverse=True)
+        self.idf, self.at, self.n = idf[first], at[by].astype(np.int32), n[by]
+
+
+def _best(q: Queries, texts: list[str], mean: float, k: int, few: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, row of texts, score) of the k best of texts for each query, the smaller rows at ties; few: by WAND."""
+    terms, rows, counts, lengths = _postings(texts)
+    place = np.minimum(np.searchsorted(q.terms, terms), len(q.terms) - 1)
+    asked = q.terms[place] == terms
+    place, rows, counts, lengths = place[asked], rows[asked], counts[asked], lengths[asked]
+    size = np.bincount(place, minlength=len(q.terms))
+    start = np.cumsum(size) - size
+    impacts = impact(counts, lengths, mean)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if few:
+        made: dict[int, Postings] = {}
+        for i in range(len(q.ids)):
+            own = [t for t in q.at[q.bounds[i] : q.bounds[i + 1]].tolist() if size[t]]
+            for t in own:
+                if t not in made:
+                    cuts = [slice(a, min(a + BLOCK, start[t] + size[t])) for a in range(start[t], start[t] + size[t], BLOCK)]
+                    made[t] = Postings([(rows[c].tolist(), counts[c].tolist(), lengths[c].tolist(), float(impacts[c].max())) for c in cuts], float(q.idf[t]), mean)
+            found = np.array(top_k([made[t] for t in own], k), np.int64).reshape(-1, 2)
+            out.append((np.full(len(found), i), found[:, 1], found[:, 0]))
+    else:
+        scores = np.rint(impacts * q.idf[place] * SCALE).astype(np.int64)
+        top = np.zeros(len(q.terms))
+        np.maximum.at(top, place, scores)
+        # sums of whole numbers below 2**53 are exact as floats too
+        exact = np.add.reduceat(q.n * top[q.at], q.bounds[:-1]).max() < 1 << 52
+        scores = scores.astype(np.float64 if exact else np.int64)
+        weights = q.n.astype(scores.dtype)
+        common = np.flatnonzero(4 * size >= max(4, len(texts)))
+        column = np.full(len(q.terms), -1, np.int32)
+        column[common] = np.arange(len(common))
+        dense = np.zeros((len(common), len(texts)), scores.dtype)
+        there = column[place] >= 0
+        dense[column[place[there]], rows[there]] = scores[there]
+        rare = np.where(column < 0, size, 0)
+        ends = np.cumsum(np.add.reduceat(rare[q.at], q.bounds[:-1]) + len(texts) + len(common))
+        i = 0
+        while i < len(q.ids):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CELLS, "right")))
+            a, b = q.bounds[i], q.bounds[j]
+            of, t, w = np.repeat(np.arange(j - i), np.diff(q.bounds[i : j + 1])), q.at[a:b], weights[a:b]
+            matrix = np.zeros((j - i, len(common)), scores.dtype)
+            often = column[t] >= 0
+            matrix[of[often], column[t[often]]] = w[often]
+            sums = matrix @ dense
+            n = rare[t]
+            at = np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            np.add.at(sums.reshape(-1), np.repeat(of * len(texts), n) + rows[at], scores[at] * np.repeat(w, n))
+            least = np.partition(sums, -k, axis=1)[:, -k] if len(texts) > k else np.zeros(j - i)
+            one, row = np.nonzero((sums >= least[:, None]) & (sums > 0))
+            score = sums[one, row].astype(np.int64)
+            by = np.lexsort((row, -score, one))
+            one, row, score = one[by], row[by], score[by]
+            keep = np.arange(len(one)) - np.searchsorted(one, one) < k
+            out.append((one[keep] + i, row[keep], score[keep]))
+            i = j
+    return tuple(np.concatenate([x[c] for x in out]) for c in range(3))
+
+
+def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, n_terms: int | None = 16, queries_per_task: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, doc_id, rank, score: for every row of queries the k best rows of docs by BM25.
 
-    A query is the n_terms words of its whole text that weigh most by count and rarity among those
-    in two rows of docs or more (ties: the smaller term hash), each once; the search for them is exact.
-    Ties in score go to the smaller id. A query none of whose words is in two rows has no result.
-    Nulls: a row with a null id is neither query nor indexed, and counts in no statistics; a null
-    text has no words. Rows of docs that repeat an id are rows of their own; queries that repeat an
-    id are one query of the words of all. Further columns are not read. Ids are whole numbers.
+    With n_terms None a query is all words of its text, each as often as it stands there. Else it is
+    the n_terms words of its whole text that weigh most by count and rarity among those in two rows
+    of docs or more (ties: the smaller term hash), each once. The search is exact in either case.
+    Ties in score go to the smaller id. A query none of whose words is in docs (with n_terms: in two
+    rows) has no result. Nulls: a row with a null id is neither query nor indexed, and counts in no
+    statistics; a null text has no words. Rows of docs that repeat an id are rows of their own;
+    queries that repeat an id are one query of the words of all. Further columns are not read. Ids
+    are whole numbers. A pass over docs serves queries_per_task queries, about as many at least.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total, mean = _statistics(rows)
-    blocks = cut(index(rows, mean))
     words = key_terms(asked).groupBy("query_id", "term").agg(F.sum("n").alias("n"))
-    held = blocks.groupBy("term").agg(F.sum(F.size("docs")).alias("df")).where("df > 1")
     idf = F.log1p((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "term")
-    chosen = words.join(held, "term").withColumn("idf", idf).withColumn("weight", F.col("n") * F.col("idf"))
-    chosen = cut(chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n_terms).select("query_id", "term", "idf"))
-
+    chosen = words.join(_held(rows), "term").withColumn("idf", idf)
+    if n_terms is not None:
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.col("n") * F.col("idf")), "term")
+        chosen = chosen.where("df > 1").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n_terms).withColumn("n", F.lit(1).cast("long"))
+    chosen = cut(chosen.select("query_id", "term", "idf", "n"))
     sets = max(1, -(-chosen.select("query_id").distinct().count() // queries_per_task))
-    chosen = chosen.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(sets)))
-    needed = cut(chosen.select("term", "part").distinct())
-    found = cut(blocks.join(fitting(needed), "term"))
-    hits = cut(found.select("shard", "part", "term").distinct().join(chosen, ["term", "part"]).select(F.col("shard").alias("shard2"), F.col("part").alias("part2"), "query_id", "term", "idf"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        by_term: dict[int, list] = {}
-        for term, *block in zip(left["term"].tolist(), left["docs"], left["counts"], left["lengths"], left["top"].tolist(), strict=True):
-            by_term.setdefault(term, []).append((*(np.asarray(x).tolist() for x in block[:3]), block[3]))
-        for x in by_term.values():
-            x.sort(key=lambda b: (b[0][0], b[0][-1]))
-        made: dict[int, Postings] = {}
-        for query, own in right.groupby("query_id", sort=True):
-            lists = []
-            for term, w in zip(own["term"].tolist(), own["idf"].tolist(), strict=True):
-                if term not in made:
-                    made[term] = Postings(by_term[term], w, mean)
-                lists.append(made[term])
-            out += [(query, doc, score) for score, doc in top_k(lists, k)]
-        return pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
-
-    best = found.groupBy("shard", "part").cogroup(hits.groupBy("shard2", "part2")).applyInPandas(run, "query_id long, doc_id long, score long")
+
+    def best(part: int) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(Queries(chosen.where(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == part).toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, texts = batch.column(0).to_numpy(), batch.column(1).fill_null("").to_pylist()
+                for own in slices(texts, SHARD) if len(sent.value.ids) else ():
+                    by = np.argsort(ids[own], kind="stable")
+                    query, row, score = _best(sent.value, [texts[own.start + i] for i in by], mean, k, n_terms is not None)
+                    yield pa.RecordBatch.from_arrays([pa.array(sent.value.ids[query]), pa.array(ids[own][by][row]), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+        return rows.mapInArrow(run, "query_id long, doc_id long, score long")
+
+    found = best(0)
+    for part in range(1, sets):
+        found = found.union(best(part))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), (F.col("score") / SCALE).alias("score"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), (F.col("score") / SCALE).alias("score"))

@@ -43,7 +43,7 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return search(docs, docs.where("doc_id % 50 = 0"), k=10)
+    return search(docs, docs.where("doc_id % 50 = 0"), k=10, n_terms=None)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tapeloom.llm.bm25 import SCALE, Postings, _term_id, impact, search, terms_of, top_k
 
 
@@ -36,6 +37,39 @@ def test_query_against_brute_force(spark):
     assert all(abs(g[3] - w[3]) < 1e-5 for g, w in zip(got, want, strict=True))
 
 
+def brute_whole(docs, queries, k):
+    """All words of each query's text, with their counts."""
+    counts = [(d, Counter(terms_of(t)), len(terms_of(t))) for d, t in docs]
+    total, mean = len(docs), sum(n for _, _, n in counts) / len(docs)
+    df = Counter(w for _, c, _ in counts for w in c)
+    idf = {w: math.log1p((total - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    out = []
+    for q, text in queries:
+        own = Counter(terms_of(text))
+        scores = []
+        for d, c, size in counts:
+            s = sum(n * round(impact(c[w], size, mean) * idf[w] * SCALE) for w, n in own.items() if c[w])
+            if s > 0:
+                scores.append((-s, d))
+        out += [(q, d, i + 1, -s / SCALE) for i, (s, d) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+def equal(got, want):
+    assert [tuple(g)[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) < 1e-4 for g, w in zip(got, want, strict=True))
+
+
+def test_registered_query_searches_whole_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    asked = [r for r in rows if r[0] % 50 == 0]
+    want = brute_whole(rows, asked, 10)
+    assert sum(len(set(terms_of(t))) > 16 for _, t in asked) > len(asked) / 2
+    equal(sorted(entry.queries()["op6_bm25_top_k"](spark, "/root/testdata/sf0.01").collect()), want)
+    equal(sorted(search(docs.repartition(5), docs.where("doc_id % 50 = 0"), n_terms=None, queries_per_task=7).collect()), want)
+
+
 def test_pruned_search_equals_exhaustive():
     rng = random.Random(8)
     for _ in range(200):
