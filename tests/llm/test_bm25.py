@@ -95,3 +95,15 @@ def test_odd_rows(spark, odd):
     assert all(r.doc_id is not None for r in got)
     assert search(odd.limit(0), odd).count() == 0 and search(odd, odd.limit(0)).count() == 0
     assert odd.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_rows_that_repeat_an_id_are_rows_of_their_own(spark):
+    rows = [(1, "red fox red"), (2, "blue whale"), (2, "red fox runs far"), (3, "green fox"), (3, "green fox"), (4, "far blue")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(9, "red fox blue green green")], "doc_id long, text string")
+    want = brute_whole(rows, [(9, "red fox blue green green")], 10)
+    assert sorted(w[1] for w in want) == [1, 2, 2, 3, 3, 4]
+    for shards in (1, 2):
+        equal(sorted(search(frame.repartition(shards), asked, n_terms=None).collect()), want)
+        few = search(frame.repartition(shards), asked, n_terms=16).collect()
+        assert sorted(r.doc_id for r in few) == [1, 2, 2, 3, 3, 4]
