@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fitting(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df, a cut table of a few numbers in each row, marked for a broadcast if it has no more than rows; else a shuffle does."""
+    """df, a cut table, marked for a broadcast if it has no more than rows; else a shuffle does. Only rows are bounded, not the size of arrays in them."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
