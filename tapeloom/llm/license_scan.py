@@ -91,9 +91,12 @@ class Scanner:
                     spans[-1][1] = max(hi, spans[-1][1])
                 else:
                     spans.append([lo, hi])
-            for lo, hi in spans:
-                for m in pattern.finditer(line, lo, hi):
+            while spans:  # the best match of a range, then the parts before and after it
+                lo, hi = spans.pop()
+                m = pattern.search(line, lo, hi)
+                if m and m[0]:
                     matches.append((m.start(), m.end(), notice, sum(m.fuzzy_counts), len(notice)))
+                    spans += [part for part in ([lo, m.start()], [m.end(), hi]) if part[1] - part[0] >= len(notice) - allowed(notice)]
         n_before = lambda i: line.count(" ", 0, i + 1) - 1  # noqa: E731  the word that stands at i
         places = sorted(n_before(i) for i, _ in exact)
         base = {self.phrases[p] for _, p in exact}

@@ -49,6 +49,18 @@ def test_edits_within_the_bound_are_found():
     assert s.scan("nothing of the kind, all is right and reversed")["labels"] == ""
 
 
+def test_edited_and_clean_copies_side_by_side_are_all_found():
+    s = Scanner(PHRASES, NOTICES)
+    clean, edited = "all rights reserved", "all rihts resrved"
+    for parts in ((edited, clean), (clean, edited), (edited, clean, edited), (clean, edited, clean), (edited, edited, clean, clean, edited)):
+        text = " ".join(parts)
+        at, want = 0, []
+        for p in parts:
+            want.append((at, at + len(p), 2 if p == edited else 0))
+            at += len(p) + 1
+        assert [(m["start"], m["end"], m["edits"]) for m in s.scan(text)["matches"]] == want
+
+
 def test_pieces_cover_a_notice():
     for n in NOTICES:
         parts = pieces(n, allowed(n))
