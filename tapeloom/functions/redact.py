@@ -6,33 +6,37 @@ those in that text.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import partial
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.dialect import literal, spelt
+from tapeloom.functions.dialect import DIGIT, literal, spelt
 
 LEVELS = ("light", "standard", "heavy")
 
 #: Kinds of streets and months, as they are written in full and short.
 STREETS = "St|Street|Rd|Road|Ave|Avenue|Blvd|Boulevard|Ln|Lane|Dr|Drive|Ct|Court|Cir|Circle|Pl|Place|Way|Pkwy|Parkway"
 MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
-#: Label, least level and pattern of the passes with a pattern of their own, in order.
+#: Label, least level and pattern of the passes with a pattern of their own, in order. A look at the first
+#: character goes before that at what precedes it, so that most places of a text fail at once.
 FIXED = [
     ("EMAIL", 0, "(?iu)<B>[A-Z<x>0-9._%+-]+@[A-Z<x>0-9.-]+\\.[A-Z<x>]{2,}<B>"),
-    ("PHONE", 0, "(?<!<W>)(?:\\+?1[<s>.-]?)?(?:\\(<S>*<D>{3}<S>*\\)|<D>{3})[<s>.-]?<D>{3}[<s>.-]?<D>{4}(?!<W>)"),
-    ("SSN", 0, "<B><D>{3}-<D>{2}-<D>{4}<B>"),
-    ("CARD", 0, "<B>(?:<D>[ -]*?){13,19}<B>"),
-    ("ADDRESS", 0, f"(?iu)<B><D>{{1,6}}<S>+[A-Za-z<x>0-9.'-]+(?:<S>+[A-Za-z<x>0-9.'-]+){{0,4}}<S>+(?:{STREETS})\\.?<B>"),
-    ("ZIP", 1, "<B><D>{5}(?:-<D>{4})?<B>"),
-    ("DATE", 1, "<B>(?:<D>{1,2}[/-]<D>{1,2}[/-]<D>{2,4}|<D>{4}-<D>{1,2}-<D>{1,2})<B>"),
-    ("DATE", 1, f"(?iu)<B>(?:{MONTHS})<S>+<D>{{1,2}}(?:st|nd|rd|th)?(?:,<S>*<D>{{4}})?<B>"),
+    ("PHONE", 0, "(?=[+(]|<D>)(?<!<W>)(?:\\+?1[<s>.-]?)?(?:\\(<S>*<D>{3}<S>*\\)|<D>{3})[<s>.-]?<D>{3}[<s>.-]?<D>{4}(?!<W>)"),
+    ("SSN", 0, "(?=<D>)(?<!<W>)<D>{3}-<D>{2}-<D>{4}(?!<W>)"),
+    ("CARD", 0, "(?=<D>)(?<!<W>)(?:<D>[ -]*?){13,19}<B>"),
+    ("ADDRESS", 0, f"(?iu)(?=<D>)(?<!<W>)<D>{{1,6}}<S>+[A-Za-z<x>0-9.'-]+(?:<S>+[A-Za-z<x>0-9.'-]+){{0,4}}<S>+(?:{STREETS})\\.?<B>"),
+    ("ZIP", 1, "(?=<D>)(?<!<W>)<D>{5}(?:-<D>{4})?(?!<W>)"),
+    ("DATE", 1, "(?=<D>)(?<!<W>)(?:<D>{1,2}[/-]<D>{1,2}[/-]<D>{2,4}|<D>{4}-<D>{1,2}-<D>{1,2})(?!<W>)"),
+    ("DATE", 1, f"(?iu)(?=[JFMASOND])(?<!<W>)(?:{MONTHS})<S>+<D>{{1,2}}(?:st|nd|rd|th)?(?:,<S>*<D>{{4}})?<B>"),
 ]
-INTRODUCED = "(?iu)<B>my name is<S>+([A-Z<x>][a-z<x>]+(?:<S>+[A-Z<x>][a-z<x>]+){0,2})<B>"
-NUMBER = "<B><D>{4,}<B>"
-FULL_NAME = "<B>([A-Z][a-z]+)<S>+([A-Z][a-z]+)<B>"
+#: Patterns of the passes for an introduced name, long numbers and two capitalised words.
+INTRODUCED = "(?iu)(?=m)(?<!<W>)my name is<S>+([A-Z<x>][a-z<x>]+(?:<S>+[A-Z<x>][a-z<x>]+){0,2})<B>"
+NUMBER = "(?=<D>)(?<!<W>)<D>{4,}(?!<W>)"
+FULL_NAME = "(?=[A-Z])(?<!<W>)([A-Z][a-z]+)<S>+([A-Z][a-z]+)(?!<W>)"
 HIT = "struct<label:string,match:string,start:int,end:int,pass_no:int>"
 
 
@@ -41,9 +45,9 @@ class Pass:
     number: int
     label: str
     pattern: str
-    #: whether only the first group is the hit, and all its occurrences in the match are masked
+    #: whether only the first group, the end of the match, is the hit, and all its occurrences in the match are masked
     grouped: bool = False
-    #: text without which there is no match
+    #: pattern of a character without which there is no match; a mask has none of them
     needs: str = ""
 
 
@@ -55,65 +59,106 @@ def ordered_terms(terms: Iterable[str]) -> list[str]:
 def passes(level: str = "light", names: Iterable[str] = (), orgs: Iterable[str] = (), locations: Iterable[str] = ()) -> list[Pass]:
     """The passes of a level, in order; any other level is light. Terms count from standard on."""
     rank = LEVELS.index(level) if level in LEVELS else 0
-    out = [Pass(i + 1, label, spelt(p), needs="@" if label == "EMAIL" else "") for i, (label, least, p) in enumerate(FIXED) if rank >= least]
+    out = [Pass(i + 1, label, spelt(p), needs="@" if label == "EMAIL" else DIGIT) for i, (label, least, p) in enumerate(FIXED) if rank >= least]
     if rank >= 1:
         out.append(Pass(9, "NAME", spelt(INTRODUCED), grouped=True))
         for number, label, terms in ((10, "NAME", names), (11, "ORG", orgs), (12, "LOCATION", locations)):
             out += [Pass(number, label, spelt("(?iu)<B>") + literal(t) + spelt("<B>")) for t in ordered_terms(terms)]
     if rank >= 2:
-        out += [Pass(13, "NUM", spelt(NUMBER)), Pass(14, "NAME", spelt(FULL_NAME))]
+        out += [Pass(13, "NUM", spelt(NUMBER), needs=DIGIT), Pass(14, "NAME", spelt(FULL_NAME))]
     return out
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def _matches(text: Column, p: Pass, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(p.pattern), F.lit(group))
 
 
-def _masked(text: Column, p: Pass) -> Column:
-    mask = f"[{p.label}]"
+def _found(text: Column, p: Pass) -> Column:
+    """The matches of one pass over text as an array of the text before each, the match and its hit; empty without a match."""
+    whole = _matches(text, p)
+    gaps = lambda m: F.slice(F.split(text, p.pattern, -1), 1, F.size(m))
     if not p.grouped:
-        done = F.regexp_replace(text, F.lit(p.pattern), F.lit(mask))
-        return F.when(F.contains(text, F.lit(p.needs)), done).otherwise(text) if p.needs else done
-    found = F.zip_with(_matches(text, p), _matches(text, p, 1), lambda m, g: F.replace(m, g, F.lit(mask)))
-    whole = F.zip_with(F.split(text, p.pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(F.rlike(text, F.lit(p.pattern)), F.array_join(whole, "")).otherwise(text)
+        pair = lambda m: F.zip_with(gaps(m), m, lambda a, x: F.struct(a.alias("gap"), x.alias("m"), x.alias("hit")))
+    else:
+        hit = lambda m: F.zip_with(m, _matches(text, p, 1), lambda x, g: F.struct(x.alias("m"), g.alias("hit")))
+        pair = lambda m: F.zip_with(gaps(m), hit(m), lambda a, x: F.struct(a.alias("gap"), x["m"].alias("m"), x["hit"].alias("hit")))
+    return _bound(whole, lambda m: F.when(F.size(m) > 0, pair(m)).otherwise(F.array().cast("array<struct<gap:string,m:string,hit:string>>")))
+
+
+def _with_mask(text: Column, found: Column, p: Pass) -> Column:
+    """text with the mask for every hit in found."""
+    mask = F.lit(f"[{p.label}]")
+    masked = (lambda x: F.replace(x["m"], x["hit"], mask)) if p.grouped else lambda x: mask
+    done = F.array_join(F.transform(found, lambda x: F.concat(x["gap"], masked(x))), "")
+    used = F.aggregate(found, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["m"]))
+    return F.when(F.size(found) > 0, F.concat(done, F.substring(text, used + 1, F.length(text)))).otherwise(text)
 
 
-def _hits(text: Column, p: Pass) -> Column:
-    """The hits of one pass over text, which is cheap to name again."""
-    group = 1 if p.grouped else 0
-    parts = F.zip_with(F.slice(F.split(text, p.pattern, -1), 1, F.size(_matches(text, p))), _matches(text, p), lambda a, m: F.struct(F.length(a).alias("gap"), m.alias("m")))
-    if p.grouped:
-        parts = F.zip_with(parts, _matches(text, p, group), lambda x, g: F.struct((x["gap"] + F.length(x["m"]) - F.length(g)).alias("gap"), g.alias("m")))
+def _running(sizes: Column, block: int = 64) -> Column:
+    """Sums of the first one, two and so on of sizes; within blocks and over the blocks' sums, so that it isn't quadratic."""
+    add = lambda a, b: a + b
+    total = lambda x: F.aggregate(x, F.lit(0), add)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, block))
+    within = lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: total(F.slice(x, 1, i)))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    before = lambda bs: F.aggregate(bs, zero, lambda acc, x: F.struct((acc["at"] + total(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+    return _bound(blocks, lambda bs: F.flatten(F.zip_with(bs, before(bs), lambda x, base: F.transform(within(x), lambda n: n + base))))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        hit = F.struct(F.lit(p.label).alias("label"), x["m"].alias("match"), start.alias("start"), end.alias("end"), F.lit(p.number).alias("pass_no"))
-        return F.struct(end.alias("at"), F.array_append(acc["hits"], hit).alias("hits"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{HIT}>").alias("hits"))
-    none = F.array().cast(f"array<{HIT}>")
-    return F.when(F.rlike(text, F.lit(p.pattern)), F.aggregate(parts, zero, step, lambda acc: acc["hits"])).otherwise(none)
+def _hits(found: Column, p: Pass) -> Column:
+    """Hits with their places; found isn't empty."""
+    ends = _running(F.transform(found, lambda x: F.length(x["gap"]) + F.length(x["m"])))
+    return F.zip_with(found, ends, lambda x, end: F.struct(F.lit(p.label).alias("label"), x["hit"].alias("match"), (end - F.length(x["hit"])).alias("start"), end.alias("end"), F.lit(p.number).alias("pass_no")))
+
+
+def _guarded(state: Column, todo: list[Pass], step: Callable[[Column, Pass], Column], text: Callable[[Column], Column]) -> Column:
+    """state after a step for each pass; passes in a row that need the same character are skipped together where it is missing."""
+    def run(s: Column, group: list[Pass]) -> Column:
+        for p in group:
+            s = step(s, p)
+        return s
+
+    for needs, own in groupby(todo, key=lambda p: p.needs):
+        group = list(own)
+        state = _bound(state, partial(lambda s, needs, group: F.when(F.rlike(text(s), F.lit(needs)), run(s, group)).otherwise(s), needs=needs, group=group)) if needs else run(state, group)
+    return state
 
 
 def redact_text(c: Column | str, level: str = "light", names: Iterable[str] = (), orgs: Iterable[str] = (), locations: Iterable[str] = ()) -> Column:
     """c after all passes of the level. Null stays null."""
     c = F.col(c) if isinstance(c, str) else c
-    for p in passes(level, names, orgs, locations):
-        c = _masked(c, p)
-    return c
+
+    def step(text: Column, p: Pass) -> Column:
+        return _bound(text, lambda t: _bound(_found(t, p), lambda found: _with_mask(t, found, p))) if p.grouped else F.regexp_replace(text, F.lit(p.pattern), F.lit(f"[{p.label}]"))
+
+    return _guarded(c, passes(level, names, orgs, locations), step, lambda s: s)
 
 
 def redaction_hits(df: DataFrame, text_col: str = "text", level: str = "light", names: Iterable[str] = (), orgs: Iterable[str] = (), locations: Iterable[str] = ()) -> DataFrame:
     """df with redacted (the text after all passes) and hits, an array of HIT in the order of passes and places.
 
-    Every pass has a projection of its own, so its text is made once. Of a null text both are null.
+    Of a null text both are null. Columns of df with these two names are replaced.
     """
-    todo = passes(level, names, orgs, locations)
-    out = df.withColumn("redacted", F.col(text_col))
-    for i, p in enumerate(todo):
-        out = out.withColumn(f"_hits{i}", _hits(F.col("redacted"), p)).withColumn("redacted", _masked(F.col("redacted"), p))
+
+    def step(state: Column, p: Pass) -> Column:
+        def taken(s: Column) -> Column:
+            more = lambda found: F.struct(_with_mask(s["redacted"], found, p).alias("redacted"), F.concat(s["hits"], _hits(found, p)).alias("hits"))
+            return _bound(_found(s["redacted"], p), lambda found: F.when(F.size(found) > 0, more(found)).otherwise(s))
+
+        return _bound(state, taken)
+
+    def one_pass(p: Pass) -> Callable[[Column], Column]:
+        return lambda s: _guarded(s, [p], step, lambda x: x["redacted"])
+
     kept = [f"`{c}`" for c in df.columns if c not in ("redacted", "hits")]
-    hits = F.when(F.col("redacted").isNotNull(), F.flatten(F.array(*[f"_hits{i}" for i in range(len(todo))])))
-    return out.select(*kept, "redacted", hits.alias("hits"))
+    # the state is an array of one struct: the optimizer would compute fields of a struct column one by one, each from the text anew
+    out = df.select(*kept, F.array(F.struct(F.col(text_col).alias("redacted"), F.array().cast(f"array<{HIT}>").alias("hits"))).alias("_state"))
+    for p in passes(level, names, orgs, locations):
+        out = out.select(*kept, F.transform("_state", one_pass(p)).alias("_state"))
+    hits = F.transform("_state", lambda s: F.when(s["redacted"].isNotNull(), s["hits"]))[0]
+    return out.select(*kept, F.transform("_state", lambda s: s["redacted"])[0].alias("redacted"), hits.alias("hits"))

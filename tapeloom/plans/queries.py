@@ -30,12 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many tasks as run at once, if it has fewer: masking is bound by the processor, and a small table is one task."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def personal(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(PERSONAL.format(S="STRING").replace("FROM customer", "FROM {c}"), c=table(spark, d, "customer"))
+    return spark.sql(PERSONAL.format(S="STRING").replace("FROM customer", "FROM {c}"), c=spread(table(spark, d, "customer")))
 
 
 def wrapped(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(WRAPPED.replace("FROM conversations", "FROM {c}"), c=table(spark, d, "conversations"))
+    return spark.sql(WRAPPED.replace("FROM conversations", "FROM {c}"), c=spread(table(spark, d, "conversations")))
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -190,11 +196,11 @@ def clean_standard(spark, d):
 
 
 def redact_light(spark, d):
-    return table(spark, d, "documents").select("doc_id", redact_text("text", "light").alias("text"))
+    return spread(table(spark, d, "documents")).select("doc_id", redact_text("text", "light").alias("text"))
 
 
 def redact_standard(spark, d):
-    return table(spark, d, "documents").select("doc_id", redact_text("text", "standard").alias("text"))
+    return spread(table(spark, d, "documents")).select("doc_id", redact_text("text", "standard").alias("text"))
 
 
 def redact_heavy(spark, d):
@@ -211,7 +217,7 @@ def redact_hits(spark, d):
 
 def redaction_counts(spark, d):
     # inline() takes the array once; fields of an exploded struct would each be computed from the text anew
-    return redaction_hits(table(spark, d, "documents"), level="standard").select(F.inline("hits")).groupBy("label").agg(F.count("*").alias("n"))
+    return redaction_hits(spread(table(spark, d, "documents")), level="standard").select(F.inline("hits")).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def report(spark, d):
