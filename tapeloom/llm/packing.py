@@ -9,7 +9,7 @@ end fill each other up, and the last one is cut where powers of two need no padd
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,50 +21,101 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapeloom.llm.common import parts
+from tapeloom.llm.near_dup import FOLD, word_hashes
 
 END = 2
-#: What keeps full stops and commas from being split off: other marks, and marks in a row.
-MARKS = re.compile(r"[^\w\s.,]|_|[.,][.,]")
+#: Between words that are encoded together; a word with this character is encoded alone.
+BETWEEN = "\x02"
+TOGETHER = 256
 Encode = Callable[[list[str]], Iterator[np.ndarray]]
 
 
-#: What a worker keeps for its next tasks: by file the tokenizer and its words' ids.
-_kept: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
+class _Words:
+    """A worker's tokenizer and the ids of the words it met, by hash: those used since the last turn, and before it."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.between,) = self.ids(BETWEEN)
+        self.new: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def known(self, keys: list[int], word: Callable[[int], str], cached: int) -> list[bytes]:
+        """The ids of the words of keys, word(i) being that of keys[i]; about cached words are kept."""
+        found = [self.new.get(k) or self.old.get(k) for k in keys]
+        missing = [i for i, x in enumerate(found) if x is None]
+        for at in range(0, len(missing), TOGETHER):
+            part = missing[at : at + TOGETHER]
+            words = [word(i) for i in part]
+            alone = [BETWEEN in w for w in words]
+            joined = f" {BETWEEN} ".join(w for w, x in zip(words, alone, strict=True) if not x)
+            ids = np.array(self.ids(joined), "<u4")
+            cuts = np.split(ids, np.flatnonzero(ids == self.between))
+            runs = iter([cuts[0], *(x[1:] for x in cuts[1:])])
+            for i, w, x in zip(part, words, alone, strict=True):
+                found[i] = (np.array(self.ids(w), "<u4") if x else next(runs)).tobytes()
+        self.new.update(zip(keys, found, strict=True))
+        if len(self.new) > cached // 2:
+            self.old, self.new = self.new, {}
+        return found
+
+
+#: What a worker keeps for its next tasks, by file.
+_kept: dict[str, _Words] = {}
+
+
+def _spaced(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """b with a blank before every comma and full stop that ends a word behind a letter or digit, and where those marks are in b.
+
+    Letters and digits are those of ASCII and Latin-1 alone: none of them joins a mark, in whatever case.
+    """
+    at = np.flatnonzero((b == 44) | (b == 46))
+    at = at[(at > 1) & (np.append(b, 32)[at + 1] == 32)]
+    last, before = b[at - 1], b[at - 2]
+    simple = (last >= 97) & (last <= 122) | (last >= 48) & (last <= 57)
+    latin = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+    at = at[simple | latin]
+    return np.insert(b, at, 32), at
 
 
 def word_encoder(path: str, *, cached: int = 1_000_000) -> Encode:
-    """Encodes whole texts with a tokenizer that drops white space and never joins words.
+    """Encodes whole texts with a tokenizer that drops white space, takes A-Z as a-z and never joins words.
 
     As its ids of a text are those of its blank-separated words one after the other, each distinct
-    word is encoded once and kept, cached words at most. It takes A-Z as a-z and ends a token where a
-    mark follows a letter or digit, so where full stops and commas stand alone and are the only marks
-    they count as words of their own. A text that holds one of the tokenizer's added tokens is encoded whole.
+    word, told by its 64-bit hash, is encoded once and kept, about cached words at most. It ends a token
+    where a mark follows a letter or digit, so a comma or full stop there counts as a word of its own.
+    A text that holds one of the tokenizer's added tokens is encoded whole.
     """
-    tokenizer, cache = _kept.setdefault(path, (Tokenizer.from_file(path), {}) if path not in _kept else _kept[path])
-    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-    def words_of(text: str) -> list[str]:
-        text = text.encode("utf-8", "replace").lower().decode()
-        if not MARKS.search(text):
-            text = text.replace(",", " ,").replace(".", " .")
-        return text.replace("\n", " ").split(" ")
+    if path not in _kept:
+        _kept[path] = _Words(path)
+    words = _kept[path]
 
     def encode(texts: list[str]) -> Iterator[np.ndarray]:
-        split = [None if any(a in t for a in added) else words_of(t) for t in texts]
-        every = {w for words in split if words for w in words}
-        new = [w for w in every if w not in cache]
-        if len(cache) + len(new) > cached:
-            cache.clear()
-            new = list(every)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, x in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(x.ids, "<u4").tobytes()
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            else:
-                yield np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4")
+        whole = [any(a in t for a in words.added) for t in texts]
+        blobs = [b"" if w else t.encode("utf-8", "replace").translate(FOLD) for t, w in zip(texts, whole, strict=True)]
+        spaced, marks = _spaced(np.frombuffer(b" ".join(blobs), np.uint8))
+        data = spaced.tobytes()
+        hashes, starts = word_hashes(data)
+        keys, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+
+        def word(i: int) -> str:
+            begin = int(starts[first[i]])
+            end = data.find(b" ", begin)
+            return data[begin : end if end >= 0 else len(data)].decode("utf-8", "replace")
+
+        found = words.known(keys.tolist(), word, cached)
+        pool, sizes = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        n = sizes[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], n) + np.arange(upto[-1])]
+        begins = np.cumsum([0] + [len(x) + 1 for x in blobs])
+        bounds = upto[np.searchsorted(starts, begins + np.searchsorted(marks, begins))]
+        for i, text in enumerate(texts):
+            yield np.array(words.ids(text), "<u4") if whole[i] else ids[bounds[i] : bounds[i + 1]]
 
     return encode
 
@@ -191,7 +242,7 @@ def pack(docs: DataFrame, make_encoder: Callable[[], Encode], *, window: int = 4
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", *(c.split(" ")[0] for c in COLUMNS.split(", "))])
 
         kind = None
-        for batch, texts in parts(batches, 1, 1 << 20):
+        for batch, texts in parts(batches, 1, 1 << 21):
             kind = batch.schema.field(0).type
             for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
                 whole = np.append(ids, np.uint32(end_id))

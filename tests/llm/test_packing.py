@@ -87,3 +87,14 @@ def test_level_choice_is_that_of_the_sum_of_squares():
         may = [h for h in range(0, 21 - size) if h == 0 or count[h]]
         assert cost(packer._best(size, True)) == min(map(cost, may))
         list(packer.place(doc, np.zeros(size, np.uint32), size))
+
+
+def test_ids_equal_the_tokenizers_on_odd_strings():
+    tokenizer, encode = Tokenizer.from_file(tokenizer_path()), word_encoder(tokenizer_path(), cached=500)
+    rng = random.Random(10)
+    odd = ["a", "B", "İ", "I", "ı", "é", "é", "x́", "̇", "ß", "ſ", "K", "Ω", "Σ", "ά", "中", "1", "²", "Ⅷ", "٣", "×", "÷", "Ã", "ÿ", ".", ",", ".", ",", "'", "'s", "-", "<", "≠", "\x02", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "​", " ", " ", "\n", "\t", "\x0b", "\U0001f600", "<|endoftext|>"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 7))) for _ in range(20000)]
+    texts += ["", ".", "..", "a.", ".a", "a,. b", "İ.", "İ,", "\x1c,", "x́. y", "\x02 \x02", " \x02. "]
+    for at in range(0, len(texts), 3000):
+        part = texts[at : at + 3000]
+        assert [x.tolist() for x in encode(part)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
