@@ -2,17 +2,21 @@
 
 A shard is a run of rows; its index stays in the task's memory. Impacts use the statistics of all
 rows, so shards' results merge exactly. A set of queries at a time is broadcast and meets every
-shard where it is, so neither texts nor postings are shuffled or written. Queries of few words are
-pruned by block-max WAND; those of whole texts are scored in full, the words of a quarter of a
-shard's rows or more by a product of matrices and the others by their postings.
+shard where it is, so postings are neither shuffled nor written.
+
+Rows are searched in rounds of growing size, each with the k-th best scores of the rounds before as
+thresholds: a shard hands out only what reaches them, a few times k rows for a query and round
+however many shards there are. Queries of few words are pruned by block-max WAND. For those of whole
+texts the lists of rare words are scored and the others, in a tenth of the rows or more, count by
+their block maxima first: only rows whose bound reaches the threshold get their exact score.
 
 Impacts are whole numbers (2**-24 each), so sums don't depend on their order and ties are ties.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from heapq import heappush, heapreplace
 
@@ -27,6 +31,10 @@ from tapeloom.llm.license_scan import FOLD
 from tapeloom.llm.near_dup import word_hashes
 
 BLOCK = 128
+#: rows of a block, by length, for queries of whole texts
+NARROW = 16
+#: a round has this many times the rows of all rounds before and one more
+GROWTH = 4
 #: characters in a shard
 SHARD = 1 << 24
 SCALE = 1 << 24
@@ -41,19 +49,15 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(FOLD).split()
 
 
-def _term_id(word: bytes) -> int:
-    return int(word_hashes(word)[0].view(np.int64)[0])
-
-
-def _statistics(docs: DataFrame) -> tuple[int, float]:
-    """The number of rows and their mean number of words."""
+def _statistics(docs: DataFrame) -> tuple[int, int]:
+    """The numbers of rows and of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([sum(len(terms_of(t.as_py())) for t in batch.column(0))], pa.int64())], names=["n", "words"])
 
     n, words = docs.select("text").mapInArrow(run, "n long, words long").agg(F.sum("n"), F.sum("words")).first()
-    return n or 0, (words or 0) / max(1, n or 0)
+    return n or 0, words or 0
 
 
 def _postings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,13 +160,10 @@ def key_terms(queries: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, terms, counts = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for word, n in Counter(terms_of(text.as_py())).items():
-                    ids.append(doc)
-                    terms.append(_term_id(word))
-                    counts.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.int64()), pa.array(counts, pa.int64())], names=["query_id", "term", "n"])
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).fill_null("").to_pylist()
+            for part in slices(texts, SHARD):
+                terms, rows, counts, _ = _postings(texts[part])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part][rows], pa.int64()), pa.array(terms), pa.array(counts, pa.int64())], names=["query_id", "term", "n"])
 
     return queries.mapInArrow(run, "query_id long, term long, n long")
 
@@ -179,104 +180,168 @@ class Queries:
         self.idf, self.at, self.n = idf[first], at[by].astype(np.int32), n[by]
 
 
-def _best(q: Queries, texts: list[str], mean: float, k: int, few: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the query, row of texts, score) of the k best of texts for each query, the smaller rows at ties; few: by WAND."""
+def _best(q: Queries, texts: list[str], mean: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, row of texts, score) of the k best of texts for each query of few words, the smaller rows at ties; block-max WAND."""
     terms, rows, counts, lengths = _postings(texts)
+    place, rows, counts, lengths = _asked(q, terms, rows, counts, lengths)
+    size = np.bincount(place, minlength=len(q.terms))
+    start = np.cumsum(size) - size
+    impacts = impact(counts, lengths, mean)
+    out = [(np.zeros(0, np.int64),) * 3]
+    made: dict[int, Postings] = {}
+    for i in range(len(q.ids)):
+        own = [t for t in q.at[q.bounds[i] : q.bounds[i + 1]].tolist() if size[t]]
+        for t in own:
+            if t not in made:
+                cuts = [slice(a, min(a + BLOCK, start[t] + size[t])) for a in range(start[t], start[t] + size[t], BLOCK)]
+                made[t] = Postings([(rows[c].tolist(), counts[c].tolist(), lengths[c].tolist(), float(impacts[c].max())) for c in cuts], float(q.idf[t]), mean)
+        found = np.array(top_k([made[t] for t in own], k), np.int64).reshape(-1, 2)
+        out.append((np.full(len(found), i), found[:, 1], found[:, 0]))
+    return tuple(np.concatenate([x[c] for x in out]) for c in range(3))
+
+
+def _asked(q: Queries, terms: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Of postings the places in q.terms and the columns, for the terms that q asks for."""
     place = np.minimum(np.searchsorted(q.terms, terms), len(q.terms) - 1)
     asked = q.terms[place] == terms
-    place, rows, counts, lengths = place[asked], rows[asked], counts[asked], lengths[asked]
+    return [place[asked], *(c[asked] for c in columns)]
+
+
+def _best_whole(q: Queries, texts: list[str], ids: np.ndarray, mean: float, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, row of texts, score) of those of the k best of texts, the smaller ids at ties, that score least[query] or more.
+
+    Raises least where a k-th score is higher.
+    """
+    terms, rows, counts, lengths = _postings(texts)
+    size_of = np.zeros(len(texts), np.int64)
+    size_of[rows] = lengths
+    order = np.argsort(size_of, kind="stable")  # rows of like length share a block, which makes its maxima tight
+    at_row = np.empty(len(texts), np.int64)
+    at_row[order] = np.arange(len(texts))
+    place, rows, counts, lengths = _asked(q, terms, at_row[rows], counts, lengths)
     size = np.bincount(place, minlength=len(q.terms))
     start = np.cumsum(size) - size
-    impacts = impact(counts, lengths, mean)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if few:
-        made: dict[int, Postings] = {}
-        for i in range(len(q.ids)):
-            own = [t for t in q.at[q.bounds[i] : q.bounds[i + 1]].tolist() if size[t]]
-            for t in own:
-                if t not in made:
-                    cuts = [slice(a, min(a + BLOCK, start[t] + size[t])) for a in range(start[t], start[t] + size[t], BLOCK)]
-                    made[t] = Postings([(rows[c].tolist(), counts[c].tolist(), lengths[c].tolist(), float(impacts[c].max())) for c in cuts], float(q.idf[t]), mean)
-            found = np.array(top_k([made[t] for t in own], k), np.int64).reshape(-1, 2)
-            out.append((np.full(len(found), i), found[:, 1], found[:, 0]))
-    else:
-        scores = np.rint(impacts * q.idf[place] * SCALE).astype(np.int64)
-        top = np.zeros(len(q.terms))
-        np.maximum.at(top, place, scores)
-        # sums of whole numbers below 2**53 are exact as floats too
-        exact = np.add.reduceat(q.n * top[q.at], q.bounds[:-1]).max() < 1 << 52
-        scores = scores.astype(np.float64 if exact else np.int64)
-        weights = q.n.astype(scores.dtype)
-        common = np.flatnonzero(4 * size >= max(4, len(texts)))
-        column = np.full(len(q.terms), -1, np.int32)
-        column[common] = np.arange(len(common))
-        dense = np.zeros((len(common), len(texts)), scores.dtype)
-        there = column[place] >= 0
-        dense[column[place[there]], rows[there]] = scores[there]
-        rare = np.where(column < 0, size, 0)
-        ends = np.cumsum(np.add.reduceat(rare[q.at], q.bounds[:-1]) + len(texts) + len(common))
-        i = 0
-        while i < len(q.ids):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CELLS, "right")))
-            a, b = q.bounds[i], q.bounds[j]
-            of, t, w = np.repeat(np.arange(j - i), np.diff(q.bounds[i : j + 1])), q.at[a:b], weights[a:b]
-            matrix = np.zeros((j - i, len(common)), scores.dtype)
-            often = column[t] >= 0
-            matrix[of[often], column[t[often]]] = w[often]
-            sums = matrix @ dense
-            n = rare[t]
-            at = np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            np.add.at(sums.reshape(-1), np.repeat(of * len(texts), n) + rows[at], scores[at] * np.repeat(w, n))
-            least = np.partition(sums, -k, axis=1)[:, -k] if len(texts) > k else np.zeros(j - i)
-            one, row = np.nonzero((sums >= least[:, None]) & (sums > 0))
-            score = sums[one, row].astype(np.int64)
-            by = np.lexsort((row, -score, one))
-            one, row, score = one[by], row[by], score[by]
-            keep = np.arange(len(one)) - np.searchsorted(one, one) < k
-            out.append((one[keep] + i, row[keep], score[keep]))
-            i = j
+    scores = np.rint(impact(counts, lengths, mean) * q.idf[place] * SCALE).astype(np.int64)
+    top = np.zeros(len(q.terms))
+    np.maximum.at(top, place, scores)
+    # sums of whole numbers below 2**53 are exact as floats too
+    exact = np.add.reduceat(q.n * top[q.at], q.bounds[:-1]).max() < 1 << 52
+    scores = scores.astype(np.float64 if exact else np.int64)
+    weights = q.n.astype(scores.dtype)
+    common = np.flatnonzero(10 * size >= max(10, len(texts)))
+    column = np.full(len(q.terms), -1, np.int32)
+    column[common] = np.arange(len(common))
+    blocks = -(-len(texts) // NARROW)
+    dense = np.zeros((blocks * NARROW, len(common)), scores.dtype)
+    there = column[place] >= 0
+    dense[rows[there], column[place[there]]] = scores[there]
+    tops = dense.reshape(blocks, NARROW, len(common)).max(1).T.copy()
+    dense = dense[: len(texts)]
+    rare = np.where(column < 0, size, 0)
+    ends = np.cumsum(np.add.reduceat(rare[q.at], q.bounds[:-1]) + len(texts) + len(common))
+    out = [(np.zeros(0, np.int64),) * 3]
+    i = 0
+    while i < len(q.ids):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CELLS, "right")))
+        a, b = q.bounds[i], q.bounds[j]
+        of, t, w = np.repeat(np.arange(j - i), np.diff(q.bounds[i : j + 1])), q.at[a:b], weights[a:b]
+        matrix = np.zeros((j - i, len(common)), scores.dtype)
+        often = column[t] >= 0
+        matrix[of[often], column[t[often]]] = w[often]
+        n = rare[t]
+        at = np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        sums = np.zeros((j - i, len(texts)), scores.dtype)
+        np.add.at(sums.reshape(-1), np.repeat(of * len(texts), n) + rows[at], scores[at] * np.repeat(w, n))
+        bound = np.repeat(matrix @ tops, NARROW, axis=1)[:, : len(texts)] + sums
+        may = bound >= np.maximum(least[i:j, None], 1)
+        many = may.sum(1) * 16 > len(texts)
+        if many.any():
+            sums[many] += matrix[many] @ dense.T
+        for one in np.flatnonzero(~many):
+            own = np.flatnonzero(may[one])
+            sums[one, own] += dense[own] @ matrix[one]
+        sums[~may] = 0
+        if len(texts) > k:
+            least[i:j] = np.maximum(least[i:j], np.partition(sums, -k, axis=1)[:, -k])
+        one, row = np.nonzero(sums >= np.maximum(least[i:j, None], 1))
+        score, row = sums[one, row].astype(np.int64), order[row]
+        by = np.lexsort((row, ids[row], -score, one))
+        one, row, score = one[by], row[by], score[by]
+        keep = np.arange(len(one)) - np.searchsorted(one, one) < k
+        out.append((one[keep] + i, row[keep], score[keep]))
+        i = j
     return tuple(np.concatenate([x[c] for x in out]) for c in range(3))
 
 
-def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, n_terms: int | None = 16, queries_per_task: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """found(query_id, doc_id, score) with its place as rank, as far as the k-th."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, n_terms: int | None = None, queries_per_task: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, doc_id, rank, score: for every row of queries the k best rows of docs by BM25.
 
     With n_terms None a query is all words of its text, each as often as it stands there. Else it is
-    the n_terms words of its whole text that weigh most by count and rarity among those in two rows
-    of docs or more (ties: the smaller term hash), each once. The search is exact in either case.
-    Ties in score go to the smaller id. A query none of whose words is in docs (with n_terms: in two
-    rows) has no result. Nulls: a row with a null id is neither query nor indexed, and counts in no
-    statistics; a null text has no words. Rows of docs that repeat an id are rows of their own;
-    queries that repeat an id are one query of the words of all. Further columns are not read. Ids
-    are whole numbers. A pass over docs serves queries_per_task queries, about as many at least.
+    the n_terms words of its whole text that weigh most by count and rarity (ties: the smaller term
+    hash), each once. The search is exact in either case. Ties in score go to the smaller id. A query
+    none of whose words is in docs has no result. Nulls: a row with a null id is neither query nor
+    indexed, and counts in no statistics; a null text has no words. Rows of docs that repeat an id are
+    rows of their own; queries that repeat an id are one query of the words of all. Further columns
+    are not read. Ids are whole numbers. queries_per_task queries, about, are searched at a time.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    total, mean = _statistics(rows)
-    words = key_terms(asked).groupBy("query_id", "term").agg(F.sum("n").alias("n"))
+    total, words = _statistics(rows)
+    mean, context = words / max(1, total), rows.sparkSession.sparkContext
+    of_queries = key_terms(asked).groupBy("query_id", "term").agg(F.sum("n").alias("n"))
     idf = F.log1p((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    chosen = words.join(_held(rows), "term").withColumn("idf", idf)
+    chosen = of_queries.join(_held(rows), "term").withColumn("idf", idf)
     if n_terms is not None:
         order = Window.partitionBy("query_id").orderBy(F.desc(F.col("n") * F.col("idf")), "term")
-        chosen = chosen.where("df > 1").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n_terms).withColumn("n", F.lit(1).cast("long"))
+        chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n_terms).withColumn("n", F.lit(1).cast("long"))
     chosen = cut(chosen.select("query_id", "term", "idf", "n"))
     sets = max(1, -(-chosen.select("query_id").distinct().count() // queries_per_task))
+    # about eight bytes a word make shards; the rounds before the last hold a quarter of the rows, a sixteenth and so on
+    shards = max(1, words * 8 // SHARD)
+    rounds = 1 if n_terms is not None else 1 + math.ceil(math.log(shards, GROWTH))
+    bucket = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(GROWTH ** (rounds - 1)))
 
-    def best(part: int) -> DataFrame:
-        sent = rows.sparkSession.sparkContext.broadcast(Queries(chosen.where(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == part).toArrow()))
-
+    def best(sent, least, part: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bound = least.value.copy()
             for batch in batches:
                 ids, texts = batch.column(0).to_numpy(), batch.column(1).fill_null("").to_pylist()
                 for own in slices(texts, SHARD) if len(sent.value.ids) else ():
-                    by = np.argsort(ids[own], kind="stable")
-                    query, row, score = _best(sent.value, [texts[own.start + i] for i in by], mean, k, n_terms is not None)
-                    yield pa.RecordBatch.from_arrays([pa.array(sent.value.ids[query]), pa.array(ids[own][by][row]), pa.array(score)], names=["query_id", "doc_id", "score"])
-
-        return rows.mapInArrow(run, "query_id long, doc_id long, score long")
-
-    found = best(0)
-    for part in range(1, sets):
-        found = found.union(best(part))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), (F.col("score") / SCALE).alias("score"))
+                    if n_terms is None:
+                        query, row, score = _best_whole(sent.value, texts[own], ids[own], mean, k, bound)
+                        docs = ids[own][row]
+                    else:
+                        by = np.argsort(ids[own], kind="stable")
+                        query, row, score = _best(sent.value, [texts[own.start + i] for i in by], mean, k)
+                        docs = ids[own][by][row]
+                    yield pa.RecordBatch.from_arrays([pa.array(sent.value.ids[query]), pa.array(docs), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+        return part.mapInArrow(run, "query_id long, doc_id long, score long")
+
+    def of_set(number: int) -> DataFrame:
+        own = Queries(chosen.where(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == number).toArrow())
+        sent, least, found = context.broadcast(own), np.zeros(len(own.ids), np.int64), None
+        for i in range(rounds):
+            ahead, beyond = GROWTH ** (rounds - 1 - i), GROWTH ** (rounds - i)
+            part = rows if rounds == 1 else rows.where((bucket % ahead == 0) & ((bucket % beyond != 0) if i else F.lit(True)))
+            if i < rounds - 1:  # few rows of every file make few shards
+                part = part.repartition(max(1, GROWTH**i))
+            more = best(sent, context.broadcast(least), part)
+            found = more if found is None else found.unionByName(more)
+            if i < rounds - 1:
+                found = cut(_top(found, k).drop("rank"))
+                reached = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).toArrow()
+                least = least.copy()
+                least[np.searchsorted(own.ids, reached.column("query_id").to_numpy())] = reached.column("least").to_numpy()
+        return found
+
+    found = of_set(0)
+    for number in range(1, sets):
+        found = found.unionByName(of_set(number))
+    return _top(found, k).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), (F.col("score") / SCALE).alias("score"))

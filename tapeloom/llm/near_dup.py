@@ -33,6 +33,8 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 SEGMENT = 1 << 17
+#: bytes of a word beyond which its hash is a digest
+LONG = 64
 #: Bytes as they count: A-Z in lower case, all white space one byte.
 FOLD = bytes(32 if b in b" \t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -71,7 +73,10 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         s, e = edges[::2], edges[1::2]
         p, inverse = _power_tables(len(b) + 1)
         total = np.concatenate(([U(0)], np.cumsum((b.astype(U) + U(1)) * p[: len(b)])))
-        hashes.append(_mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U)))
+        own = _mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U))
+        for i in np.flatnonzero(e - s > LONG):  # long words of equal polynomials are easily made
+            own[i] = int.from_bytes(hashlib.blake2b(b[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+        hashes.append(own)
         starts.append(s + at)
         at = end
     return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, U), np.zeros(0, np.int64))
