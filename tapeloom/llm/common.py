@@ -18,10 +18,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests, one machine), one of our own."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, one of our own if all runs on one machine; else RuntimeError, as executors would not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-tapeloom-"))
         atexit.register(shutil.rmtree, _own[0], True)
@@ -36,12 +38,22 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/tapeloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-def fitting(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df, a cut table, marked for a broadcast if it has no more than rows; else a shuffle does. Only rows are bounded, not the size of arrays in them."""
-    return F.broadcast(df) if df.count() <= rows else df
+def release(*tables: DataFrame) -> None:
+    """Delete cut tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fitting(df: DataFrame, rows: int = 4_000_000, size: int = 64 << 20) -> DataFrame:
+    """df, a cut table, marked for a broadcast if it has no more than rows rows and size bytes of files; else a shuffle does."""
+    on_disk = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if on_disk <= size and df.count() <= rows else df
 
 
 def slices(texts: list[str], limit: int) -> Iterator[slice]:

@@ -7,11 +7,10 @@
    of its (size - need + 1) rarest values: lists of common passages stay out of it.
 3. Candidate pairs pass a size filter and the union-sketch estimate, then the exact Jaccard
    similarity of the full sets decides.
-Long lists never emit all their pairs. First each class is compared with a few heads of its
-lists, which joins most of a large group. Then only members of lists that still hold different
-components are compared across those, and for them the lists are those of the full sets: every
-class stands in the lists of as many of its rarest shingles as it may lack and one more, and a
-pair passes only where what follows the shared shingle can still make up the similarity.
+Long lists never emit all their pairs. First each class is compared with two heads of its lists:
+the one whose retained values are the commonest, which is the text that a group's edited copies
+share most with, and another by hash. That joins most of a large group. Only members of lists that
+still hold different components are then compared across those.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import cut, fitting, parts, slices
+from tapeloom.llm.common import cut, fitting, parts, release, slices
 from tapeloom.llm.graph import components
 
 U = np.uint64
@@ -137,22 +136,30 @@ def marks(docs: DataFrame, width: int, k: int, id_col: str, text_col: str) -> Da
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(cid, shingles) with the whole shingle set of each class in wanted(cid, doc_id, text_hash)."""
+    """(cid, shingles) with the whole shingle set of each class in wanted(cid, doc_id, text_hash); rows that repeat an id and text give it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch, texts in parts(batches, 1, 1 << 22):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(texts, width)))], names=["cid", "shingles"])
+            cids = batch.column(0).to_pylist()
+            new = [i for i, c in enumerate(cids) if not (c in seen or seen.add(c))]
+            yield pa.RecordBatch.from_arrays([pa.array([cids[i] for i in new], pa.int64()), _lists(list(shingle_sets([texts[i] for i in new], width)))], names=["cid", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     found = rows.join(fitting(wanted), (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("cid", "text")
-    return found.dropDuplicates(["cid"]).mapInArrow(run, "cid long, shingles array<long>")
+    sets = cut(found.mapInArrow(run, "cid long, shingles array<long>"))
+    if sets.groupBy("cid").count().where(F.col("count") > 1).head(1):  # rows that repeat, in several tasks; no text is shuffled to find them
+        once = cut(sets.dropDuplicates(["cid"]))
+        release(sets)
+        return once
+    return sets
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, percent: int, need: int) -> DataFrame:
-    """pairs(a, b) that pass the size filter and the union-sketch estimate; est: shared values of the union sketch."""
-    a = sketches.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    """pairs(a, b) that pass the union-sketch estimate; est: shared values of the union sketch."""
+    a = sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("sa"))
+    b = sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("sb"))
+    both = pairs.join(a, "a").join(b, "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = both.select("a", "b", union.alias("u"), F.array_intersect("sa", "sb").alias("i"))
     both = both.select("a", "b", F.size("u").alias("u"), F.size(F.array_intersect("u", "i")).alias("est"))
@@ -169,32 +176,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _prefix(need: int, percent: int, k: int) -> Column:
     """In how many lists, rarest first, a class of n shingles must stand so that it meets every similar one."""
-    n, size = F.col("n"), F.size("sketch")
+    n, size = F.col("n"), F.col("size")
     least = F.when(F.floor(100 * n / percent) <= k, F.ceil(percent * n / 100)).otherwise(F.lit(need))
     return size - least + 1
 
 
-def _cross_pairs(sets: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (a, b) among classes(cid, label), of different labels, that may be similar; exact, by the rarest shingles of the full sets."""
-    held = sets.join(classes, "cid").select("cid", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
-    common = held.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1")
-    by_class = Window.partitionBy("cid")
-    held = held.join(common, "v")
-    # shingles of no other class come first, then the rarer ones
-    held = held.withColumn("place", F.col("n") - F.count("*").over(by_class) + F.row_number().over(by_class.orderBy("c", "v")))
-    held = held.where((F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1) & (F.col("lo") != F.col("hi")))
+def _sized(percent: int) -> Column:
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+
+
+def _cross_pairs(listed: DataFrame, percent: int, k: int, block: int) -> DataFrame:
+    """Pairs (a, b) of different labels that share a list of listed(v, cid, label, n, after) and may be similar.
+
+    Long lists are dealt out in blocks. Of two sets that are kept whole, what follows the value in
+    both must still make up the similarity.
+    """
+    common = listed.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v", "c")
     blocks = F.ceil(F.col("c") / block).cast("int")
-    side = held.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    side = side.select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), (F.col("n") - F.col("place")).alias("after"))
-    side = cut(side)
+    side = listed.join(common, "v").withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = cut(side.select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), "after"))
     other = side.select("v", "x", "y", F.col("own").alias("own2"), F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"), F.col("after").alias("after2"))
-    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    enough = (100 + percent) * (1 + F.least("after", "after2")) >= percent * (F.col("na") + F.col("nb"))
+    enough = (F.greatest("na", "nb") > k) | ((100 + percent) * (1 + F.least("after", "after2")) >= percent * (F.col("na") + F.col("nb")))
     once = (F.col("x") == F.col("y")) | (F.col("own") != F.col("own2"))
-    return side.join(other, ["v", "x", "y"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & once & sized & enough).select("a", "b").distinct()
+    return side.join(other, ["v", "x", "y"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & once & _sized(percent) & enough).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 32, miss: float = 1e-9, heads: int = 2, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 48, miss: float = 1e-9, heads: int = 2, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every row of docs.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets.
@@ -211,43 +218,49 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: in
     classes = seen.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("least.doc_id").alias("text_id"), F.col("least.text_hash").alias("text_hash"), "doc_id", "n", "sketch"))
 
-    entries = classes.select("cid", F.size("sketch").alias("size"), _prefix(need, percent, k).cast("int").alias("prefix"), F.explode("sketch").alias("v"))
+    # the lists that a class stands in: of its retained values, those of no other class first, then the rarer ones
+    entries = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    entries = entries.join(shared, "v")
     by_class = Window.partitionBy("cid")
-    rare = entries.withColumn("single", F.col("size") - F.count("*").over(by_class)).withColumn("place", F.row_number().over(by_class.orderBy("c", "v")))
-    listed = cut(rare.where(F.col("single") + F.col("place") <= F.col("prefix")).select("v", "cid"))
-    order = [F.min(F.struct(F.xxhash64("cid", F.lit(j)).alias("x"), F.col("cid"))).getField("cid").alias(f"h{j}") for j in range(heads)]
-    lists = cut(listed.groupBy("v").agg(F.count("*").alias("c"), *order).where("c > 1"))
-    listed = cut(listed.join(lists, "v"))
-
-    met = listed.select("cid").distinct()
-    wanted = cut(classes.join(met, "cid").select("cid", F.col("text_id").alias("doc_id"), "text_hash"))
-    sketches = cut(classes.join(met, "cid").select("cid", "n", "sketch"))
-    sets = cut(_full_sets(docs, wanted, width, id_col, text_col))
-
-    star = listed.select(F.col("cid").alias("a"), F.explode(F.array(*[f"h{j}" for j in range(heads)])).alias("b")).where("a <> b")
+    size = F.least("n", F.lit(k))
+    rare = entries.join(shared, "v").withColumn("size", size).withColumn("place", F.col("size") - F.count("*").over(by_class) + F.row_number().over(by_class.orderBy("c", "v")))
+    rare = rare.withColumn("central", F.sum(F.log2("c")).over(by_class) / F.col("size"))
+    listed = cut(rare.where(F.col("place") <= _prefix(need, percent, k)).select("v", "cid", "n", (F.col("size") - F.col("place")).cast("int").alias("after"), "central"))
+    who = [F.col("cid"), F.col("n")]
+    central = F.max(F.struct(F.col("central"), F.xxhash64("cid").alias("x"), *who))
+    others = [F.min(F.struct(F.xxhash64("cid", F.lit(j)).alias("x"), *who)) for j in range(1, heads)]
+    chosen = F.array(*[F.struct(h["cid"].alias("b"), h["n"].alias("nb")) for h in (central, *others)])
+    lists = cut(listed.groupBy("v").agg(F.count("*").alias("c"), chosen.alias("heads")).where("c > 1"))
+
+    star = listed.join(lists, "v").select(F.col("cid").alias("a"), F.col("n").alias("na"), F.inline("heads")).where((F.col("a") != F.col("b")) & _sized(percent))
     most = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-    star = star.groupBy("a", "b").agg(F.count("*").alias("shared")).withColumn("place", F.row_number().over(most)).where(F.col("place") <= 2 * heads)
-    near = _estimated(star.select("a", "b"), sketches, k, percent, need)
-    best = Window.partitionBy("a").orderBy(F.desc("est"), "b")
-    near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= heads).select("a", "b")
-    first = cut(_verified(near, sets, percent))
-    labels = cut(wanted.select("cid").join(components(first).withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("label", "cid").alias("label")))
-
-    members = listed.select("v", "cid").join(labels, "cid")
-    mixed = members.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
-    open_ = cut(members.join(mixed, "v").select("cid", "label").distinct())
-    cross = _cross_pairs(sets, open_, percent, block)
-    second = cut(_verified(cross, sets, percent))
-    if second.head(1):
+    star = star.groupBy("a", "b").agg(F.count("*").alias("shared")).withColumn("place", F.row_number().over(most)).where(F.col("place") <= heads)
+    sketches = classes.select("cid", "sketch")
+    near = cut(_estimated(star.select("a", "b"), sketches, k, percent, need).select("a", "b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        of_pairs = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        wanted = cut(classes.join(of_pairs, "cid").select("cid", F.col("text_id").alias("doc_id"), "text_hash"))
+        sets = _full_sets(docs, wanted, width, id_col, text_col)
+        out = cut(_verified(pairs, sets, percent))
+        release(wanted, sets)
+        return out
+
+    first = verified(near)
+    labels = cut(classes.select("cid").join(components(first).withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("label", "cid").alias("label")))
+    members = listed.join(lists.select("v"), "v", "left_semi").join(labels, "cid").select("v", "cid", "label", "n", "after")
+    candidates = cut(_cross_pairs(members, percent, k, block))
+    cross = cut(_estimated(candidates, sketches, k, percent, need).select("a", "b"))
+    if cross.head(1):
+        second = verified(cross)
         joined = second.join(labels.withColumnRenamed("cid", "a").withColumnRenamed("label", "la"), "a").join(labels.withColumnRenamed("cid", "b").withColumnRenamed("label", "lb"), "b")
         merged = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("final"))
         labels = cut(labels.join(merged, "label", "left").select("cid", F.coalesce("final", "label").alias("label")))
 
-    named = cut(classes.join(labels, "cid", "left").select("key", "doc_id", F.coalesce("label", "cid").alias("label")))
+    named = cut(classes.select("cid", "key", "doc_id").join(labels, "cid").select("key", "doc_id", "label"))
     ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = cut(named.join(ids, "label").select("key", "component_id"))
+    release(classes, listed, lists, near, candidates, cross, first)
     full = seen.where("n_shingles > 0").drop("sketch").join(named, "key")
     empty = seen.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "text_hash", "n_shingles", "component_id"]
