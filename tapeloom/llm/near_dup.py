@@ -10,7 +10,8 @@
 Long lists never emit all their pairs. First each class is compared with two heads of its lists:
 the one whose retained values are the commonest, which is the text that a group's edited copies
 share most with, and another by hash. That joins most of a large group. Only members of lists that
-still hold different components are then compared across those.
+still hold different components, as many as similar classes share, are then compared across those;
+for them all values are retained.
 """
 
 from __future__ import annotations
@@ -174,31 +175,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
 
-def _prefix(need: int, percent: int, k: int) -> Column:
-    """In how many lists, rarest first, a class of n shingles must stand so that it meets every similar one."""
-    n, size = F.col("n"), F.col("size")
-    least = F.when(F.floor(100 * n / percent) <= k, F.ceil(percent * n / 100)).otherwise(F.lit(need))
-    return size - least + 1
+def _least(need: int, percent: int, k: int) -> Column:
+    """How many retained values a class of n shingles shares with every similar one."""
+    return F.when(F.floor(100 * F.col("n") / percent) <= k, F.ceil(percent * F.col("n") / 100)).otherwise(F.lit(need))
 
 
 def _sized(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _cross_pairs(listed: DataFrame, percent: int, k: int, block: int) -> DataFrame:
-    """Pairs (a, b) of different labels that share a list of listed(v, cid, label, n, after) and may be similar.
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(v) of the lists of rows(v, label) that hold several labels."""
+    return rows.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
 
-    Long lists are dealt out in blocks. Of two sets that are kept whole, what follows the value in
-    both must still make up the similarity.
+
+def _open(listed: DataFrame, sketches: DataFrame, need: int, percent: int, k: int) -> DataFrame:
+    """(cid, label) of the classes of listed(v, cid, label) that may be similar to one of another label: as many of their retained values as similar classes share stand in lists of several labels."""
+    met = cut(listed.join(_mixed(listed), "v", "left_semi").select("cid", "label").distinct())
+    values = sketches.join(met, "cid").select("cid", "label", "n", F.explode("sketch").alias("v"))
+    counts = values.join(_mixed(values), "v", "left_semi").groupBy("cid").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.count("*").alias("c"))
+    found = cut(counts.where(F.col("c") >= _least(need, percent, k)).select("cid", "label"))
+    release(met)
+    return found
+
+
+def _cross_pairs(sets: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) among classes(cid, label), of different labels, that may be similar: all values are retained here, so nothing is left to chance.
+
+    A class stands in the lists of as many of its rarest shingles as it may lack and one more. Long
+    lists are dealt out in blocks. A pair passes where what follows the shared shingle in both can
+    still make up the similarity, which shingles of no other class, the first of all, soon rule out.
     """
-    common = listed.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v", "c")
+    held = sets.join(classes, "cid").select("cid", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
+    common = held.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1")
+    by_class = Window.partitionBy("cid")
+    held = held.join(common, "v")
+    held = held.withColumn("place", F.col("n") - F.count("*").over(by_class) + F.row_number().over(by_class.orderBy("c", "v")))
+    held = held.where((F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1) & (F.col("lo") != F.col("hi")))
+    # no partner is smaller than percent of n, so a class with less after the shared shingle can't be similar to any
+    held = held.where((100 + percent) * (1 + F.col("n") - F.col("place")) >= percent * (F.col("n") + F.ceil(percent * F.col("n") / 100)))
     blocks = F.ceil(F.col("c") / block).cast("int")
-    side = listed.join(common, "v").withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    side = cut(side.select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), "after"))
+    side = held.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = cut(side.select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), (F.col("n") - F.col("place")).alias("after")))
     other = side.select("v", "x", "y", F.col("own").alias("own2"), F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"), F.col("after").alias("after2"))
-    enough = (F.greatest("na", "nb") > k) | ((100 + percent) * (1 + F.least("after", "after2")) >= percent * (F.col("na") + F.col("nb")))
+    enough = (100 + percent) * (1 + F.least("after", "after2")) >= percent * (F.col("na") + F.col("nb"))
     once = (F.col("x") == F.col("y")) | (F.col("own") != F.col("own2"))
-    return side.join(other, ["v", "x", "y"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & once & _sized(percent) & enough).select("a", "b").distinct()
+    pairs = cut(side.join(other, ["v", "x", "y"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & once & _sized(percent) & enough).select("a", "b").distinct())
+    release(side)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 48, miss: float = 1e-9, heads: int = 2, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,7 +249,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: in
     size = F.least("n", F.lit(k))
     rare = entries.join(shared, "v").withColumn("size", size).withColumn("place", F.col("size") - F.count("*").over(by_class) + F.row_number().over(by_class.orderBy("c", "v")))
     rare = rare.withColumn("central", F.sum(F.log2("c")).over(by_class) / F.col("size"))
-    listed = cut(rare.where(F.col("place") <= _prefix(need, percent, k)).select("v", "cid", "n", (F.col("size") - F.col("place")).cast("int").alias("after"), "central"))
+    listed = cut(rare.where(F.col("place") <= F.col("size") - _least(need, percent, k) + 1).select("v", "cid", "n", "central"))
     who = [F.col("cid"), F.col("n")]
     central = F.max(F.struct(F.col("central"), F.xxhash64("cid").alias("x"), *who))
     others = [F.min(F.struct(F.xxhash64("cid", F.lit(j)).alias("x"), *who)) for j in range(1, heads)]
@@ -238,29 +262,31 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, k: in
     sketches = classes.select("cid", "sketch")
     near = cut(_estimated(star.select("a", "b"), sketches, k, percent, need).select("a", "b"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        of_pairs = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        wanted = cut(classes.join(of_pairs, "cid").select("cid", F.col("text_id").alias("doc_id"), "text_hash"))
-        sets = _full_sets(docs, wanted, width, id_col, text_col)
-        out = cut(_verified(pairs, sets, percent))
-        release(wanted, sets)
-        return out
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        rows = cut(classes.join(wanted, "cid").select("cid", F.col("text_id").alias("doc_id"), "text_hash"))
+        sets = _full_sets(docs, rows, width, id_col, text_col)
+        release(rows)
+        return sets
 
-    first = verified(near)
+    sets = full_sets(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    first = cut(_verified(near, sets, percent))
+    release(sets)
     labels = cut(classes.select("cid").join(components(first).withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("label", "cid").alias("label")))
-    members = listed.join(lists.select("v"), "v", "left_semi").join(labels, "cid").select("v", "cid", "label", "n", "after")
-    candidates = cut(_cross_pairs(members, percent, k, block))
-    cross = cut(_estimated(candidates, sketches, k, percent, need).select("a", "b"))
-    if cross.head(1):
-        second = verified(cross)
+    members = listed.join(lists.select("v"), "v", "left_semi").join(labels, "cid").select("v", "cid", "label")
+    open_ = _open(members, classes.select("cid", "n", "sketch"), need, percent, k)
+    if open_.head(1):
+        sets = full_sets(open_.select("cid"))
+        candidates = _cross_pairs(sets, open_, percent, block)
+        second = cut(_verified(_estimated(candidates, sketches, k, percent, need), sets, percent))
         joined = second.join(labels.withColumnRenamed("cid", "a").withColumnRenamed("label", "la"), "a").join(labels.withColumnRenamed("cid", "b").withColumnRenamed("label", "lb"), "b")
         merged = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("final"))
         labels = cut(labels.join(merged, "label", "left").select("cid", F.coalesce("final", "label").alias("label")))
+        release(sets, candidates, second)
 
     named = cut(classes.select("cid", "key", "doc_id").join(labels, "cid").select("key", "doc_id", "label"))
     ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = cut(named.join(ids, "label").select("key", "component_id"))
-    release(classes, listed, lists, near, candidates, cross, first)
+    release(classes, listed, lists, near, first, open_)
     full = seen.where("n_shingles > 0").drop("sketch").join(named, "key")
     empty = seen.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "text_hash", "n_shingles", "component_id"]
