@@ -6,12 +6,12 @@ a Viterbi path over the words with a penalty for every switch labels the spans.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,8 @@ SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armen
 NAMES = sorted({n for _, n in SCRIPTS})
 FIRST = np.array([s for s, _ in SCRIPTS])
 SCRIPT = np.array([NAMES.index(n) for _, n in SCRIPTS], np.uint8)
-OTHER = re.compile(r"[\W\d_]+")
+#: All but letters: numerals of any kind are none.
+OTHER = regex.compile(r"\P{L}+")
 
 
 def letters(text: str) -> bytes:
@@ -175,9 +176,9 @@ def language_spans(docs: DataFrame, model: Model, *, penalty: float = 12.0, id_c
     the largest share of the text's letters, and score is that share. Ties go to the language first
     by name. Nulls: a null text, or one without a letter, is und with score 0 and no spans, as is
     every text under a model of no language. Repeated rows are labelled alike; further columns,
-    also one named lang, are not read. The whole text counts, however long it is.
+    also one named lang, are not read; with whole, columns named as its own three are replaced. The whole text counts, however long it is.
     """
-    rows = docs if whole else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("_lang_pred", "_score", "_spans")]) if whole else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     at = rows.columns.index(text_col if whole else "text")
     kept = [f for i, f in enumerate(rows.schema) if whole or i != at]
     lead = "_" if whole else ""

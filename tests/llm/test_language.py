@@ -61,3 +61,8 @@ def test_odd_rows(spark, odd):
     assert {r.lang_pred for r in language_spans(odd, none).collect()} == {"und"}
     assert language_spans(odd.limit(0), model).count() == 0
     assert odd.select(held_out().alias("h")).where(F.col("h").isNull()).count() == 0
+
+
+def test_numerals_are_no_letters():
+    assert all(letters(x).strip() == b"" for x in ("²", "½", "Ⅷ", "①", "12 ٣"))
+    assert letters("a²b é1").split() == [b"a", b"b", "é".encode()]
