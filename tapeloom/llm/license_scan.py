@@ -8,6 +8,7 @@ the text's words; around a seed the regex library's bounded-error matching verif
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -97,7 +98,8 @@ class Scanner:
                 if m and m[0]:
                     matches.append((m.start(), m.end(), notice, sum(m.fuzzy_counts), len(notice)))
                     spans += [part for part in ([lo, m.start()], [m.end(), hi]) if part[1] - part[0] >= len(notice) - allowed(notice)]
-        n_before = lambda i: line.count(" ", 0, i + 1) - 1  # noqa: E731  the word that stands at i
+        blanks = [m.start() for m in re.finditer(" ", line)] if exact or matches else []
+        n_before = lambda i: bisect_right(blanks, i) - 1  # noqa: E731  the word that stands at i
         places = sorted(n_before(i) for i, _ in exact)
         base = {self.phrases[p] for _, p in exact}
         out = []
@@ -105,9 +107,10 @@ class Scanner:
             chars = [m.span() for m in WORD.finditer(text)]
             best: list[tuple[int, int, str, int, int]] = []
             for m in sorted(matches, key=lambda m: (m[3] / m[4], m[0], m[2])):  # of notices that overlap, the nearest
-                if all(m[1] <= o[0] or o[1] <= m[0] for o in best):
-                    best.append(m)
-            for start, end, notice, edits, size in sorted(best):
+                i = bisect_left(best, m)  # best stays sorted and free of overlaps, so its neighbours alone can overlap m
+                if (i == 0 or best[i - 1][1] <= m[0]) and (i == len(best) or m[1] <= best[i][0]):
+                    best.insert(i, m)
+            for start, end, notice, edits, size in best:
                 # edges of a match can fall on blanks beside its words
                 first, last = n_before(start + (line[start] == " ")), n_before(end - 1 - (line[end - 1] == " "))
                 first, last = min(first, len(words) - 1), min(max(first, last), len(words) - 1)

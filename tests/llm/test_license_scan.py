@@ -71,3 +71,16 @@ def test_odd_rows(spark, odd):
     rows = license_scan(odd).collect()
     assert len(rows) == 10 and {r.n_words for r in rows if r.doc_id in (1, 2, 3)} == {0}
     assert license_scan(odd.limit(0)).count() == 0
+
+
+def test_notices_in_one_window_and_many_hits():
+    import time
+
+    text = "relesed under the mit license released under the mit license relased under the mit licence"
+    scanner = Scanner(PHRASES, NOTICES)
+    found = scanner.scan(text)["matches"]
+    assert [m["first_word"] for m in found] == [0, 5, 10] and [m["edits"] for m in found] == [1, 0, 2]
+    many = "cc by all rights reserved x " * 20000
+    began = time.perf_counter()
+    assert scanner.scan(many)["n_base"] == 40000
+    assert time.perf_counter() - began < 20
