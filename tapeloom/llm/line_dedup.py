@@ -7,10 +7,16 @@ document copied whole to many sites keeps its lines.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+from xxhash import xxh64_intdigest
 
-from tapeloom.llm.common import cut, fitting
+from tapeloom.llm.common import cut, fitting, parts
 
 BLANK = " \t\r"
 
@@ -40,26 +46,56 @@ def boilerplate(docs: DataFrame, *, min_sites: int = 10, max_chars: int | None =
     return sure.union(exact.where((F.col("sites") >= min_sites) & (F.col("texts") >= min_sites)).select("line_key"))
 
 
-def dedup_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", **bounds) -> DataFrame:
+def _line_keys(lines: list[bytes]) -> np.ndarray:
+    """The keys that _key() gives the lines."""
+    return np.array([xxh64_intdigest(x.strip(BLANK.encode()), 42) for x in lines], np.uint64).view(np.int64)
+
+
+def _without(docs: DataFrame, keys: np.ndarray, text_col: str, counts: bool) -> DataFrame:
+    """docs(row, text_col, n_lines, n_removed) with the lines of keys taken from text_col; with counts the lines are counted first."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad = sent.value
+        for batch, texts in parts(batches, 1, 1 << 22):
+            null = batch.column(1).is_null().to_pylist()
+            lines = [[] if none else t.encode("utf-8", "replace").split(b"\n") for t, none in zip(texts, null, strict=True)]
+            ends = np.cumsum([0] + [len(x) for x in lines])
+            every = [x for own in lines for x in own]
+            found = _line_keys(every)
+            at = np.minimum(np.searchsorted(bad, found), len(bad) - 1)
+            goes = (bad[at] == found) & np.array([bool(x.strip(BLANK.encode())) for x in every], bool) if len(bad) and every else np.zeros(len(every), bool)
+            removed = np.add.reduceat(np.append(goes, False), ends[:-1]) * (np.diff(ends) > 0) if len(lines) else np.zeros(0, np.int64)
+            for i in np.flatnonzero(removed):
+                texts[i] = b"\n".join(x for x, out in zip(lines[i], goes[ends[i] : ends[i + 1]], strict=True) if not out).decode()
+            text = pa.array([None if none else t for t, none in zip(texts, null, strict=True)], pa.string())
+            n_lines = pa.array(np.diff(ends), pa.int64()) if counts else batch.column(2)
+            before = 0 if counts else batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, n_lines, pa.array(removed + before, pa.int64())], names=["row", "text", "n_lines", "n_removed"])
+
+    shape = StructType([docs.schema["row"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    return docs.mapInArrow(run, shape)
+
+
+def dedup_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", keys_per_pass: int = 8_000_000, **bounds) -> DataFrame:
     """docs with boilerplate lines taken from text_col, and the columns _n_lines and _n_removed.
 
     No row goes, even if none of its lines stays (its text is then empty). Nulls: a null text stays
     null and has no lines; a null site spreads nothing, but its row's lines go like others. Repeated
-    rows count once and are treated alike. All other columns pass through, whatever their names.
-    bounds are those of boilerplate().
+    rows count once and are treated alike. All other columns pass through; those that docs has under
+    the two names are replaced. bounds are those of boilerplate(). Only the keys of lines to remove are
+    broadcast, keys_per_pass of them at a time, 8 bytes each; where there are more, the texts are
+    written once a pass. Texts are never shuffled.
     """
     found = cut(boilerplate(docs, text_col=text_col, site_col=site_col, **bounds))
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("_text_key"), F.explode(F.split(text_col, "\n")).alias("line"))
-    lines = lines.where(F.btrim("line", F.lit(BLANK)) != "").select("_text_key", _key(F.col("line")).alias("line_key"))
-    drop = cut(lines.join(fitting(found), "line_key").groupBy("_text_key").agg(F.collect_set("line_key").alias("_drop")))
-    split = F.split(F.col(text_col), "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains(F.col("_drop"), _key(x)) | (F.btrim(x, F.lit(BLANK)) == ""))
-    joined = docs.withColumn("_text_key", F.xxhash64(text_col)).join(fitting(drop), "_text_key", "left")
-    joined = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), split).otherwise(kept))
-    joined = joined.withColumn("_n_lines", F.coalesce(F.size(split), F.lit(0))).withColumn("_n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_n_lines")).cast("long"))
-    joined = joined.withColumn("_n_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_n_lines") - F.size("_kept")).cast("long"))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    return joined.withColumn(text_col, text).select(*[f"`{c}`" for c in docs.columns], "_n_lines", "_n_removed")
+    passes = max(1, -(-found.count() // keys_per_pass))
+    rest = [c for c in docs.columns if c not in (text_col, "_n_lines", "_n_removed")]
+    rows = docs.select(F.struct(F.lit(True).alias("is"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    for i in range(passes):
+        keys = found.where(F.pmod("line_key", F.lit(passes)) == i).toArrow().column("line_key").to_numpy()
+        rows = _without(rows if i == 0 else cut(rows), keys, "text", i == 0)
+    own = {c: F.col(f"row.c{i}") for i, c in enumerate(rest)} | {text_col: F.col("text")}
+    return rows.select(*[own[c].alias(c) for c in docs.columns if c in own], F.col("n_lines").alias("_n_lines"), F.col("n_removed").alias("_n_removed"))
 
 
 #: The same rows by exact counts of all lines.

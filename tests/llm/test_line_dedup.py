@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tapeloom.llm.line_dedup import boilerplate, dedup_lines
 
 BLANK = " \t\r"
@@ -64,3 +66,15 @@ def test_odd_rows(spark, odd):
     assert boilerplate(odd.limit(0)).count() == 0
     emptied = dedup_lines(odd.where("doc_id in (5, 6, 9)"), min_sites=1).where("doc_id = 9").first()
     assert emptied.text == "" and emptied._n_removed == 1
+
+
+def test_own_column_names_and_passes(spark):
+    rows = [(i, f"own {i}\nfoot a\nfoot b\n{'x' * 300}", f"s{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in ("_drop", "_n_lines", "_n_removed", "_text_key", "_kept", "row", "n_lines", "line_key", "a.b"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for more in ({}, {"keys_per_pass": 1}):
+        out = dedup_lines(docs, min_sites=10, **more)
+        assert len(set(out.columns)) == len(out.columns)
+        got = sorted((r.doc_id, r.text, r._n_lines, r._n_removed, r._drop, r.row) for r in out.collect())
+        assert got == [(i, f"own {i}", 4, 3, "x", "x") for i in range(12)]
