@@ -75,6 +75,8 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
     """(path of box kinds, start and end of the body) of every box, parents first. A size that breaks its parent's bounds raises ValueError."""
     end = len(data) if end is None else end
     while start < end:
+        if path[-1:] == (b"udta",) and end - start == 4 and not any(data[start:end]):
+            return  # such a box may end in a zero word
         if end - start < 8:
             raise ValueError("a box header is cut off")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -101,6 +103,25 @@ def _counted(data: bytes, at: tuple[int, int], form: str) -> list[tuple]:
     return list(struct.iter_unpack(">" + form, data[at[0] + 8 : at[0] + 8 + n * width]))
 
 
+def _sizes(data: bytes, at: tuple[int, int]) -> list[int]:
+    """Sizes of all samples: one for all of them, or 32 bits each."""
+    fixed, n = struct.unpack_from(">4xII", data, at[0])
+    if not fixed and at[0] + 12 + 4 * n > at[1] or n * max(1, fixed) > len(data):
+        raise ValueError("more samples than bytes")
+    return [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, at[0] + 12))
+
+
+def _small_sizes(data: bytes, at: tuple[int, int]) -> list[int]:
+    """Sizes of 4, 8 or 16 bits each."""
+    bits, n = struct.unpack_from(">7xBI", data, at[0])
+    body = data[at[0] + 12 : at[1]]
+    if bits not in (4, 8, 16) or len(body) * 8 < n * bits:
+        raise ValueError("a table is cut off")
+    if bits == 16:
+        return list(struct.unpack_from(f">{n}H", body))
+    return list(body[:n]) if bits == 8 else [x for b in body for x in (b >> 4, b & 15)][:n]
+
+
 def demux(data: bytes) -> dict:
     """codec, timescale, duration, sizes and offsets of the samples, keys (sample numbers from 0; None: all) of the first track with samples.
 
@@ -113,16 +134,19 @@ def demux(data: bytes) -> dict:
                 tracks.append({})
             elif path[:2] == (b"moov", b"trak") and tracks:
                 tracks[-1].setdefault(path[-1], (start, end))
-        track = next((t for t in tracks if {b"mdhd", b"stsd", b"stsz", b"stsc"} <= t.keys() and (b"stco" in t or b"co64" in t)), None)
+        track = next((t for t in tracks if {b"mdhd", b"stsd", b"stsc"} <= t.keys() and (b"stsz" in t or b"stz2" in t) and (b"stco" in t or b"co64" in t)), None)
         if track is None:
             raise ValueError("no track with sample tables")
         at = track[b"mdhd"][0]
         timescale, duration = struct.unpack_from(">20xIQ" if data[at] else ">12xII", data, at)
         codec = data[track[b"stsd"][0] + 12 : track[b"stsd"][0] + 16].decode("latin-1")
-        fixed, n = struct.unpack_from(">4xII", data, track[b"stsz"][0])
-        if not fixed and track[b"stsz"][0] + 12 + 4 * n > track[b"stsz"][1] or n * max(1, fixed) > len(data):
-            raise ValueError("more samples than bytes")
-        sizes = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, track[b"stsz"][0] + 12))
+        sizes = _sizes(data, track[b"stsz"]) if b"stsz" in track else _small_sizes(data, track[b"stz2"])
+        n = len(sizes)
+        if b"stts" in track:  # durations of runs of samples
+            times = _counted(data, track[b"stts"], "II")
+            if sum(count for count, _ in times) != n:
+                raise ValueError("the sample tables don't agree")
+            duration = sum(count * delta for count, delta in times)
         chunks = [x for (x,) in (_counted(data, track[b"co64"], "Q") if b"co64" in track else _counted(data, track[b"stco"], "I"))]
         runs = _counted(data, track[b"stsc"], "III")
         offsets: list[int] = []
