@@ -56,7 +56,7 @@ def mix(docs: DataFrame, levels: list[Level], *, percent: int, max_epochs: int =
     Nulls: a null value or id counts as an empty string, a null text as no tokens; rows that share an id and
     leaf stand together in the order, so all or none of them go. A leaf's order is never sorted
     whole: sums of hash ranges find the one range in which the prefix ends. An empty table gives an
-    empty table. Columns of docs pass through; one with a level's name is replaced.
+    empty table. Columns of docs pass through; those with a level's name, or named _n_tokens or _copies, are replaced.
     """
     names = [x.name for x in levels]
     values = {x.name: F.coalesce(F.expr(x.value).cast("string"), F.lit("")) for x in levels}
@@ -69,7 +69,8 @@ def mix(docs: DataFrame, levels: list[Level], *, percent: int, max_epochs: int =
     # what stands below a node of no weight can't be used, so it is no capacity of the nodes above
     usable = [F.coalesce(F.expr(x.weight).cast("double"), F.lit(0.0)) > 0 for x in levels]
     leaves = leaves.select("*", *[F.col(c).alias(n) for c, n in zip(leaf, names, strict=True)]).withColumn("usable", F.when(reduce(and_, usable), F.col("held")).otherwise(0)).drop(*names)
-    nodes = leaves.withColumn("budget", F.floor(F.sum("held").over(Window.partitionBy()) * percent / 100).cast("double"))
+    total = leaves.agg(F.sum("held")).first()[0] or 0
+    nodes = leaves.withColumn("budget", F.floor(F.lit(total) * percent / 100).cast("double"))
     for i, x in enumerate(levels):
         path, above = leaf[: i + 1], leaf[:i]
         weight = F.expr(x.weight)
@@ -101,12 +102,12 @@ def mix(docs: DataFrame, levels: list[Level], *, percent: int, max_epochs: int =
         F.when(F.col("_bucket").isNull(), "g").otherwise(F.lower(first)).alias("_before"), F.coalesce("last", F.lit("")).alias("_last"), F.col("rest").alias("_rest"),
     )
     cuts = cut(cuts)
-    base = docs.drop(*[n for n in names if n not in (id_col, text_col)])
-    whole_rows = docs.select(*[f"`{c}`" for c in base.columns], *own, tokens.alias("_n_tokens")).withColumn("_md5_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    base = [c for c in docs.columns if c not in ("_n_tokens", "_copies") and (c not in names or c in (id_col, text_col))]
+    whole_rows = docs.select(F.struct(F.lit(True).alias("is"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(base)]).alias("_row"), *own, tokens.alias("_n_tokens"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_md5_id"))
     joined = whole_rows.join(fitting(cuts), leaf).withColumn("_key", place(F.col("_full"), F.col("_md5_id")))
     last = ((F.col("_key") < F.col("_before")) | (F.col("_key") <= F.col("_last"))) & (F.col("_rest") > 0)
     joined = joined.withColumn("_copies", F.col("_full") + last.cast("long"))
-    return joined.select(*[f"`{c}`" for c in base.columns], *[F.col(c).alias(n) for c, n in zip(leaf, names, strict=True)], "_n_tokens", "_copies")
+    return joined.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(base)], *[F.col(c).alias(n) for c, n in zip(leaf, names, strict=True)], "_n_tokens", "_copies")
 
 
 #: The tree of the query: fixed by this library.

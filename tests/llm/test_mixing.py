@@ -3,6 +3,8 @@ import math
 import re
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from tapeloom.llm.mixing import TREE, Level, mix
 
 
@@ -96,3 +98,14 @@ def test_odd_rows(spark, odd):
     want = brute(rows, TREE_WEIGHTS, 50, 1, 7)
     assert sorted(map(repr, [(r.doc_id, r._copies) for r in got.collect()])) == sorted(map(repr, [(r[0], n) for r, n in zip(rows, want, strict=True)]))
     assert mix(odd.limit(0), TREE, percent=50).count() == 0
+
+
+def test_own_column_names(spark):
+    rows = [(i, "a b c", "en", f"src{i % 3}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name in ("_leaf0", "_full", "_copies", "_key", "_row", "_n_tokens", "domain", "budget", "_md5_id"):
+        docs = docs.withColumn(name, F.lit("x"))
+    out = mix(docs, TREE, percent=60, seed=7)
+    assert len(set(out.columns)) == len(out.columns)
+    got = out.collect()
+    assert len(got) == 30 and {r._leaf0 for r in got} == {"x"} and all(r._n_tokens == 3 and r._copies in (0, 1) for r in got) and {r.domain for r in got} == {"web", "books", "forums"} & {r.domain for r in got}
