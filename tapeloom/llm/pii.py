@@ -1,6 +1,6 @@
 """Personal data by anchor expansion.
 
-One automaton finds the anchors: at-signs, plus signs, digits, schemes and identifier cues. At
+One automaton finds the anchors: at-signs, plus signs, digits, schemes and cues of identifiers and secrets. At
 each anchor a deterministic local parser expands to the boundaries and validates what it found.
 The base kinds (email, ip, card, phone) equal a leftmost non-overlapping search per kind.
 """
@@ -18,20 +18,28 @@ from pyspark.sql import functions as F
 
 #: Kinds in the order of their listing at equal starts.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "account", "street")
+KINDS = (*BASE, "url", "account", "street", "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Possessive quantifiers: none of these could match otherwise by giving characters back.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-HOST = re.compile(r"(?:[^\s/?#@<>\"']{0,256}@)?([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
+HOST = re.compile(r"(?:[^\s/?#@<>\"']*+@)?([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
 NUMBER = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|#|:|=|is))*[ \t]*([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}|[0-9](?:[ -]?[0-9]){5,16})(?![A-Za-z0-9])")
-HOUSE = re.compile(r"([0-9]{1,6}) (?:[A-Z][a-z]+ ){1,4}$")
+CAPITALISED = re.compile(r"[A-Z][a-z]+")
+HOUSE = re.compile(r"[0-9]{1,6}")
+#: What follows the name of a secret, and secrets that name themselves.
+ASSIGNED = re.compile(r"[\"']?[ \t]*(?::=|=>|[:=]|is\b)[ \t]*[\"']?([^\s\"',;<>()\[\]{}]{8,})")
+CARRIED = re.compile(r"[ \t]+([A-Za-z0-9+/_.~=-]{16,})")
+PREFIXED = {"AKIA": r"[A-Z0-9]{16}(?![A-Za-z0-9])", "ghp_": r"[A-Za-z0-9]{36}", "github_pat_": r"[A-Za-z0-9_]{22,}", "sk-": r"[A-Za-z0-9_-]{20,}", "xoxb-": r"[A-Za-z0-9-]{10,}", "xoxp-": r"[A-Za-z0-9-]{10,}", "eyJ": r"[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"}
+BY_PREFIX = {k: re.compile(v) for k, v in PREFIXED.items()}
 #: Cues and the parser that each begins: fixed values.
 CUES = {
     "http://": "url", "https://": "url", "ftp://": "url",
     "iban": "account", "account": "account", "acct": "account", "kontonummer": "account", "sort code": "account",
+    "token": "assigned", "password": "assigned", "passwd": "assigned", "pwd": "assigned", "secret": "assigned", "api key": "assigned", "api_key": "assigned", "api-key": "assigned", "apikey": "assigned",
+    "access key": "assigned", "access_key": "assigned", "private key": "assigned", "private_key": "assigned", "bearer": "carried",
     " street": "street", " st.": "street", " road": "street", " avenue": "street", " ave.": "street", " lane": "street", " drive": "street", " boulevard": "street",
 }
 
@@ -63,11 +71,28 @@ def automaton() -> ahocorasick.Automaton:
         for cue, kind in CUES.items():
             for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
                 a.add_word(form, (kind, len(form)))
+        for prefix in PREFIXED:
+            a.add_word(prefix, (prefix, len(prefix)))
         a.make_automaton()
         _found.append(a)
     return _found[0]
 
 
+def house(text: str, at: int, over: int) -> int:
+    """Where the number begins that stands before one to four capitalised words, the last of which ends at the blank at; -1 if there is none behind over."""
+    for _ in range(4):
+        begin = text.rfind(" ", over, at) + 1
+        if not begin or not CAPITALISED.fullmatch(text, begin, at):
+            return -1
+        at = begin - 1  # the blank before the word
+        first = at
+        while first > over and at - first < 7 and text[first - 1] in "0123456789":
+            first -= 1
+        if first < at:
+            return first if HOUSE.fullmatch(text, first, at) and (first == 0 or not text[first - 1].isalnum()) else -1
+    return -1
+
+
 def spans_of(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all personal data in text, by start and then kind as in KINDS."""
     out: list[tuple[int, int, str]] = []
@@ -118,17 +143,27 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
             if m and (m[1][0].isdigit() or iban(m[1])):
                 over["account"] = m.end(1)
                 out.append((m.start(1), m.end(1), "account"))
+        elif anchor in ("assigned", "carried"):
+            m = (ASSIGNED if anchor == "assigned" else CARRIED).match(text, last + 1) if at >= over["secret"] else None
+            if m and any(c.isdigit() for c in m[1]):
+                over["secret"] = m.end(1)
+                out.append((m.start(1), m.end(1), "secret"))
+        elif anchor in BY_PREFIX:
+            m = BY_PREFIX[anchor].match(text, last + 1) if at >= over["secret"] and (at == 0 or not text[at - 1].isalnum()) else None
+            if m:
+                over["secret"] = m.end()
+                out.append((at, m.end(), "secret"))
         else:
             ends = text[last + 1 : last + 2]
-            m = HOUSE.search(text, max(over["street"], at - 80), at + 1) if not ends.isalnum() else None
-            if m and (m.start() == 0 or not text[m.start() - 1].isalnum()):
+            begin = house(text, at, over["street"]) if not ends.isalnum() else -1
+            if begin >= 0:
                 over["street"] = last + 1
-                out.append((m.start(), last + 1, "street"))
+                out.append((begin, last + 1, "street"))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
 def pii_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found for every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_spans, base_sha256, spans, found for every row.
 
     spans joins kind:start:end of all spans by commas (code points, end exclusive), found has them
     as an array with the matched text, base_sha256 digests those of the base kinds.
@@ -140,21 +175,22 @@ def pii_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("match", pa.string())]))
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in BASE}
-            digests, listed, found = [], [], []
+            digests, listed, found, secrets = [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 spans = spans_of(text)
                 for k in BASE:
                     counts[k].append(sum(s[2] == k for s in spans))
                 joined = lambda kinds, spans=spans: ",".join(f"{k}:{s}:{e}" for s, e, k in spans if k in kinds)
+                secrets.append(sum(s[2] == "secret" for s in spans))
                 digests.append(hashlib.sha256(joined(BASE).encode()).hexdigest())
                 listed.append(joined(KINDS))
                 found.append([{"kind": k, "start": s, "end": e, "match": text[s:e]} for s, e, k in spans])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(digests, pa.string()), pa.array(listed, pa.string()), pa.array(found, span)],
-                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "found"],
+                [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(secrets, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(digests, pa.string()), pa.array(listed, pa.string()), pa.array(found, span)],
+                names=["doc_id", *(f"n_{k}" for k in BASE), "n_secret", "n_spans", "base_sha256", "spans", "found"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in BASE)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {counts}, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long,match:string>>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {counts}, n_secret long, n_spans long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long,match:string>>")
