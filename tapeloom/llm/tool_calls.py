@@ -9,6 +9,8 @@ line of canonical JSON.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +22,10 @@ from tapeloom.llm.common import cut
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+#: Half of a surrogate pair, which JSON can spell but no text can hold.
+HALF = re.compile("[\ud800-\udfff]")
+
+
 def _no_constant(name: str):
     raise ValueError(f"{name} is no JSON")
 
@@ -27,6 +33,8 @@ def _no_constant(name: str):
 def fault(value, schema: dict, at: str = "arguments") -> str | None:
     """The first fault of value under schema, by type, enum, minimum, maximum, minLength, maxLength, required, properties, additionalProperties and items."""
     kind = schema.get("type")
+    if isinstance(value, float) and not math.isfinite(value):
+        return f"{at} is no finite number"
     if kind and (not isinstance(value, KINDS[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
         return f"{at} is no {kind}"
     if "enum" in schema and value not in schema["enum"]:
@@ -61,7 +69,7 @@ def fault(value, schema: dict, at: str = "arguments") -> str | None:
 
 def canonical(value) -> str:
     """JSON with sorted keys, no spaces and no escapes beyond those that JSON asks for."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def layers(calls: DataFrame) -> DataFrame:
@@ -87,7 +95,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     the smallest seq (then the smallest other fields) stands. A result without a call, or whose call
     comes later, is not linked; a result alone gives a row with error "no call" and no layer.
     Nulls: a row without a conversation or identifier is not linked to any; as a call it has layer 0.
-    Null arguments are no JSON, a null content is a JSON null, an unknown or null name is an error. record is
+    Null arguments are no JSON, numbers beyond a double's range and halves of surrogate pairs are errors, a null content is a JSON null, an unknown or null name is an error. record is
     null unless the call is valid. Further columns are not read. Empty tables give an empty table.
     """
     whole = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
@@ -96,7 +104,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     first = cut(first.select("conv_id", "call_id", *[f"c.{c}" for c in columns]))
     answers = results.where(whole).groupBy("conv_id", "call_id").agg(F.min(F.struct("seq", "content")).alias("r"))
     placed = first.join(layers(first), ["conv_id", "call_id"])
-    joined = placed.join(answers, ["conv_id", "call_id"], "full").withColumn("called", F.col("seq").isNotNull() | F.col("layer").isNotNull() | F.col("name").isNotNull() | F.col("arguments").isNotNull())
+    joined = placed.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "full").withColumn("called", F.col("seq").isNotNull() | F.col("layer").isNotNull() | F.col("name").isNotNull() | F.col("arguments").isNotNull())
     joined = joined.withColumn("linked", F.col("called") & F.col("r").isNotNull() & F.coalesce(F.col("r.seq") > F.col("seq"), F.lit(False)))
     fields = ["conv_id", "call_id", F.coalesce("seq", "r.seq").alias("seq"), "layer", "linked", "called", "name", "arguments", F.when(F.col("linked"), F.col("r.content")).alias("content")]
     loose = calls.where(~whole).select("conv_id", "call_id", "seq", F.lit(0).cast("long").alias("layer"), F.lit(False).alias("linked"), F.lit(True).alias("called"), "name", "arguments", F.lit(None).cast("string").alias("content"))
@@ -118,13 +126,14 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
                 else:
                     try:
                         value = json.loads(r["arguments"] or "", parse_constant=_no_constant)
-                        error = fault(value, schemas[r["name"]])
-                    except (ValueError, RecursionError):
+                        if HALF.search(json.dumps(value, ensure_ascii=False)):
+                            error = "arguments hold half a surrogate pair"
+                        else:
+                            error = fault(value, schemas[r["name"]])
+                            whole = {"arguments": value, "id": r["call_id"], "name": r["name"]} | ({"result": r["content"]} if r["linked"] else {})
+                            record = canonical(whole) if error is None else None
+                    except (ValueError, RecursionError):  # a float beyond all bounds where the schema does not look, too
                         error = "arguments are no JSON"
-                if error is None and r["linked"]:
-                    record = canonical({"arguments": value, "id": r["call_id"], "name": r["name"], "result": r["content"]})
-                elif error is None:
-                    record = canonical({"arguments": value, "id": r["call_id"], "name": r["name"]})
                 errors.append(error)
                 records.append(record)
             valid = pa.array([e is None for e in errors], pa.bool_())

@@ -49,3 +49,15 @@ def test_long_chains_take_few_rounds(spark):
 
 def test_canonical_json():
     assert canonical({"b": [1, 2.5, None], "a": {"é": "\n"}}) == '{"a":{"é":"\\n"},"b":[1,2.5,null]}'
+
+
+def test_strings_that_no_text_can_hold(spark):
+    schemas = {"t": {"type": "object", "properties": {"n": {"type": "number"}}}}
+    arguments = ['{"s": "\\ud800"}', '{"\\udc00": 1}', '{"n": 1e999}', '{"x": {"y": -1e999}}', '{"s": "\\ud83d\\ude00"}', None, ""]
+    rows = [(1, f"c{i}", i, "t", a, None, "x", 1) for i, a in enumerate(arguments)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, seq long, name string, arguments string, after string, layer string, valid int")
+    results = spark.createDataFrame([(1, "c4", 9, "é", "x")], "conv_id long, call_id string, seq long, content string, linked string")
+    got = {r.call_id: r for r in link_calls(calls, results, schemas).collect()}
+    assert [got[f"c{i}"].valid for i in range(7)] == [False] * 4 + [True, False, False]
+    assert "surrogate" in got["c0"].error and "surrogate" in got["c1"].error and "finite" in got["c2"].error and got["c3"].record is None
+    assert got["c4"].record == '{"arguments":{"s":"\U0001f600"},"id":"c4","name":"t","result":"é"}'
