@@ -8,6 +8,7 @@ many tokens as remain, in the order of a seeded hash.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -70,7 +71,7 @@ def mix(docs: DataFrame, levels: list[Level], *, percent: int, max_epochs: int =
     usable = [F.coalesce(F.expr(x.weight).cast("double"), F.lit(0.0)) > 0 for x in levels]
     leaves = leaves.select("*", *[F.col(c).alias(n) for c, n in zip(leaf, names, strict=True)]).withColumn("usable", F.when(reduce(and_, usable), F.col("held")).otherwise(0)).drop(*names)
     total = leaves.agg(F.sum("held")).first()[0] or 0
-    nodes = leaves.withColumn("budget", F.floor(F.lit(total) * percent / 100).cast("double"))
+    nodes = leaves.withColumn("budget", F.lit(float(math.floor(total * percent / 100))))
     for i, x in enumerate(levels):
         path, above = leaf[: i + 1], leaf[:i]
         weight = F.expr(x.weight)

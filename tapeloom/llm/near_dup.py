@@ -123,7 +123,7 @@ def marks(docs: DataFrame, width: int, k: int, id_col: str, text_col: str) -> Da
     """One row per document: doc_id, text_hash, key (digest of its shingle set; null if empty), n_shingles, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in parts(batches, 2, 1 << 22):
+        for batch, texts in parts(batches, 2, 1 << 21):
             keys, sizes, sketches = [], [], []
             for found in shingle_sets(texts, width):
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
@@ -141,7 +141,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch, texts in parts(batches, 1, 1 << 22):
+        for batch, texts in parts(batches, 1, 1 << 21):
             cids = batch.column(0).to_pylist()
             new = [i for i, c in enumerate(cids) if not (c in seen or seen.add(c))]
             yield pa.RecordBatch.from_arrays([pa.array([cids[i] for i in new], pa.int64()), _lists(list(shingle_sets([texts[i] for i in new], width)))], names=["cid", "shingles"])

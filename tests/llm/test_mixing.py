@@ -109,3 +109,8 @@ def test_own_column_names(spark):
     assert len(set(out.columns)) == len(out.columns)
     got = out.collect()
     assert len(got) == 30 and {r._leaf0 for r in got} == {"x"} and all(r._n_tokens == 3 and r._copies in (0, 1) for r in got) and {r.domain for r in got} == {"web", "books", "forums"} & {r.domain for r in got}
+
+
+def test_more_tokens_than_an_int_holds_times_percent(spark):
+    docs = spark.range(4).selectExpr("id AS doc_id", "repeat('a ', 12000000) AS text", "'en' AS lang", "'src1' AS source")
+    assert mix(docs, TREE, percent=50, seed=7).where("_copies > 0").count() in (1, 2)
