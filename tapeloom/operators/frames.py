@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.functions.timing import format_ts
+from tapeloom.operators.folds import folded
 
 #: Rank of a frame's source at equal times.
 SOURCES = {"start": 0, "scene": 1, "interval": 2}
@@ -67,11 +68,11 @@ def _thinned(frames: DataFrame, keeps: "callable") -> DataFrame:
     listed = frames.groupBy("media_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)["ts_s"]
-        return F.when((F.size(acc) == 0) | keeps(x["ts_s"], last), F.array_append(acc, x)).otherwise(acc)
+        kept = F.struct(x["ts_s"].alias("last"), F.lit(True).alias("any"), F.array_append(acc["out"], x).alias("out"))
+        return F.when(~acc["any"] | keeps(x["ts_s"], acc["last"]), kept).otherwise(acc)
 
-    zero = F.slice(F.col("rows"), 1, 0)
-    kept = listed.select("media_id", F.explode(F.aggregate("rows", zero, step)).alias("r"))
+    zero = F.struct(F.lit(None).cast(frames.schema["ts_s"].dataType).alias("last"), F.lit(False).alias("any"), F.slice(F.col("rows"), 1, 0).alias("out"))
+    kept = listed.select("media_id", F.explode(folded(F.col("rows"), zero, step)["out"]).alias("r"))
     return kept.select("media_id", *[F.col("r")[c].alias(c) for c in (*ORDER, *rest)]).select(frames.columns)
 
 

@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tapeloom.functions.clean import clean_ws
+from tapeloom.operators.folds import folded
 
 
-def source_priority(segments: DataFrame, priority: str = "priority") -> DataFrame:
-    """Of each recording the rows with text of the first source, by priority, that has any."""
+def source_priority(segments: DataFrame, runs: DataFrame, *, retried: tuple[int, ...] = (0,), priority: str = "priority") -> DataFrame:
+    """Of each recording the rows with text of the source that its search ends with.
+
+    runs(media_id, priority, ok) says which sources ran and which failed. The search goes by priority
+    and ends with the first that ran, whether or not it gave text; only those in retried give way to
+    the next when they ran without text. A recording none of whose sources ran has no rows, as one has
+    whose search ends with a source without text. A null ok is a failure; rows of runs that repeat count
+    once; null texts and texts of white space are none.
+    """
     clean = segments.withColumn("text", clean_ws(F.coalesce("text", F.lit("")))).where("text <> ''")
-    first = F.min(priority).over(Window.partitionBy("media_id"))
-    return clean.withColumn("_first", first).where(F.col(priority) == F.col("_first")).drop("_first")
+    filled = clean.groupBy("media_id", priority).agg(F.lit(True).alias("_filled"))
+    ran = runs.where("ok").select("media_id", F.col(priority)).join(filled, ["media_id", priority], "left")
+    ends = ran.where(F.col("_filled").isNotNull() | ~F.col(priority).isin(*retried)).groupBy("media_id").agg(F.min(priority).alias(priority))
+    return clean.join(ends, ["media_id", priority], "left_semi").select(segments.columns)
 
 
 def words(text: Column) -> Column:
@@ -34,12 +43,13 @@ def merge_segments(segments: DataFrame, *, min_words: int = 8, min_s: float = 2.
         last = acc["last"]
         short = (last["n"] < min_words) | (last["end_s"] - last["start_s"] < min_s)
         longer = F.struct(last["start_s"].alias("start_s"), x["end_s"].alias("end_s"), F.concat(last["text"], F.lit(" "), x["text"]).alias("text"), (last["n"] + words(x["text"])).alias("n"))
-        absorbed = F.struct(acc["done"].alias("done"), longer.alias("last"))
-        begun = F.struct(F.array_append(acc["done"], last).alias("done"), one(x).alias("last"))
+        absorbed = F.struct(acc["out"].alias("out"), longer.alias("last"))
+        begun = F.struct(F.array_append(acc["out"], last).alias("out"), one(x).alias("last"))
         return F.when(short, absorbed).otherwise(begun)
 
     first = one(F.col("rows")[0])
-    zero = F.struct(F.slice(F.array(first), 1, 0).alias("done"), first.alias("last"))
-    merged = F.aggregate(F.slice("rows", 2, F.size("rows")), zero, step, lambda acc: F.array_append(acc["done"], acc["last"]))
+    zero = F.struct(F.slice(F.array(first), 1, 0).alias("out"), first.alias("last"))
+    done = folded(F.slice("rows", 2, F.size("rows")), zero, step)
+    merged = F.transform(F.array(done), lambda acc: F.array_append(acc["out"], acc["last"]))[0]
     out = listed.select("media_id", F.posexplode(merged).alias("i", "s"))
     return out.select("media_id", (F.col("i") + 1).alias("seg_no"), "s.start_s", "s.end_s", "s.text")

@@ -84,7 +84,7 @@ def images(spark: SparkSession, d: str, kind: str = "click") -> DataFrame:
 
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.when(F.col("event_type") == "view", "[showinfo] n:").otherwise("[other] n:"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 5 == 0, " pts:").otherwise(" pts_time:"), (F.col("event_id") % 1000).cast("string"), F.lit("."), (F.col("event_id") % 10).cast("string"), F.lit(" pts_time:7"))
-    return events(spark, d).where("media_id % 7 <> 0").select("media_id", F.col("event_id").alias("line_no"), line.alias("line"))
+    return events(spark, d).select("media_id", F.col("event_id").alias("line_no"), line.alias("line"))
 
 
 def scene_filter(spark, d):
@@ -131,7 +131,8 @@ def visual_steps(spark, d):
 
 def source_priority(spark, d):
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("media_id"), "turn", F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2).alias("priority"), F.when((F.col("conv_id") % 3 == 0) & (F.col("role") != "assistant"), "  ").otherwise(F.col("text")).alias("text"))
-    return segments.source_priority(rows).select("media_id", "turn", "priority", F.length("text").cast("long").alias("n"))
+    runs = rows.select("media_id", "priority", F.lit(True).alias("ok")).distinct()
+    return segments.source_priority(rows, runs).select("media_id", "turn", "priority", F.length("text").cast("long").alias("n"))
 
 
 def merge_segments(spark, d):
@@ -160,12 +161,12 @@ def all_steps(spark, d):
 
 
 def transcript_text(spark, d):
-    return render.transcript_text(media(spark, d), speech(spark, d).where("media_id % 5 <> 0"))
+    return render.transcript_text(media(spark, d), speech(spark, d))
 
 
 def timeline_json(spark, d):
     names = media(spark, d).select("media_id", F.col("name").alias("source"))
-    out = render.timeline_json(names, steps(spark, d), speech(spark, d).where("media_id % 5 <> 0"))
+    out = render.timeline_json(names, steps(spark, d), speech(spark, d))
     shape = "source_video string, visual_steps array<struct<step:int,ts:string,image:string>>, transcript_steps array<struct<step:int,start_ts:string,end_ts:string,text:string>>"
     t = F.from_json("timeline", shape)
     shown = F.array_join(F.transform(t["visual_steps"], lambda s: F.concat_ws(" ", s["step"].cast("string"), s["ts"], s["image"])), "|")
@@ -174,7 +175,7 @@ def timeline_json(spark, d):
 
 
 def step_markdown(spark, d):
-    own, said = steps(spark, d), speech(spark, d).where("media_id % 5 <> 0")
+    own, said = steps(spark, d), speech(spark, d)
     given, extra = assign.assign(own, said, bucket_s=86400.0)
     return render.step_markdown(media(spark, d), assign.all_steps(own, extra), given, said)
 
@@ -239,9 +240,11 @@ def payload_valid(spark, d):
 
 
 def payload_default(spark, d):
-    rows = table(spark, d, "events").where("event_id % 5 > 1").select("event_id", F.from_json(_payload(), "map<string,string>").alias("m"))
+    payload = F.when(runlog.payload_valid(_payload()), _payload())
+    rows = table(spark, d, "events").select("event_id", F.from_json(payload, "map<string,string>").alias("m"))
     m = runlog.payload_default(F.col("m"), "name", "friend")
-    return rows.select("event_id", F.coalesce(m["name"], F.lit("(null)")).alias("name"), F.size(m).cast("long").alias("n"))
+    named = F.when(F.col("m").isNull(), "(no object)").otherwise(F.coalesce(m["name"], F.lit("(null)")))
+    return rows.select("event_id", named.alias("name"), F.when(F.col("m").isNull(), 0).otherwise(F.size(m)).cast("long").alias("n"))
 
 
 def log_tail(spark, d):

@@ -38,7 +38,7 @@ nr AS (SELECT s.media_id, (SELECT arg_min(step, (abs(s.mid - st.ts_s), st.ts_s,
 al AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY ts_s, is_extra, step) AS place FROM (SELECT *, 0 AS is_extra FROM st UNION ALL SELECT *, 1 FROM ex))"""
 
 IMAGES = EV + """, im AS (SELECT media_id, 'img_' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS image FROM ev WHERE event_type = 'click'),
-ln AS (SELECT media_id, event_id AS line_no, CASE WHEN event_type = 'view' THEN '[showinfo] n:' ELSE '[other] n:' END || event_id || CASE WHEN event_id % 5 = 0 THEN ' pts:' ELSE ' pts_time:' END || (event_id % 1000) || '.' || (event_id % 10) || ' pts_time:7' AS line FROM ev WHERE media_id % 7 <> 0),
+ln AS (SELECT media_id, event_id AS line_no, CASE WHEN event_type = 'view' THEN '[showinfo] n:' ELSE '[other] n:' END || event_id || CASE WHEN event_id % 5 = 0 THEN ' pts:' ELSE ' pts_time:' END || (event_id % 1000) || '.' || (event_id % 10) || ' pts_time:7' AS line FROM ev),
 tm AS (SELECT media_id, line_no, CAST(regexp_extract(line, 'pts_time:([0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) AS ts_s FROM ln WHERE contains(line, 'showinfo')),
 iv AS (SELECT media_id, image, (i - 1) * 2.0::DOUBLE AS ts_s FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY image) AS i FROM im) WHERE i <= 10)"""
 SCENE = """sc AS (SELECT media_id, ts_s, image, scene_score FROM fr WHERE scene_score > 0.45 QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY ts_s, src_no, image) <= 20)"""
@@ -118,8 +118,9 @@ ORACLES = {
     "dedupe_time": f"WITH RECURSIVE {FRAMES}, {_thin('d', 'fr', 'abs(n.ts_s - r.last) > 1800')} SELECT media_id, ts_s, image FROM d",
     "min_gap": f"WITH RECURSIVE {FRAMES}, {_thin('d', 'fr', 'n.ts_s - r.last >= 3600')} SELECT media_id, ts_s, image FROM d",
     "visual_steps": f"WITH RECURSIVE {STEPS} SELECT * FROM st",
-    "source_priority": """WITH a AS (SELECT conv_id AS media_id, turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS priority, trim(regexp_replace(CASE WHEN conv_id % 3 = 0 AND role <> 'assistant' THEN '  ' ELSE text END, '\\s+', ' ', 'g')) AS text FROM conversations)
-      SELECT media_id, turn, priority, CAST(length(text) AS BIGINT) AS n FROM a WHERE text <> '' QUALIFY priority = min(priority) OVER (PARTITION BY media_id)""",
+    "source_priority": """WITH a AS (SELECT conv_id AS media_id, turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS priority, trim(regexp_replace(CASE WHEN conv_id % 3 = 0 AND role <> 'assistant' THEN '  ' ELSE text END, '\\s+', ' ', 'g')) AS text FROM conversations),
+      e AS (SELECT media_id, min(priority) AS priority FROM (SELECT media_id, priority FROM a GROUP BY media_id, priority HAVING priority <> 0 OR max(length(text)) > 0) GROUP BY media_id)
+      SELECT media_id, turn, priority, CAST(length(text) AS BIGINT) AS n FROM a JOIN e USING (media_id, priority) WHERE text <> ''""",
     "merge_segments": f"""WITH RECURSIVE {SENTENCES}, m AS (SELECT media_id, seg_no, start_s, end_s, text, n, 1 AS g FROM sg WHERE seg_no = 1
       UNION ALL SELECT s.media_id, s.seg_no, CASE WHEN m.n < 8 OR m.end_s - m.start_s < 2.5 THEN m.start_s ELSE s.start_s END, s.end_s, CASE WHEN m.n < 8 OR m.end_s - m.start_s < 2.5 THEN m.text || ' ' || s.text ELSE s.text END,
         CASE WHEN m.n < 8 OR m.end_s - m.start_s < 2.5 THEN m.n + s.n ELSE s.n END, CASE WHEN m.n < 8 OR m.end_s - m.start_s < 2.5 THEN m.g ELSE m.g + 1 END FROM m JOIN sg s ON s.media_id = m.media_id AND s.seg_no = m.seg_no + 1)
@@ -130,15 +131,15 @@ ORACLES = {
     "tail_steps": f"WITH RECURSIVE {STEPS} SELECT * FROM ex",
     "all_steps": f"WITH RECURSIVE {STEPS} SELECT media_id, step, ts_s, ts, image, is_extra, CAST(place AS INTEGER) AS place FROM al",
     "transcript_text": f"""WITH RECURSIVE {STEPS} SELECT m.media_id, coalesce(string_agg('[' || {_ts("start_s")} || '] ' || text, chr(10) ORDER BY seg_no) || chr(10), '(no transcript)' || chr(10)) AS transcript
-      FROM (SELECT DISTINCT user_id AS media_id FROM events) m LEFT JOIN (SELECT * FROM sp WHERE media_id % 5 <> 0) s USING (media_id) GROUP BY m.media_id""",
+      FROM (SELECT DISTINCT user_id AS media_id FROM events) m LEFT JOIN sp s USING (media_id) GROUP BY m.media_id""",
     "timeline_json": f"""WITH RECURSIVE {STEPS}, v AS (SELECT media_id, count(*) AS n, string_agg(step || ' ' || ts || ' ' || image, '|' ORDER BY step) AS x FROM st GROUP BY media_id),
-      t AS (SELECT media_id, count(*) AS n, string_agg(seg_no || ' ' || {_ts("start_s")} || ' ' || {_ts("end_s")} || ' ' || text, '|' ORDER BY seg_no) AS x FROM sp WHERE media_id % 5 <> 0 GROUP BY media_id)
+      t AS (SELECT media_id, count(*) AS n, string_agg(seg_no || ' ' || {_ts("start_s")} || ' ' || {_ts("end_s")} || ' ' || text, '|' ORDER BY seg_no) AS x FROM sp GROUP BY media_id)
       SELECT m.media_id, 'm' || m.media_id || '.mp4' AS source, coalesce(v.n, 0) AS n_visual, coalesce(t.n, 0) AS n_transcript, coalesce(v.x, '') AS shown, coalesce(t.x, '') AS spoken FROM (SELECT DISTINCT user_id AS media_id FROM events) m LEFT JOIN v USING (media_id) LEFT JOIN t USING (media_id)""",
-    "step_markdown": f"""WITH RECURSIVE {STEPS}, given AS (SELECT * FROM (SELECT * FROM pv UNION ALL SELECT * FROM late) WHERE media_id % 5 <> 0),
+    "step_markdown": f"""WITH RECURSIVE {STEPS}, given AS (SELECT * FROM pv UNION ALL SELECT * FROM late),
       said AS (SELECT g.media_id, g.step, string_agg('   - `' || {_ts("start_s")} || ' → ' || {_ts("end_s")} || '` — ' || text, chr(10) ORDER BY sp.seg_no) AS x FROM given g JOIN sp ON sp.media_id = g.media_id AND sp.seg_no = g.seg_no GROUP BY g.media_id, g.step),
-      own AS (SELECT * FROM al WHERE is_extra = 0 OR media_id % 5 <> 0),
+      own AS (SELECT * FROM al),
       body AS (SELECT o.media_id, string_agg(o.step || '. **' || ts || '**' || chr(10) || chr(10) || CASE WHEN image <> '' THEN '   ![](' || image || ')' ELSE '   _(Transcript-only step)_' END || chr(10) || coalesce(chr(10) || '   **Transcript:**' || chr(10) || x || chr(10), ''), chr(10) ORDER BY place) AS x FROM own o LEFT JOIN said s ON s.media_id = o.media_id AND s.step = o.step GROUP BY o.media_id)
-      SELECT m.media_id, '# Recording' || chr(10) || chr(10) || '**Source:** `m' || m.media_id || '.mp4`' || chr(10) || chr(10) || '## Steps' || chr(10) || coalesce(chr(10) || b.x, '') || CASE WHEN m.media_id % 5 = 0 OR m.media_id NOT IN (SELECT media_id FROM sp) THEN chr(10) || '_No transcript available._' || chr(10) ELSE '' END AS markdown
+      SELECT m.media_id, '# Recording' || chr(10) || chr(10) || '**Source:** `m' || m.media_id || '.mp4`' || chr(10) || chr(10) || '## Steps' || chr(10) || coalesce(chr(10) || b.x, '') || CASE WHEN m.media_id NOT IN (SELECT media_id FROM sp) THEN chr(10) || '_No transcript available._' || chr(10) ELSE '' END AS markdown
       FROM (SELECT DISTINCT user_id AS media_id FROM events) m LEFT JOIN body b USING (media_id)""",
     "format_times": f"WITH {EV} SELECT event_id, {_ts('ts_s - 5')} AS ts, {_ts('value * 10')} AS v, (ts_s + value) / 2.0 AS mid FROM ev",
     "clean_whitespace": f"SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM ({WRAPPED})",
@@ -153,7 +154,7 @@ ORACLES = {
     "report": f"""WITH {_t2_light[0]}, hits AS ({_t2_light[1]}) SELECT doc_id, coalesce('[' || string_agg('{{"label":"' || label || '","match":"' || match || '","start":' || start || ',"end":' || "end" || '}}', ',' ORDER BY pass_no, start) || ']', '[]') AS report FROM t0 LEFT JOIN hits USING (doc_id) GROUP BY doc_id""",
     "clean_redact": f"SELECT doc_id, 't.' || doc_id || '.clean-standard__redact-heavy.txt' AS out_name, {_replaced(_cleaned('text', 'standard'), 'heavy')} AS text FROM ({T2})",
     "payload_valid": f"SELECT event_id, CASE WHEN json_valid({_payload}) THEN json_type({_payload}) = 'OBJECT' ELSE false END AS valid FROM events",
-    "payload_default": f"""WITH a AS (SELECT event_id, {_payload} AS p FROM events WHERE event_id % 5 > 1)
-      SELECT event_id, CASE WHEN NOT list_contains(json_keys(p), 'name') THEN 'friend' ELSE coalesce(json_extract_string(p, '$.name'), '(null)') END AS name, CAST(len(json_keys(p)) + CASE WHEN list_contains(json_keys(p), 'name') THEN 0 ELSE 1 END AS BIGINT) AS n FROM a""",
+    "payload_default": f"""WITH a AS (SELECT event_id, {_payload} AS raw, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END AS p FROM events)
+      SELECT event_id, CASE WHEN p IS NULL THEN '(no object)' WHEN NOT list_contains(json_keys(p), 'name') THEN 'friend' ELSE coalesce(json_extract_string(p, '$.name'), '(null)') END AS name, CAST(CASE WHEN p IS NULL THEN 0 ELSE len(json_keys(p)) END + CASE WHEN p IS NULL THEN 0 WHEN list_contains(json_keys(p), 'name') THEN 0 ELSE 1 END AS BIGINT) AS n FROM a""",
     "log_tail": "SELECT event_id, event_type AS agent, CAST(CASE WHEN value < 400 THEN 0 ELSE 1 END AS INTEGER) AS code FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
 }

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 LOG = "ts timestamp, agent string, payload string, ok boolean, summary string, data string"
@@ -53,6 +55,34 @@ def write_texts(texts: DataFrame, path: str, by: str = "ops") -> None:
     texts.write.mode("append").partitionBy(by).parquet(path)
 
 
+def write_files(texts: DataFrame, folder: str, name: str = "out_name", text: str = "text", suffix: str = "") -> None:
+    """A UTF-8 file for every row of texts in folder, which all executors reach, under the row's name and the suffix.
+
+    The executors write them, each under a name of its own first, so that a task that runs again
+    leaves a whole file. Of rows with one name the last written stays; a null text is an empty file,
+    a row without a name is an error.
+    """
+    unnamed = F.col(name).isNull() | (F.col(name) == "")
+    rows = texts.select(F.when(unnamed, F.raise_error(F.lit("a text has no name"))).otherwise(F.col(name)).cast("string").alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def write(own: Iterator[Row]) -> None:
+        fs, base = FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs.create_dir(base, recursive=True)
+        for r in own:
+            part = f"{base}/.{uuid4().hex}"
+            with fs.open_output_stream(part) as out:
+                out.write(r["text"].encode("utf-8", "replace"))
+            fs.move(part, f"{base}/{r['name']}{suffix}")
+
+    rows.foreachPartition(write)
+
+
+def write_reports(hits: DataFrame, folder: str, name: str = "out_name", col: str = "hits") -> None:
+    """The hits of every row as an indented JSON array in a file named after the row's own, with .redactions.json."""
+    listed = F.to_json(F.transform(col, lambda h: F.struct(h["label"].alias("label"), h["match"].alias("match"), h["start"].alias("start"), h["end"].alias("end"))), {"pretty": "true"})
+    write_files(hits.select(name, F.concat(F.coalesce(listed, F.lit("[]")), F.lit("\n")).alias("_report")), folder, name, "_report", ".redactions.json")
+
+
 def append_log(runs: DataFrame, path: str) -> None:
     """Runs as lines of JSON after those that are there; a run without a time gets that of writing."""
     runs.withColumn("ts", F.coalesce("ts", F.current_timestamp())).select(*[c.split(" ")[0] for c in LOG.split(", ")]).write.mode("append").json(path)

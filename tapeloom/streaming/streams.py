@@ -20,11 +20,11 @@ def redact_stream(texts: DataFrame, *, clean: str | None = "standard", level: st
 class _Gap(StatefulProcessor):
     """Keeps the time of the last frame kept; frames of a batch come in the order of time."""
 
-    def __init__(self, gap: float):
-        self.gap = gap
+    def __init__(self, gap: float, ttl_ms: int | None):
+        self.gap, self.ttl_ms = gap, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts_s double")
+        self.last = handle.getValueState("last", "ts_s double", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
@@ -42,9 +42,14 @@ class _Gap(StatefulProcessor):
         pass
 
 
-def thin_stream(frames: DataFrame, *, gap: float = 0.9) -> DataFrame:
-    """Streamed frames(media_id, ts_s, image) at least gap after the last one kept of their recording. Frames of a later batch that are earlier in time than it go."""
-    return frames.groupBy("media_id").transformWithStateInPandas(_Gap(gap), "media_id long, ts_s double, image string", "Append", "None")
+def thin_stream(frames: DataFrame, *, gap: float = 0.9, ttl_hours: float | None = None) -> DataFrame:
+    """Streamed frames(media_id, ts_s, image) at least gap after the last one kept of their recording. Frames of a later batch that are earlier in time than it go.
+
+    The state of a recording is one number. With ttl_hours it goes that long after the recording's last
+    frame was kept, by the clock, and a frame that comes later still begins anew; else it stays.
+    """
+    ttl, mode = (int(ttl_hours * 3_600_000), "ProcessingTime") if ttl_hours else (None, "None")
+    return frames.groupBy("media_id").transformWithStateInPandas(_Gap(gap, ttl), "media_id long, ts_s double, image string", "Append", mode)
 
 
 def tail_bucket_stream(segments: DataFrame, *, bucket: str = "30 seconds", late: str = "1 minute") -> DataFrame:

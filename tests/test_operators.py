@@ -1,8 +1,13 @@
+import json
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.functions import redaction_hits
 from tapeloom.operators import assign, frames, render, runlog, segments
-from tapeloom.sources import append_log, out_name, read_log, read_texts
-from tapeloom.streaming import redact_stream, tail_bucket_stream, thin_stream
+from tapeloom.sources import append_log, out_name, read_log, read_texts, write_files, write_reports
+from tapeloom.streaming import log_stream, redact_stream, tail_bucket_stream, thin_stream
 
 FRAMES = "media_id long, ts_s double, image string, src_no int"
 
@@ -104,3 +109,45 @@ def test_thin_stream_equals_the_batch(spark, tmp_path):
     q = thin_stream(stream, gap=0.9).writeStream.format("memory").queryName("thin").option("checkpointLocation", str(tmp_path / "ck")).start()
     got = sorted((r.media_id, r.ts_s) for r in drained(q, "thin", spark))
     assert got == sorted((r.media_id, r.ts_s) for r in frames.min_gap(df, gap=0.9).collect())
+    timed = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(d)
+    q = thin_stream(timed, gap=0.9, ttl_hours=1.0).writeStream.format("memory").queryName("timed").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    q.stop()
+    assert sorted((r.media_id, r.ts_s) for r in spark.sql("SELECT * FROM timed").collect()) == got
+
+
+def test_log_stream_appends(spark, tmp_path):
+    d, log = str(tmp_path / "runs"), str(tmp_path / "log")
+    shape = "ts timestamp, agent string, payload string, ok boolean, summary string, data string"
+    for i in range(2):
+        spark.createDataFrame([(f"2024-01-01 00:00:0{i}", "é", "{}", i > 0, f"s{i}", "{}")], "ts string, agent string, payload string, ok boolean, summary string, data string").write.mode("append").json(d)
+        q = log_stream(spark.readStream.schema(shape).json(d), log, str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert [(r.summary, r.agent, r.ok) for r in runlog.log_tail(read_log(spark, log), 5, order=("ts",)).collect()] == [("s0", "é", False), ("s1", "é", True)]
+
+
+def test_files_under_derived_names(spark, tmp_path):
+    rows = spark.createDataFrame([("/d/a.txt", "mail é@x b@c.de"), ("/d/b", None), ("/d/c.md", "")], "path string, text string")
+    out = redaction_hits(rows).select(out_name("path", None, "light").alias("out_name"), F.col("redacted").alias("text"), "hits")
+    folder = tmp_path / "out"
+    write_files(out, str(folder))
+    write_reports(out, str(folder))
+    assert sorted(os.listdir(folder)) == sorted(f"{n}{x}" for n in ("a.redact-light.txt", "b.redact-light", "c.redact-light.md") for x in ("", ".redactions.json"))
+    assert (folder / "a.redact-light.txt").read_bytes().decode() == "mail é@x [EMAIL]" and (folder / "b.redact-light").read_bytes() == b""
+    assert json.loads((folder / "a.redact-light.txt.redactions.json").read_text()) == [{"label": "EMAIL", "match": "b@c.de", "start": 9, "end": 15}]
+    assert (folder / "c.redact-light.md.redactions.json").read_text().split() == ["[", "]"] or (folder / "c.redact-light.md.redactions.json").read_text() == "[]\n"
+    with pytest.raises(Exception, match="no name"):
+        write_files(out.withColumn("out_name", F.lit(None).cast("string")), str(folder))
+
+
+def test_a_search_of_sources_ends_with_the_first_that_ran(spark):
+    rows = [(1, 0, " "), (1, 1, "b"), (1, 2, "c"), (2, 0, ""), (2, 1, None), (2, 2, "c"), (3, 2, "c"), (4, 0, "a"), (4, 1, "b"), (5, 2, "c"), (6, 0, "a")]
+    runs = [(1, 0, True), (1, 1, True), (2, 0, True), (2, 1, True), (2, 2, True), (3, 0, False), (3, 1, None), (3, 2, True), (4, 0, True), (4, 0, True), (4, 1, True), (5, 2, False)]
+    got = segments.source_priority(spark.createDataFrame(rows, "media_id long, priority int, text string"), spark.createDataFrame(runs, "media_id long, priority int, ok boolean"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "b"), (3, 2, "c"), (4, 0, "a")]
+
+
+def test_thinning_of_a_long_recording(spark):
+    df = spark.range(60000).selectExpr("1L AS media_id", "id * 0.5D AS ts_s", "CAST(id AS string) AS image", "0 AS src_no")
+    assert frames.min_gap(df, gap=0.9).count() == 30000
+    assert frames.dedupe_time(df.limit(0)).count() == 0
