@@ -51,3 +51,30 @@ def test_odd_rows(spark, odd):
     assert len(rows) == 10 and all(r.error is None for r in rows)
     assert {r.n_bytes for r in rows if r.doc_id in (1, 2)} == {0}
     assert media_features(to_media(odd.limit(0))).count() == 0
+
+
+def test_small_sizes_times_and_zero_ended_user_data():
+    import struct
+
+    import pytest
+
+    from tapeloom.llm.media import box, demux, full, samples
+
+    def movie(bits, body, times, end=b"\0\0\0\0"):
+        def moov(start):
+            stbl = box(
+                b"stbl", full(b"stsd", 0, struct.pack(">I", 1), box(b"raw ", bytes(8))), full(b"stts", 0, struct.pack(">I", len(times)), *(struct.pack(">II", *t) for t in times)),
+                full(b"stsc", 0, struct.pack(">IIII", 1, 1, 3, 1)), full(b"stz2", 0, struct.pack(">3xBI", bits, 3), body), full(b"stco", 0, struct.pack(">II", 1, start)),
+            )
+            mdia = box(b"mdia", full(b"mdhd", 0, struct.pack(">IIIIHH", 0, 0, 10, 0, 0, 0)), box(b"minf", stbl))
+            return box(b"moov", box(b"trak", mdia), box(b"udta", box(b"name", b"x"), end))
+
+        return moov(len(moov(0)) + 8) + box(b"mdat", b"abbccc")
+
+    for bits, body in ((4, b"\x12\x30"), (8, b"\1\2\3"), (16, b"\0\1\0\2\0\3")):
+        data = movie(bits, body, [(2, 5), (1, 7)])
+        found = demux(data)
+        assert found["sizes"] == [1, 2, 3] and found["duration"] == 17 and samples(data, found) == b"abbccc"
+    for bad in (movie(8, b"\1\2", [(3, 1)]), movie(8, b"\1\2\3", [(2, 1)]), movie(8, b"\1\2\3", [(3, 1)], b"\0\0\0\1"), movie(5, b"\1\2\3", [(3, 1)])):
+        with pytest.raises(ValueError):
+            demux(bad)
