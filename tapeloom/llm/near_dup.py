@@ -35,6 +35,8 @@ MASK = (1 << 64) - 1
 SEGMENT = 1 << 17
 #: bytes of a word beyond which its hash is a digest
 LONG = 64
+#: bits of a set's parity bitmap
+BITS = 512
 #: Bytes as they count: A-Z in lower case, all white space one byte.
 FOLD = bytes(32 if b in b" \t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -109,6 +111,12 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, np.concatenate(values).astype(np.int64) if values else np.zeros(0, np.int64))
 
 
+def _bitmaps(sets: list[np.ndarray]) -> pa.Array:
+    """Of each set the parity of how many of its values fall on each of BITS places, as longs."""
+    odd = [np.packbits((np.bincount((s % U(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+    return _lists(odd)
+
+
 def needed(k: int, percent: int, miss: float = 1e-9) -> int:
     """The most values of a union sketch of k that two sets of similarity percent share but for a chance of miss."""
     t, below = percent / 100, 0.0
@@ -137,18 +145,19 @@ def marks(docs: DataFrame, width: int, k: int, id_col: str, text_col: str) -> Da
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(cid, shingles) with the whole shingle set of each class in wanted(cid, doc_id, text_hash); rows that repeat an id and text give it once."""
+    """(cid, shingles, bits) with the whole shingle set and bitmap of each class in wanted(cid, doc_id, text_hash); rows that repeat an id and text give it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch, texts in parts(batches, 1, 1 << 21):
             cids = batch.column(0).to_pylist()
             new = [i for i, c in enumerate(cids) if not (c in seen or seen.add(c))]
-            yield pa.RecordBatch.from_arrays([pa.array([cids[i] for i in new], pa.int64()), _lists(list(shingle_sets([texts[i] for i in new], width)))], names=["cid", "shingles"])
+            sets = list(shingle_sets([texts[i] for i in new], width))
+            yield pa.RecordBatch.from_arrays([pa.array([cids[i] for i in new], pa.int64()), _lists(sets), _bitmaps(sets)], names=["cid", "shingles", "bits"])
 
     rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     found = rows.join(fitting(wanted), (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("cid", "text")
-    sets = cut(found.mapInArrow(run, "cid long, shingles array<long>"))
+    sets = cut(found.mapInArrow(run, "cid long, shingles array<long>, bits array<long>"))
     if sets.groupBy("cid").count().where(F.col("count") > 1).head(1):  # rows that repeat, in several tasks; no text is shuffled to find them
         once = cut(sets.dropDuplicates(["cid"]))
         release(sets)
@@ -204,7 +213,10 @@ def _cross_pairs(sets: DataFrame, classes: DataFrame, percent: int, block: int)
 
     A class stands in the lists of as many of its rarest shingles as it may lack and one more. Long
     lists are dealt out in blocks. A pair passes where what follows the shared shingle in both can
-    still make up the similarity, which shingles of no other class, the first of all, soon rule out.
+    still make up the similarity, which shingles of no other class, the first of all, soon rule out,
+    and where their bitmaps differ in no more places than similar sets differ in values: each value
+    that only one set has turns one place, so this loses no pair. Sets of many more than BITS values
+    fill the bitmap and are told apart by the exact sets alone.
     """
     held = sets.join(classes, "cid").select("cid", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
     common = held.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1")
@@ -215,12 +227,15 @@ def _cross_pairs(sets: DataFrame, classes: DataFrame, percent: int, block: int)
     # no partner is smaller than percent of n, so a class with less after the shared shingle can't be similar to any
     held = held.where((100 + percent) * (1 + F.col("n") - F.col("place")) >= percent * (F.col("n") + F.ceil(percent * F.col("n") / 100)))
     blocks = F.ceil(F.col("c") / block).cast("int")
+    held = held.join(sets.select("cid", "bits"), "cid")
     side = held.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    side = cut(side.select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), (F.col("n") - F.col("place")).alias("after")))
-    other = side.select("v", "x", "y", F.col("own").alias("own2"), F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"), F.col("after").alias("after2"))
+    side = cut(side.select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), (F.col("n") - F.col("place")).alias("after"), "bits"))
+    other = side.select("v", "x", "y", F.col("own").alias("own2"), F.col("a").alias("b"), F.col("la").alias("lb"), F.col("na").alias("nb"), F.col("after").alias("after2"), F.col("bits").alias("bits2"))
+    apart = sum(F.bit_count(F.col("bits")[j].bitwiseXOR(F.col("bits2")[j])) for j in range(BITS // 64))
+    alike = (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
     enough = (100 + percent) * (1 + F.least("after", "after2")) >= percent * (F.col("na") + F.col("nb"))
     once = (F.col("x") == F.col("y")) | (F.col("own") != F.col("own2"))
-    pairs = cut(side.join(other, ["v", "x", "y"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & once & _sized(percent) & enough).select("a", "b").distinct())
+    pairs = cut(side.join(other, ["v", "x", "y"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & once & _sized(percent) & enough & alike).select("a", "b").distinct())
     release(side)
     return pairs
 

@@ -1,7 +1,9 @@
 import random
 import re
 
-from tapeloom.llm.near_dup import near_duplicates, needed
+import numpy as np
+
+from tapeloom.llm.near_dup import BITS, _bitmaps, near_duplicates, needed
 
 
 def shingles(text, width):
@@ -93,3 +95,14 @@ def test_odd_rows(spark, odd):
 
 def test_needed_grows_with_similarity():
     assert 5 <= needed(32, 80) < needed(32, 85) < needed(32, 95) <= 32
+
+
+def test_bitmaps_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: n * 9 // 10], rng.integers(0, 1 << 63, n // 9).astype(np.uint64))))
+        x, y = _bitmaps([a, b]).to_pylist()
+        assert len(x) == BITS // 64
+        assert sum(((int(p) ^ int(q)) & ((1 << 64) - 1)).bit_count() for p, q in zip(x, y, strict=True)) <= len(np.setxor1d(a, b))
+        assert _bitmaps([a]).to_pylist()[0] == x
