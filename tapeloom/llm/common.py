@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that goes to a Python worker while a table is written: a bound of memory alone.
+ARROW = 4 << 20
 _own: list[str] = []
 
 
@@ -35,10 +37,21 @@ def cut(df: DataFrame) -> DataFrame:
 
     The lineage ends there, so lost executors do not lose it, and its size on disk is known to
     the planner: a join with it becomes a broadcast join only below autoBroadcastJoinThreshold.
+    Arrow batches hold ARROW bytes meanwhile, unless the session asks for smaller ones; its own
+    setting is put back.
     """
-    path = f"{shared_dir(df.sparkSession)}/tapeloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    path = f"{shared_dir(spark)}/tapeloom-{uuid.uuid4().hex}"
+    asked = spark.conf.get(name)
+    smaller = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > ARROW
+    if smaller:
+        spark.conf.set(name, str(ARROW))
+    try:
+        df.write.parquet(path)
+    finally:
+        if smaller:
+            spark.conf.set(name, asked)
+    out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
