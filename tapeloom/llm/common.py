@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -14,8 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of an Arrow batch that goes to a Python worker while a table is written: a bound of memory alone.
-ARROW = 4 << 20
+#: While a table is written: bytes of an Arrow batch that goes to a Python worker, and rows that are read at once. Bounds of memory alone.
+LEAN = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 1024}
+#: Bytes of rows that a task holds until it writes them as one row group.
+GROUP = 16 << 20
 _own: list[str] = []
 
 
@@ -32,25 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def lean(spark: SparkSession) -> dict[str, str]:
+    """Set the settings of LEAN that the session has higher or without a bound; returns what those were."""
+    asked = {}
+    for name, most in LEAN.items():
+        own = spark.conf.get(name)
+        if own.startswith("-") or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own) > most:
+            asked[name] = own
+            spark.conf.set(name, str(most))
+    return asked
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     The lineage ends there, so lost executors do not lose it, and its size on disk is known to
     the planner: a join with it becomes a broadcast join only below autoBroadcastJoinThreshold.
-    Arrow batches hold ARROW bytes meanwhile, unless the session asks for smaller ones; its own
-    setting is put back.
+    Settings are those of LEAN meanwhile, where the session does not ask for less; its own are put back.
     """
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
     path = f"{shared_dir(spark)}/tapeloom-{uuid.uuid4().hex}"
-    asked = spark.conf.get(name)
-    smaller = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > ARROW
-    if smaller:
-        spark.conf.set(name, str(ARROW))
+    asked = lean(spark)
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", GROUP).parquet(path)
     finally:
-        if smaller:
-            spark.conf.set(name, asked)
+        for name, own in asked.items():
+            spark.conf.set(name, own)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -81,10 +91,19 @@ def slices(texts: list[str], limit: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def give_back() -> None:
+    """Return a process's free memory to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def parts(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The batches in consecutive parts of about limit bytes of text, one row at least, with the texts of a column (null: empty).
 
     Only a part's texts are Python objects at a time, so that a worker's memory does not grow with a batch.
+    At the end what is free goes back to the system, as a worker waits for its next task beside others.
     """
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -95,6 +114,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterato
             part = batch.slice(start, end - start)
             yield part, part.column(column).fill_null("").to_pylist()
             start = end
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
