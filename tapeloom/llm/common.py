@@ -91,6 +91,12 @@ def slices(texts: list[str], limit: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The whole numbers from each start on, as many as its size, one run after the other."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+
+
 def give_back() -> None:
     """Return a process's free memory to the system, where its C library can."""
     pa.default_memory_pool().release_unused()

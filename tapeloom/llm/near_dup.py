@@ -84,6 +84,24 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
+def run_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes b[start:end]; runs ascend and don't overlap. Works through segments, as word_hashes() does."""
+    out, i = np.zeros(len(starts), U), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, "right")))
+        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        own = np.zeros(j - i, U)
+        if e[-1] <= SEGMENT:
+            part = b[starts[i] : ends[j - 1]]
+            p, inverse = _power_tables(len(part) + 1)
+            total = np.concatenate(([U(0)], np.cumsum((part.astype(U) + U(1)) * p[: len(part)])))
+            own = _mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U))
+        for k in np.flatnonzero(e - s > LONG):
+            own[k] = int.from_bytes(hashlib.blake2b(b[starts[i + k] : ends[i + k]].tobytes(), digest_size=8).digest(), "little")
+        out[i:j], i = own, j
+    return out
+
+
 def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 63-bit hashes of its shingles of width words.
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import line_dedup, mixing, tool_calls
+from tapeloom.llm.alignment import aligned
 from tapeloom.llm.bm25 import search
 from tapeloom.llm.common import table
+from tapeloom.llm.embedding_dup import embedding_duplicates
 from tapeloom.llm.language import held_out, language_spans, train
 from tapeloom.llm.license_scan import license_scan
 from tapeloom.llm.line_dedup import dedup_lines
@@ -16,6 +18,7 @@ from tapeloom.llm.mixing import TREE, mix
 from tapeloom.llm.near_dup import near_duplicates
 from tapeloom.llm.packing import pack, word_encoder
 from tapeloom.llm.pii import pii_spans
+from tapeloom.llm.spelling import spelling_groups, word_counts
 from tapeloom.llm.tool_calls import SCHEMAS, calls_of, link_calls
 
 
@@ -71,5 +74,18 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), lambda: word_encoder(tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_license_scan, op4_tool_calls, op5_minhash_near_dup, op6_bm25_top_k, op7_pii, op8_language_id, op9_mixing, op10_sum_of_squares_packing)}
+def op11_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(table(spark, sf_dir, "documents"), min_chars=6, damage=199)
+    return spelling_groups(words.where("n >= 5"), ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"), (tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_license_scan, op4_tool_calls, op5_minhash_near_dup, op6_bm25_top_k, op7_pii, op8_language_id, op9_mixing, op10_sum_of_squares_packing, op11_embedding_near_dup, op12_spelling_variants, op13_tokenizer_alignment)}
 ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op4_tool_calls": tool_calls.ORACLE, "op9_mixing": mixing.ORACLE}
