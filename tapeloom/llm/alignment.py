@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from tapeloom.llm.common import cut, parts, ragged, release
+from tapeloom.llm.common import cut, distinct, parts, ragged, release
 from tapeloom.llm.near_dup import run_hashes
 
 #: Chunks that are encoded in one run.
 TOGETHER = 4096
 #: Linked pairs of ids that a task holds before it hands out their counts.
 PAIRS = 1 << 21
-PART = 1 << 20
+PART = 1 << 21
 LOW = (1 << 32) - 1
 
 
@@ -85,12 +85,12 @@ class Pair:
     """Two tokenizers of a worker, and what it knows of the chunks it met: those used since the last turn, and before it.
 
     Of a chunk are kept the numbers of its tokens in A and B and of groups, the linked pairs of ids (a << 32 | b, as
-    bytes) and the groups as text; None where the tokens' bytes are not the chunk's.
+    bytes) and, with texts, the groups as text; None where the tokens' bytes are not the chunk's.
     """
 
-    def __init__(self, path_a: str, path_b: str, cached: int = 200_000):
+    def __init__(self, path_a: str, path_b: str, cached: int = 600_000, texts: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
-        self.a, self.b, self.cached = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b), cached
+        self.a, self.b, self.cached, self.texts = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b), cached, texts
         self.a.encode_special_tokens = True
         letters, vocab = byte_letters(), self.a.get_vocab()
         self.bytes_a: list[bytes] = [b""] * (1 + max(vocab.values()))
@@ -101,6 +101,8 @@ class Pair:
             raise ValueError("a piece goes across the end of a word")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        #: how an id is spelt before another of its list, and as the last of it
+        self.names = [[np.array([f"{i}{mark}" for i in range(len(t))], object) for mark in marks] for t, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))]
         self.new: dict[int, tuple | None] = {}
         self.old: dict[int, tuple | None] = {}
 
@@ -122,13 +124,19 @@ class Pair:
         last_a, last_b = at_a + 1, at_b + 1
         tokens_a, tokens_b = last_a[upto], last_b[upto]
         links = np.searchsorted(link_a, tokens_a)
-        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        cuts_a, cuts_b = last_a.tolist(), last_b.tolist()
-        groups = [""] + [f"{','.join(names_a[cuts_a[g - 1] : cuts_a[g]])}|{','.join(names_b[cuts_b[g - 1] : cuts_b[g]])}" for g in range(1, len(cuts_a))]
-        out, g, x = [], upto.tolist(), links.tolist()
-        n_a, n_b = np.diff(tokens_a).tolist(), np.diff(tokens_b).tolist()
-        for i in range(len(chunks)):
-            out.append((n_a[i], n_b[i], g[i + 1] - g[i], linked[x[i] : x[i + 1]].tobytes(), ";".join(groups[g[i] + 1 : g[i + 1] + 1]).encode()))
+        g, x = upto.tolist(), links.tolist()
+        n_a, n_b, n = np.diff(tokens_a).tolist(), np.diff(tokens_b).tolist(), len(chunks)
+        texts = [b""] * n
+        if self.texts:
+            spelt = np.empty(len(ids_a) + len(ids_b), object)
+            group_a, group_b = (np.repeat(np.arange(len(at_a)), np.diff(last, prepend=0)) for last in (last_a, last_b))
+            place_a, place_b = np.arange(len(ids_a)) + np.concatenate(([0], last_b))[group_a], np.arange(len(ids_b)) + last_a[group_b]
+            for place, ids, last, (inner, final) in ((place_a, ids_a, at_a, self.names[0]), (place_b, ids_b, at_b, self.names[1])):
+                spelt[place] = inner[ids]
+                spelt[place[last]] = final[ids[last]]
+            ids, cuts = spelt.tolist(), (tokens_a + tokens_b).tolist()
+            texts = ["".join(ids[cuts[i] : cuts[i + 1]])[:-1].encode() for i in range(n)]
+        out = [(n_a[i], n_b[i], g[i + 1] - g[i], linked[x[i] : x[i + 1]].tobytes(), texts[i]) for i in range(n)]
         return out
 
     def known(self, keys: list[int], chunk: Callable[[int], bytes]) -> list[tuple | None]:
@@ -164,7 +172,7 @@ def chunk_starts(b: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 #: What a worker keeps for its next tasks, by files.
-_kept: dict[tuple[str, str], Pair] = {}
+_kept: dict[tuple, Pair] = {}
 
 
 class _Part:
@@ -178,7 +186,7 @@ class _Part:
         b = np.frombuffer(data, np.uint8)
         starts = chunk_starts(b, begins) if rows else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(data)).astype(np.int64) if rows else starts
-        keys, first, at = np.unique(run_hashes(b, starts, ends), return_index=True, return_inverse=True)
+        keys, first, at = distinct(run_hashes(b, starts, ends))
         known = pair.known(keys.tolist(), lambda i: data[starts[first[i]] : ends[first[i]]])
         doc = np.searchsorted(begins, starts, "right") - 1
         bad = np.array([x is None for x in known], bool)
@@ -192,20 +200,21 @@ class _Part:
         self.pairs = np.frombuffer(b"".join(x[3] for x in self.known), np.int64)
 
 
-def _pair(paths: tuple[str, str]) -> Pair:
-    if paths not in _kept:
-        _kept[paths] = Pair(*paths)
-    return _kept[paths]
+def _pair(paths: tuple[str, str], texts: bool) -> Pair:
+    if (paths, texts) not in _kept:
+        _kept.clear()  # those of the pass before are not asked for again
+        _kept[paths, texts] = Pair(*paths, texts=texts)
+    return _kept[paths, texts]
 
 
 def link_counts(docs: DataFrame, paths: tuple[str, str], text_col: str = "text") -> DataFrame:
     """(pair, n): how many links of all texts hold the ids a and b (a << 32 | b) linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, pairs, counts = _pair(paths), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pair, pairs, counts = _pair(paths, False), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def summed(of: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([x for x, _ in of]), return_inverse=True)
+            keys, _, at = distinct(np.concatenate([x for x, _ in of]))
             total = np.zeros(len(keys), np.int64)
             np.add.at(total, at, np.concatenate([n for _, n in of]))
             return keys, total
@@ -251,7 +260,7 @@ def aligned(docs: DataFrame, paths: tuple[str, str], *, common: int = 1 << 17, i
     names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "pairs", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, (often, own, is_best) = _pair(paths), sent.value
+        pair, (often, own, is_best) = _pair(paths, True), sent.value
         row = TaskContext.get().partitionId() << 33
         for batch, texts in parts(batches, 1, PART):
             part, n = _Part(pair, texts), len(texts)

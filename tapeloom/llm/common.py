@@ -97,6 +97,17 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of x in order, where each stands first, and the place of each of x among them, by one sort."""
+    order = np.argsort(x, kind="stable")
+    ahead = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ahead[1:] != ahead[:-1]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ahead[new], order[new], at
+
+
 def give_back() -> None:
     """Return a process's free memory to the system, where its C library can."""
     pa.default_memory_pool().release_unused()

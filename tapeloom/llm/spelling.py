@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, parts, release
+from tapeloom.llm.common import cut, distinct, parts, release
 from tapeloom.llm.near_dup import run_hashes
 
 #: A-Z in lower case, a-z kept; what else stands in a word is told from the bytes around it.
@@ -72,7 +72,7 @@ def word_counts(docs: DataFrame, *, min_chars: int = 6, damage: int | None = Non
             if damage:
                 ids = [zlib.crc32(f"{x if x is not None else ''}:".encode()) for x in batch.column(0).to_pylist()]
                 mixed = hashes ^ (of.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                _, first, at = np.unique(mixed, return_index=True, return_inverse=True)
+                _, first, at = distinct(mixed)
                 h = _crcs(b, starts[first], (ends - starts)[first], np.array(ids, np.uint32)[of[first]])
                 gone = (h % damage == 0)[at]
                 for i in np.flatnonzero(gone).tolist():
@@ -82,7 +82,8 @@ def word_counts(docs: DataFrame, *, min_chars: int = 6, damage: int | None = Non
                         left = (word[:place] + word[place + 1 :]).encode()
                         lost[left] = lost.get(left, 0) + 1
                 starts, ends, hashes = starts[~gone], ends[~gone], hashes[~gone]
-            _, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            _, first, at = distinct(hashes)
+            n = np.bincount(at, minlength=len(first))
             words = [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([*words, *lost], pa.binary()).cast(pa.string()), pa.array([*n.tolist(), *lost.values()], pa.int64())], names=["word", "n"])
 
