@@ -18,6 +18,9 @@ def _each(c: Column, *steps: tuple[str, str]) -> Column:
     return c
 
 
+# The patterns below are fixed values.
+
+
 def clean_ws(c: Column | str) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return _each(_col(c), (f"{SPACE}+", " "), (r"\A | \z", ""))

@@ -21,3 +21,9 @@ def spelt(pattern: str) -> str:
     """pattern with W, D, S and B between angle brackets replaced by the classes above; <s> stands inside brackets."""
     table = {"<W>": WORD, "<D>": DIGIT, "<S>": SPACE, "<s>": SPACES, "<B>": EDGE, "<x>": EXTRA}
     return re.sub("<[WDSBsx]>", lambda m: table[m[0]], pattern)
+
+
+def pythonic(pattern: str) -> str:
+    """pattern, as spelt() takes it, in Python's own dialect, whose classes mean just that."""
+    table = {"<W>": r"\w", "<D>": r"\d", "<S>": r"\s", "<s>": r"\s", "<B>": r"\b", "<x>": ""}
+    return re.sub("<[WDSBsx]>", lambda m: table[m[0]], pattern)

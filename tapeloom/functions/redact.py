@@ -1,20 +1,25 @@
 """Masking of personal data at three levels, in ordered passes, with every hit.
 
 Each pass reads the text as the passes before left it, and a hit's offsets (code points) are
-those in that text.
+those in that text; orig_start and orig_end are those in the text given.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tapeloom.functions.dialect import DIGIT, literal, spelt
+from tapeloom.functions.dialect import DIGIT, literal, pythonic, spelt
 
 LEVELS = ("light", "standard", "heavy")
 
@@ -37,7 +42,7 @@ FIXED = [
 INTRODUCED = "(?iu)(?=m)(?<!<W>)my name is<S>+([A-Z<x>][a-z<x>]+(?:<S>+[A-Z<x>][a-z<x>]+){0,2})<B>"
 NUMBER = "(?=<D>)(?<!<W>)<D>{4,}(?!<W>)"
 FULL_NAME = "(?=[A-Z])(?<!<W>)([A-Z][a-z]+)<S>+([A-Z][a-z]+)(?!<W>)"
-HIT = "struct<label:string,match:string,start:int,end:int,pass_no:int>"
+HIT = StructType([StructField("label", StringType()), StructField("match", StringType()), *[StructField(c, IntegerType()) for c in ("start", "end", "pass_no", "orig_start", "orig_end")]])
 
 
 @dataclass(frozen=True)
@@ -49,6 +54,8 @@ class Pass:
     grouped: bool = False
     #: pattern of a character without which there is no match; a mask has none of them
     needs: str = ""
+    #: the pattern in Python's dialect
+    python: str = ""
 
 
 def ordered_terms(terms: Iterable[str]) -> list[str]:
@@ -59,13 +66,13 @@ def ordered_terms(terms: Iterable[str]) -> list[str]:
 def passes(level: str = "light", names: Iterable[str] = (), orgs: Iterable[str] = (), locations: Iterable[str] = ()) -> list[Pass]:
     """The passes of a level, in order; any other level is light. Terms count from standard on."""
     rank = LEVELS.index(level) if level in LEVELS else 0
-    out = [Pass(i + 1, label, spelt(p), needs="@" if label == "EMAIL" else DIGIT) for i, (label, least, p) in enumerate(FIXED) if rank >= least]
+    out = [Pass(i + 1, label, spelt(p), needs="@" if label == "EMAIL" else DIGIT, python=pythonic(p)) for i, (label, least, p) in enumerate(FIXED) if rank >= least]
     if rank >= 1:
-        out.append(Pass(9, "NAME", spelt(INTRODUCED), grouped=True))
+        out.append(Pass(9, "NAME", spelt(INTRODUCED), grouped=True, python=pythonic(INTRODUCED)))
         for number, label, terms in ((10, "NAME", names), (11, "ORG", orgs), (12, "LOCATION", locations)):
-            out += [Pass(number, label, spelt("(?iu)<B>") + literal(t) + spelt("<B>")) for t in ordered_terms(terms)]
+            out += [Pass(number, label, spelt("(?iu)<B>") + literal(t) + spelt("<B>"), python=pythonic("(?iu)<B>") + re.escape(t) + pythonic("<B>")) for t in ordered_terms(terms)]
     if rank >= 2:
-        out += [Pass(13, "NUM", spelt(NUMBER), needs=DIGIT), Pass(14, "NAME", spelt(FULL_NAME))]
+        out += [Pass(13, "NUM", spelt(NUMBER), needs=DIGIT, python=pythonic(NUMBER)), Pass(14, "NAME", spelt(FULL_NAME), python=pythonic(FULL_NAME))]
     return out
 
 
@@ -99,23 +106,6 @@ def _with_mask(text: Column, found: Column, p: Pass) -> Column:
     return F.when(F.size(found) > 0, F.concat(done, F.substring(text, used + 1, F.length(text)))).otherwise(text)
 
 
-def _running(sizes: Column, block: int = 64) -> Column:
-    """Sums of the first one, two and so on of sizes; within blocks and over the blocks' sums, so that it isn't quadratic."""
-    add = lambda a, b: a + b
-    total = lambda x: F.aggregate(x, F.lit(0), add)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, block))
-    within = lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: total(F.slice(x, 1, i)))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    before = lambda bs: F.aggregate(bs, zero, lambda acc, x: F.struct((acc["at"] + total(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
-    return _bound(blocks, lambda bs: F.flatten(F.zip_with(bs, before(bs), lambda x, base: F.transform(within(x), lambda n: n + base))))
-
-
-def _hits(found: Column, p: Pass) -> Column:
-    """Hits with their places; found isn't empty."""
-    ends = _running(F.transform(found, lambda x: F.length(x["gap"]) + F.length(x["m"])))
-    return F.zip_with(found, ends, lambda x, end: F.struct(F.lit(p.label).alias("label"), x["hit"].alias("match"), (end - F.length(x["hit"])).alias("start"), end.alias("end"), F.lit(p.number).alias("pass_no")))
-
-
 def _guarded(state: Column, todo: list[Pass], step: Callable[[Column, Pass], Column], text: Callable[[Column], Column]) -> Column:
     """state after a step for each pass; passes in a row that need the same character are skipped together where it is missing."""
     def run(s: Column, group: list[Pass]) -> Column:
@@ -139,26 +129,83 @@ def redact_text(c: Column | str, level: str = "light", names: Iterable[str] = ()
     return _guarded(c, passes(level, names, orgs, locations), step, lambda s: s)
 
 
+class Places:
+    """Where the letters of a text that passes have changed stood in the text given: masks, by place, as (start, end) now and then."""
+
+    def __init__(self) -> None:
+        self.masks: list[tuple[int, int, int, int]] = []
+
+    def before(self, place: int, end: bool = False) -> int:
+        """The place then of the letter at place now, or of the end of what ends there; within a mask that of the mask's own start or end."""
+        i = bisect_left(self.masks, (place if end else place + 1,)) - 1
+        if i < 0:
+            return place
+        _, last, first_then, last_then = self.masks[i]
+        if place < last or end and place == last:
+            return last_then if end else first_then
+        return last_then + place - last
+
+    def change(self, spans: list[tuple[int, int]], size: int) -> None:
+        """spans of the text, by place and without overlaps, become masks of size letters; one that reaches into older masks is one mask with them."""
+        old, new, moved, i = self.masks, [], 0, 0
+        for start, end in spans:
+            while i < len(old) and old[i][1] <= start:
+                new.append((old[i][0] + moved, old[i][1] + moved, *old[i][2:]))
+                i += 1
+            lo, hi, first, last = start, end, self.before(start), self.before(end, True)
+            while i < len(old) and old[i][0] < end:
+                lo, hi, first, last = min(lo, old[i][0]), max(hi, old[i][1]), min(first, old[i][2]), max(last, old[i][3])
+                i += 1
+            new.append((lo + moved, hi + moved + size - (end - start), first, last))
+            moved += size - (end - start)
+        self.masks = new + [(a + moved, b + moved, c, d) for a, b, c, d in old[i:]]
+
+
+def hits_in(text: str, todo: list[tuple[Pass, re.Pattern]]) -> tuple[str, list[tuple]]:
+    """The text after all passes, and (label, match, start, end, pass_no, orig_start, orig_end) of every hit, in the order of passes and places."""
+    places, hits = Places(), []
+    for p, pattern in todo:
+        found = list(pattern.finditer(text))
+        if not found:
+            continue
+        mask, spans = f"[{p.label}]", []
+        for m in found:
+            start, end = m.span(int(p.grouped))
+            hits.append((p.label, text[start:end], start, end, p.number, places.before(start), places.before(end, True)))
+            at = m.start() if p.grouped else start
+            while (at := text.find(text[start:end], at, m.end())) >= 0:
+                spans.append((at, at + end - start))
+                at += end - start
+        places.change(spans, len(mask))
+        out, at = [], 0
+        for start, end in spans:
+            out += [text[at:start], mask]
+            at = end
+        text = "".join([*out, text[at:]])
+    return text, hits
+
+
 def redaction_hits(df: DataFrame, text_col: str = "text", level: str = "light", names: Iterable[str] = (), orgs: Iterable[str] = (), locations: Iterable[str] = ()) -> DataFrame:
     """df with redacted (the text after all passes) and hits, an array of HIT in the order of passes and places.
 
-    Of a null text both are null. Columns of df with these two names are replaced.
+    A hit's start and end are places in the text of its pass; orig_start and orig_end are those in the text given, so that for a hit without a mask in it the
+    slice there equals match. Of a null text both are null. Rows that repeat are treated alike, an empty table gives an empty one. Columns of df with these two names
+    are replaced, all others pass through. One narrow stage; a text's passes run in a Python worker, which gives each hit its places in one search a pass.
     """
-
-    def step(state: Column, p: Pass) -> Column:
-        def taken(s: Column) -> Column:
-            more = lambda found: F.struct(_with_mask(s["redacted"], found, p).alias("redacted"), F.concat(s["hits"], _hits(found, p)).alias("hits"))
-            return _bound(_found(s["redacted"], p), lambda found: F.when(F.size(found) > 0, more(found)).otherwise(s))
-
-        return _bound(state, taken)
-
-    def one_pass(p: Pass) -> Callable[[Column], Column]:
-        return lambda s: _guarded(s, [p], step, lambda x: x["redacted"])
-
-    kept = [f"`{c}`" for c in df.columns if c not in ("redacted", "hits")]
-    # the state is an array of one struct: the optimizer would compute fields of a struct column one by one, each from the text anew
-    out = df.select(*kept, F.array(F.struct(F.col(text_col).alias("redacted"), F.array().cast(f"array<{HIT}>").alias("hits"))).alias("_state"))
-    for p in passes(level, names, orgs, locations):
-        out = out.select(*kept, F.transform("_state", one_pass(p)).alias("_state"))
-    hits = F.transform("_state", lambda s: F.when(s["redacted"].isNotNull(), s["hits"]))[0]
-    return out.select(*kept, F.transform("_state", lambda s: s["redacted"])[0].alias("redacted"), hits.alias("hits"))
+    todo = passes(level, names, orgs, locations)
+    kept = [c for c in df.columns if c not in ("redacted", "hits")]
+    rows = df.select(F.struct(F.lit(True).alias("is"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(p, re.compile(p.python)) for p in todo]
+        kinds = [pa.string(), pa.string(), *[pa.int32()] * 5]
+        for batch in batches:
+            done = [(None, None) if t is None else hits_in(t, compiled) for t in batch.column(1).to_pylist()]
+            flat = [h for _, hits in done for h in hits or ()]
+            fields = pa.StructArray.from_arrays([pa.array([h[i] for h in flat], k) for i, k in enumerate(kinds)], names=HIT.names)
+            ends = np.cumsum([0] + [len(hits or ()) for _, hits in done]).astype(np.int32)
+            hits = pa.ListArray.from_arrays(pa.array(ends), fields, mask=pa.array([t is None for t, _ in done], pa.bool_())) if len(done) else pa.array([], pa.list_(fields.type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), hits], names=["row", "redacted", "hits"])
+
+    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("redacted", StringType()), StructField("hits", ArrayType(HIT))]))
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], "redacted", "hits")

@@ -5,11 +5,14 @@ frames(media_id, ts_s, image, src, src_no, scene_score); src_no orders the sourc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.functions.timing import format_ts
+from tapeloom.operators.chains import LONG, long_recordings, thinned
 from tapeloom.operators.folds import folded
 
 #: Rank of a frame's source at equal times.
@@ -18,9 +21,10 @@ ORDER = ("ts_s", "src_no", "image")
 
 
 def scene_filter(frames: DataFrame, *, threshold: float = 0.45, max_frames: int = 160) -> DataFrame:
-    """Frames whose score is above the threshold, of each recording the first max_frames by time."""
-    first = Window.partitionBy("media_id").orderBy(*ORDER)
-    return frames.where(F.col("scene_score") > threshold).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_frames).drop("_n")
+    """Frames whose score is above the threshold, of each recording the first max_frames by time; a null score is none. Of equal frames any may go; all columns pass through."""
+    first = Window.partitionBy(frames["media_id"]).orderBy(*[frames[c] for c in ORDER])
+    rows = frames.where(F.col("scene_score") > threshold).select(F.struct(*[frames[f"`{c}`"] for c in frames.columns]).alias("row"), F.row_number().over(first).alias("n"))
+    return rows.where(F.col("n") <= max_frames).select("row.*")
 
 
 def log_times(lines: DataFrame) -> DataFrame:
@@ -61,29 +65,37 @@ def frames_by_strategy(start: DataFrame, scene: DataFrame, interval: DataFrame,
     return primary.unionByName(grid.join(enough, "media_id", "left_anti"))
 
 
-def _thinned(frames: DataFrame, keeps: "callable") -> DataFrame:
-    """The frames that keeps(time, last kept time) lets stay, in the order of time; one fold over a recording's frames."""
+def _thinned(frames: DataFrame, keeps: Callable, gap: tuple[float, str], limit: int) -> DataFrame:
+    """The frames that keeps(time, last kept time), on columns or arrays, lets stay, in the order of time: one fold over a recording's frames, or chunks of those of recordings of more than limit."""
+    long = long_recordings(frames, limit)
+    if long is not None:
+        rest, far = frames.join(long, "media_id", "left_anti"), frames.join(long, "media_id", "left_semi")
+        return _folded(rest, keeps).unionByName(thinned(far.select(frames.columns), ORDER, keeps, gap, limit))
+    return _folded(frames, keeps)
+
+
+def _folded(frames: DataFrame, keeps: Callable) -> DataFrame:
     rest = [c for c in frames.columns if c not in ("media_id", *ORDER)]
     row = F.struct(*ORDER, *rest)
     listed = frames.groupBy("media_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
         kept = F.struct(x["ts_s"].alias("last"), F.lit(True).alias("any"), F.array_append(acc["out"], x).alias("out"))
-        return F.when(~acc["any"] | keeps(x["ts_s"], acc["last"]), kept).otherwise(acc)
+        return F.when(~acc["any"] | F.coalesce(keeps(x["ts_s"], acc["last"]), F.lit(True)), kept).otherwise(acc)
 
     zero = F.struct(F.lit(None).cast(frames.schema["ts_s"].dataType).alias("last"), F.lit(False).alias("any"), F.slice(F.col("rows"), 1, 0).alias("out"))
     kept = listed.select("media_id", F.explode(folded(F.col("rows"), zero, step)["out"]).alias("r"))
     return kept.select("media_id", *[F.col("r")[c].alias(c) for c in (*ORDER, *rest)]).select(frames.columns)
 
 
-def dedupe_time(frames: DataFrame, *, eps: float = 0.05) -> DataFrame:
-    """Frames more than eps after the last one kept; the first of each recording stays. Null times sort first."""
-    return _thinned(frames, lambda t, last: F.coalesce(F.abs(t - last) > eps, F.lit(True)))
+def dedupe_time(frames: DataFrame, *, eps: float = 0.05, limit: int = LONG) -> DataFrame:
+    """Frames more than eps after the last one kept; the first of each recording stays. Null times sort first and stay; at equal times src_no and image order. All columns pass through, an empty table gives an empty one."""
+    return _thinned(frames, lambda t, last: abs(t - last) > eps if not isinstance(t, Column) else F.abs(t - last) > eps, (eps, "right"), limit)
 
 
-def min_gap(frames: DataFrame, *, gap: float = 0.9) -> DataFrame:
-    """Frames at least gap after the last one kept; all of them if gap isn't positive."""
-    return frames if gap <= 0 else _thinned(frames, lambda t, last: F.coalesce(t - last >= gap, F.lit(True)))
+def min_gap(frames: DataFrame, *, gap: float = 0.9, limit: int = LONG) -> DataFrame:
+    """Frames at least gap after the last one kept; all of them if gap isn't positive. Nulls, ties and columns as with dedupe_time()."""
+    return frames if gap <= 0 else _thinned(frames, lambda t, last: t - last >= gap, (gap, "left"), limit)
 
 
 def visual_steps(frames: DataFrame) -> DataFrame:

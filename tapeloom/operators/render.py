@@ -33,6 +33,7 @@ def step_markdown(media: DataFrame, steps: DataFrame, assignment: DataFrame, seg
 
     steps come from all_steps(); a recording without segments says so at the end.
     """
+    # the headings and marks below are fixed values
     span = F.concat(F.lit("   - `"), format_ts("start_s"), F.lit(" → "), format_ts("end_s"), F.lit("` — "), F.col("text"))
     spoken = assignment.join(segments.withColumn("seg_no", F.col("seg_no").cast("long")), ["media_id", "seg_no"])
     spoken = spoken.groupBy("media_id", "step").agg(F.sort_array(F.collect_list(F.struct("seg_no", span.alias("line")))).alias("x")).select("media_id", "step", F.col("x.line").alias("spoken"))

@@ -12,6 +12,13 @@ def payload_valid(payload: Column | str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
 
 
+def payload_fault(payload: Column | str) -> Column:
+    """Why a text is no payload: `missing` (null), `no json` or `no object`; null for a JSON object."""
+    c = F.col(payload) if isinstance(payload, str) else payload
+    parsed = F.try_parse_json(c)
+    return F.when(c.isNull(), "missing").when(parsed.isNull(), "no json").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "no object")
+
+
 def payload_default(payload: Column, key: str, value: str) -> Column:
     """A map of strings with value at key if the key is missing; a null that is there stays."""
     return F.when(F.map_contains_key(payload, key), payload).otherwise(F.map_concat(payload, F.create_map(F.lit(key), F.lit(value))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.clean import clean_ws
+from tapeloom.operators.chains import LONG, long_recordings, merged
 from tapeloom.operators.folds import folded
 
 
@@ -29,12 +30,24 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, " "), lambda w: w != ""))
 
 
-def merge_segments(segments: DataFrame, *, min_words: int = 8, min_s: float = 2.5) -> DataFrame:
+def merge_segments(segments: DataFrame, *, min_words: int = 8, min_s: float = 2.5, limit: int = LONG) -> DataFrame:
     """Segments in their order, each absorbed by the one before while that has fewer than min_words words or lasts less than min_s.
 
-    A merged segment ends where the last one absorbed ends. Segments without text go, and new numbers count from 1.
+    A merged segment ends where the last one absorbed ends. Segments without text go, and new numbers count from 1. A null time counts as
+    long enough; segments of one number go by their times and text. Further columns are not read; an empty table gives an empty one.
+    Recordings of more than limit segments are merged in chunks.
     """
     clean = segments.select("media_id", "seg_no", "start_s", "end_s", clean_ws(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    long = long_recordings(clean, limit)
+    if long is None:
+        return _folded(clean, min_words, min_s)
+    part = merged(clean.join(long, "media_id", "left_semi").withColumn("_words", words(F.col("text"))), min_words, min_s, limit)
+    order = F.struct("seg_no", "start_s", "end_s", "text")
+    whole = part.groupBy("media_id", "g").agg(F.min_by("start_s", order).alias("start_s"), F.max_by("end_s", order).alias("end_s"), F.array_join(F.sort_array(F.collect_list(order))["text"], " ").alias("text"))
+    return _folded(clean.join(long, "media_id", "left_anti"), min_words, min_s).unionByName(whole.select("media_id", F.col("g").cast("int").alias("seg_no"), "start_s", "end_s", "text"))
+
+
+def _folded(clean: DataFrame, min_words: int, min_s: float) -> DataFrame:
     row = F.struct("seg_no", "start_s", "end_s", "text")
     listed = clean.groupBy("media_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     one = lambda x: F.struct(x["start_s"].alias("start_s"), x["end_s"].alias("end_s"), x["text"].alias("text"), words(x["text"]).alias("n"))

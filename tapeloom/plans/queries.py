@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.functions import clean_text, clean_ws, format_ts, midpoint, redact_text, redaction_hits
+from tapeloom.functions import clean_text, clean_ws, format_ts, midpoint, redact_term_table, redact_text, redaction_hits
 from tapeloom.operators import assign, frames, render, runlog, segments
 from tapeloom.sources import out_name, redaction_report
 
@@ -18,6 +20,10 @@ PERSONAL = """SELECT c_custkey AS doc_id, concat('Hi, my name is ', CASE WHEN c_
   ' or 555.301.', lpad(CAST(c_custkey % 10000 AS {S}), 4, '0'), ', SSN 123-45-', lpad(CAST(c_custkey % 10000 AS {S}), 4, '0'),
   ', card 4111 1111 1111 ', CAST(1000 + c_custkey % 9000 AS {S}), ', visit ', CAST(1 + c_custkey % 900 AS {S}), ' Oak Hill Road, zip ', CAST(10000 + c_custkey % 90000 AS {S}),
   ', on 2024-10-29 or October 29th, 2024, ref ', CAST(700000 + c_custkey AS {S}), ' signed Mary Poppins') AS text FROM customer"""
+#: Texts that name parts, brands, customers and nations, and the table of terms for them; S stands for the text type.
+ORDERED = """SELECT c_custkey AS doc_id, concat('Ship ', p.p_name, ' by ', p.p_brand, ' to ', c_name, ' in ', n_name, ', then a ', upper(q.p_name), ' ring of ', lower(q.p_brand), ', not ', p.p_type, '.') AS text
+  FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN part p ON p.p_partkey = c_custkey % 200 JOIN part q ON q.p_partkey = c_custkey * 7 % 200"""
+LISTED = """SELECT 'NAME' AS kind, p_name AS term FROM part UNION ALL SELECT 'NAME', concat(' ', split_part(p_name, ' ', 2)) FROM part UNION ALL SELECT 'org', p_brand FROM part UNION ALL SELECT 'LOCATION', n_name FROM nation UNION ALL SELECT 'LOCATION', concat(n_name, ', then') FROM nation"""
 #: Turns with wrapped lines, marks after blanks, parentheses, quotes and other line ends.
 WRAPPED = """SELECT conv_id, turn, CASE turn % 4
   WHEN 0 THEN replace(replace(text, ' de ', chr(10)), ', ', ' ,')
@@ -212,6 +218,17 @@ def redact_terms(spark, d):
     return personal(spark, d).select("doc_id", redact_text("text", "standard", **TERMS).alias("text"))
 
 
+def redact_term_tables(spark, d):
+    t = {name: table(spark, d, name) for name in ("customer", "nation", "part")}
+    named = lambda sql: spark.sql(re.sub(r"\b(FROM|JOIN) (customer|nation|part)\b", r"\1 {\2}", sql), **t)
+    return redact_term_table(named(ORDERED), named(LISTED)).select("doc_id", F.col("redacted").alias("text"), F.size("hits").cast("long").alias("n_hits"))
+
+
+def redact_hit_places(spark, d):
+    found = redaction_hits(personal(spark, d), level="heavy").select("doc_id", "text", F.inline("hits"))
+    return found.select("doc_id", "pass_no", "label", "match", "orig_start", "orig_end", F.substring("text", F.col("orig_start") + 1, F.col("orig_end") - F.col("orig_start")).alias("original"))
+
+
 def redact_hits(spark, d):
     return redaction_hits(personal(spark, d), level="heavy").select("doc_id", F.inline("hits")).select("doc_id", "pass_no", "label", "match", "start", "end")
 
@@ -239,6 +256,10 @@ def payload_valid(spark, d):
     return table(spark, d, "events").select("event_id", runlog.payload_valid(_payload()).alias("valid"))
 
 
+def payload_faults(spark, d):
+    return table(spark, d, "events").groupBy(F.coalesce(runlog.payload_fault(_payload()), F.lit("accepted")).alias("reason"), "event_type").agg(F.count("*").alias("n"))
+
+
 def payload_default(spark, d):
     payload = F.when(runlog.payload_valid(_payload()), _payload())
     rows = table(spark, d, "events").select("event_id", F.from_json(payload, "map<string,string>").alias("m"))
@@ -257,6 +278,6 @@ QUERIES = {
     for f in (
         scene_filter, log_extract, ordinal_zip, interval_frames, frames_strategy, hybrid_frames, dedupe_time, min_gap, visual_steps, source_priority, merge_segments,
         assign_previous, assign_nearest, assign_last, tail_steps, all_steps, transcript_text, timeline_json, step_markdown, format_times, clean_whitespace, clean_light, clean_standard,
-        redact_light, redact_standard, redact_heavy, redact_terms, redact_hits, redaction_counts, report, clean_redact, payload_valid, payload_default, log_tail,
+        redact_light, redact_standard, redact_heavy, redact_terms, redact_term_tables, redact_hits, redact_hit_places, redaction_counts, report, clean_redact, payload_valid, payload_faults, payload_default, log_tail,
     )
 }

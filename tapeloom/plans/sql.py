@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tapeloom.functions.redact import MONTHS, STREETS
-from tapeloom.plans.queries import PERSONAL, WRAPPED
+from tapeloom.plans.queries import LISTED, ORDERED, PERSONAL, WRAPPED
 
 EV = """ev AS (SELECT event_id, user_id AS media_id, event_type, value, props, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS ts_s FROM events)"""
 FRAMES = EV + """,
@@ -51,7 +51,7 @@ q AS (SELECT media_id, turn, i, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS t
 w AS (SELECT *, len(string_split(text, ' ')) AS n FROM q WHERE text <> ''),
 sg AS (SELECT media_id, row_number() OVER o AS seg_no, 0.25::DOUBLE * (sum(n) OVER o - n) AS start_s, 0.25::DOUBLE * sum(n) OVER o AS end_s, text, n FROM w WINDOW o AS (PARTITION BY media_id ORDER BY turn, i ROWS UNBOUNDED PRECEDING))"""
 
-#: Pass, label, pattern, the group that is the hit, and what stays of the match. RE2 has no look-around.
+#: Pass, label, pattern, the group that is the hit, and what stays of the match. RE2 has no look-around.
 PASSES = [
     (1, "EMAIL", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", 0, ""),
     (2, "PHONE", r"(^|\W)((?:\+?1[\s.-]?)?(?:\(\s*\d{3}\s*\)|\d{3})[\s.-]?\d{3}[\s.-]?\d{4})\b", 2, r"\1"),
@@ -92,6 +92,7 @@ def _hit_ctes(level: str, source: str) -> tuple[str, str]:
 
 
 def _cleaned(x: str, mode: str) -> str:
+    # fixed values: the patterns of the cleaning steps
     steps = [(r"\r\n?", "\n"), (r"[ \t]*\n[ \t]*", "\n"), (r"\A[ \t]+|[ \t]+\z", "")] + [("([^.!?:\\n])\\n([\"''“”‘’]?[a-z])", r"\1 \2")] * 2
     for p, r in [*steps, (r"\n{3,}", "\n\n"), (r"\A\s+|\s+\z", "")]:
         x = f"regexp_replace({x}, '{p}', '{r}', 'g')"
@@ -107,6 +108,11 @@ T2 = PERSONAL.format(S="VARCHAR")
 _payload = """CASE event_id % 5 WHEN 0 THEN '[1]' WHEN 1 THEN '{bad' WHEN 2 THEN '{"name": null}' ELSE props END"""
 _docs_hits, _t2_hits, _t2_light = _hit_ctes("standard", "SELECT doc_id, text FROM documents"), _hit_ctes("heavy", T2), _hit_ctes("light", T2)
 
+#: One pass for each term over what the passes before left, by kind and length.
+_TERMS = f"""t AS (SELECT DISTINCT upper(kind) AS label, trim(term) AS term FROM ({LISTED}) WHERE trim(term) <> ''),
+l AS (SELECT list(label || chr(1) || '(?i)\\b' || regexp_escape(term) || '\\b' ORDER BY CASE label WHEN 'NAME' THEN 0 WHEN 'ORG' THEN 1 ELSE 2 END, length(term) DESC, term) AS terms FROM t),
+m AS (SELECT doc_id, list_reduce(list_prepend(text, terms), lambda a, x: regexp_replace(a, split_part(x, chr(1), 2), '[' || split_part(x, chr(1), 1) || ']', 'g')) AS text FROM ({ORDERED}), l)"""
+
 ORACLES = {
     "scene_filter": f"WITH {FRAMES}, {SCENE} SELECT * FROM sc",
     "log_extract": f"WITH {IMAGES} SELECT media_id, line_no, ts_s FROM tm",
@@ -149,11 +155,14 @@ ORACLES = {
     "redact_standard": f"SELECT doc_id, {_replaced('text', 'standard')} AS text FROM documents",
     "redact_heavy": f"SELECT doc_id, {_replaced('text', 'heavy')} AS text FROM ({T2})",
     "redact_terms": f"SELECT doc_id, {_replaced('text', 'standard', True)} AS text FROM ({T2})",
+    "redact_term_tables": f"WITH {_TERMS} SELECT doc_id, text, CAST(len(regexp_extract_all(text, '\\[(NAME|ORG|LOCATION)\\]')) AS BIGINT) AS n_hits FROM m",
+    "redact_hit_places": f"""WITH {_t2_hits[0]}, hits AS ({_t2_hits[1]}) SELECT doc_id, pass_no, label, match, CAST(instr(text, match) - 1 AS INTEGER) AS orig_start, CAST(instr(text, match) - 1 + length(match) AS INTEGER) AS orig_end, match AS original FROM hits JOIN t0 USING (doc_id)""",
     "redact_hits": f"WITH {_t2_hits[0]} {_t2_hits[1]}",
     "redaction_counts": f"WITH {_docs_hits[0]} SELECT label, count(*) AS n FROM ({_docs_hits[1]}) GROUP BY label",
     "report": f"""WITH {_t2_light[0]}, hits AS ({_t2_light[1]}) SELECT doc_id, coalesce('[' || string_agg('{{"label":"' || label || '","match":"' || match || '","start":' || start || ',"end":' || "end" || '}}', ',' ORDER BY pass_no, start) || ']', '[]') AS report FROM t0 LEFT JOIN hits USING (doc_id) GROUP BY doc_id""",
     "clean_redact": f"SELECT doc_id, 't.' || doc_id || '.clean-standard__redact-heavy.txt' AS out_name, {_replaced(_cleaned('text', 'standard'), 'heavy')} AS text FROM ({T2})",
     "payload_valid": f"SELECT event_id, CASE WHEN json_valid({_payload}) THEN json_type({_payload}) = 'OBJECT' ELSE false END AS valid FROM events",
+    "payload_faults": f"""SELECT CASE WHEN NOT json_valid({_payload}) THEN 'no json' WHEN json_type({_payload}) <> 'OBJECT' THEN 'no object' ELSE 'accepted' END AS reason, event_type, count(*) AS n FROM events GROUP BY ALL""",
     "payload_default": f"""WITH a AS (SELECT event_id, {_payload} AS raw, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END AS p FROM events)
       SELECT event_id, CASE WHEN p IS NULL THEN '(no object)' WHEN NOT list_contains(json_keys(p), 'name') THEN 'friend' ELSE coalesce(json_extract_string(p, '$.name'), '(null)') END AS name, CAST(CASE WHEN p IS NULL THEN 0 ELSE len(json_keys(p)) END + CASE WHEN p IS NULL THEN 0 WHEN list_contains(json_keys(p), 'name') THEN 0 ELSE 1 END AS BIGINT) AS n FROM a""",
     "log_tail": "SELECT event_id, event_type AS agent, CAST(CASE WHEN value < 400 THEN 0 ELSE 1 END AS INTEGER) AS code FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
