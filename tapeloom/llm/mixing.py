@@ -43,7 +43,9 @@ def _filled(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     key = [F.col(p) for p in parents] or [F.lit(0)]
     order = Window.partitionBy(*key).orderBy(F.coalesce(F.try_divide("capacity", "weight"), F.lit(0.0)), name)
     before = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    weights = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    # from the other end of the order, so that the frame runs and is not summed anew for each row
+    back = Window.partitionBy(*key).orderBy(F.desc(F.coalesce(F.try_divide("capacity", "weight"), F.lit(0.0))), F.desc(name))
+    weights = F.sum("weight").over(back.rowsBetween(Window.unboundedPreceding, 0))
     nodes = nodes.withColumn("level", F.coalesce(F.try_divide(F.col("budget") - before, weights), F.lit(0.0)))
     top = F.greatest(F.max("level").over(Window.partitionBy(*key)), F.lit(0.0))
     return nodes.withColumn("budget", F.least(F.col("capacity").cast("double"), F.col("weight") * top)).drop("level")
