@@ -72,7 +72,7 @@ def mux(payload: bytes) -> bytes:
 
 
 def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path of box kinds, start and end of the body) of every box, parents first. A size that breaks its parent's bounds raises ValueError."""
+    """(path of box kinds, start and end of the body) of every box, parents first. A size that breaks its parent's bounds raises ValueError, as does a nesting of more than 200."""
     end = len(data) if end is None else end
     while start < end:
         if path[-1:] == (b"udta",) and end - start == 4 and not any(data[start:end]):
@@ -89,7 +89,9 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
         if stop < body or stop > end:
             raise ValueError(f"box {kind!r} ends outside its parent")
         yield (*path, kind), body, stop
-        if kind in CONTAINERS and len(path) < 32:
+        if kind in CONTAINERS:
+            if len(path) >= 200:
+                raise ValueError("boxes are nested too deep")
             yield from walk(data, body, stop, (*path, kind))
         start = stop
 
