@@ -35,6 +35,8 @@ NOTICES = {
     "dedicated to the public domain": "public-domain",
     "all rights reserved": "reserved",
 }
+#: Windows that a task remembers.
+KNOWN = 10_000
 #: Bytes as they count: A-Z in lower case, letters, digits and all of UTF-8's other bytes kept, the rest blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
@@ -52,6 +54,23 @@ def pieces(notice: str, errors: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _in_window(text: str, pattern: regex.Pattern, least: int, known: dict) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the best match in text, then of those in the parts before and after it. known: what was found in windows of the same text."""
+    key = (pattern, text)
+    if key not in known:
+        if len(known) > KNOWN:
+            known.clear()
+        out, open_ = [], [(0, len(text))]
+        while open_:
+            lo, hi = open_.pop()
+            m = pattern.search(text, lo, hi)
+            if m and m[0]:
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                open_ += [part for part in ((lo, m.start()), (m.end(), hi)) if part[1] - part[0] >= least]
+        known[key] = out
+    return known[key]
+
+
 class Scanner:
     """Built once per task."""
 
@@ -70,6 +89,7 @@ class Scanner:
             self.automaton.add_word(seed, (len(seed), uses))
         self.automaton.make_automaton()
         self.phrases, self.notices = phrases, notices
+        self.known: dict[tuple[regex.Pattern, str], list[tuple[int, int, int]]] = {}
 
     def scan(self, text: str) -> dict:
         words = text.encode("utf-8", "replace").translate(FOLD).split()
@@ -81,23 +101,24 @@ class Scanner:
             for kind, phrase, at, errors in uses:
                 if kind == "exact":
                     exact.append((start + 1, phrase))
-                else:  # windows of nearby seeds are one window
+                else:
                     lo, hi = max(0, start - at - errors), start - at + len(phrase) + errors
                     seen[phrase, lo] = max(hi, seen.get((phrase, lo), 0))
         matches: list[tuple[int, int, str, int, int]] = []
-        for notice, pattern in self.patterns.items() if seen else ():
-            spans: list[list[int]] = []
-            for lo, hi in sorted((lo, hi) for (n, lo), hi in seen.items() if n == notice):
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(hi, spans[-1][1])
-                else:
-                    spans.append([lo, hi])
-            while spans:  # the best match of a range, then the parts before and after it
-                lo, hi = spans.pop()
-                m = pattern.search(line, lo, hi)
-                if m and m[0]:
-                    matches.append((m.start(), m.end(), notice, sum(m.fuzzy_counts), len(notice)))
-                    spans += [part for part in ([lo, m.start()], [m.end(), hi]) if part[1] - part[0] >= len(notice) - allowed(notice)]
+        windows: dict[str, list[tuple[int, int]]] = {}
+        for (notice, lo), hi in sorted(seen.items(), key=lambda x: x[0][1]):
+            # seeds of one place, which stands shifted by the errors at most, share a window; it never grows beyond that
+            own = windows.setdefault(notice, [])
+            if own and lo <= own[-1][0] + 2 * allowed(notice):
+                own[-1] = (own[-1][0], max(hi, own[-1][1]))
+            else:
+                own.append((lo, hi))
+        for notice, spans in windows.items():
+            pattern, least, found = self.patterns[notice], len(notice) - allowed(notice), {}
+            for lo, hi in spans:
+                for start, end, edits in _in_window(line[max(0, lo) : hi], pattern, least, self.known):
+                    found[lo + start, lo + end] = edits
+            matches += [(start, end, notice, edits, len(notice)) for (start, end), edits in found.items()]
         blanks = [m.start() for m in re.finditer(" ", line)] if exact or matches else []
         n_before = lambda i: bisect_right(blanks, i) - 1  # noqa: E731  the word that stands at i
         places = sorted(n_before(i) for i, _ in exact)
@@ -131,7 +152,8 @@ def license_scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, noti
 
     Base columns count exact phrases at whole words, overlapping ones too. score is 1 with an exact
     phrase, else the best match's share of unedited characters, else 0. Nulls: a null text is
-    empty and has no words. Repeated rows are scanned alike; further columns are not read.
+    empty and has no words. Repeated rows are scanned alike; further columns are not read; an empty table gives an empty one. A long
+    text costs one bounded search for each place where a piece of a notice stands, so time grows with its length alone.
     Phrases are lower-case words divided by one blank.
     """
     phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices

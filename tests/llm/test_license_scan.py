@@ -84,3 +84,18 @@ def test_notices_in_one_window_and_many_hits():
     began = time.perf_counter()
     assert scanner.scan(many)["n_base"] == 40000
     assert time.perf_counter() - began < 20
+
+
+def test_many_edited_copies_in_time():
+    import random
+    import time
+
+    rng = random.Random(3)
+    notice, copies = "all rights reserved", []
+    while sum(map(len, copies)) < 300_000:
+        at = [rng.randrange(len(notice)) for _ in range(rng.randint(0, 1))]
+        copies.append("".join("x" if i in at and c != " " else c for i, c in enumerate(notice)) + " w" * rng.randint(0, 3))
+    text = " ".join(copies)
+    began = time.perf_counter()
+    found = Scanner(PHRASES, NOTICES).scan(text)["matches"]
+    assert time.perf_counter() - began < 20 and len(found) == len(copies)
