@@ -1,9 +1,9 @@
 """Linking of tool calls and their results in chats.
 
-Calls and results meet in a hash join on conversation and identifier. A call may come after one
-other call of its conversation; the layers of that order come from pointer doubling, so a chain of
-n calls takes log n joins. Arguments are held against the tool's schema, and each call becomes one
-line of canonical JSON.
+Calls and results meet in a hash join on conversation and identifier. A call may come after others of
+its conversation. Where each comes after one at most, the layers of that order come from pointer doubling, so
+a chain of n calls takes log n joins; else calls are taken off in rounds once all that they come after have been. Arguments are held
+against the tool's schema, and each call becomes one line of canonical JSON.
 """
 
 from __future__ import annotations
@@ -12,16 +12,21 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from tapeloom.llm.common import cut
+from tapeloom.llm.common import cut, release
 
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+#: Keywords of schemas that fault() knows, and those that say nothing about a value.
+KNOWN = {"type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "minItems", "maxItems", "uniqueItems", "required", "properties", "additionalProperties", "items", "anyOf"}
+SILENT = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
 #: Half of a surrogate pair, which JSON can spell but no text can hold.
 HALF = re.compile("[\ud800-\udfff]")
 
@@ -30,19 +35,51 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is no JSON")
 
 
+def check_schema(schema, at: str = "schema") -> None:
+    """ValueError if schema has a keyword or type that fault() does not know, so that none is passed over."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at} is no schema")
+    for name in schema:
+        if name not in KNOWN | SILENT:
+            raise ValueError(f"{at}: keyword {name} is not supported")
+    kinds = schema.get("type", [])
+    for kind in [kinds] if isinstance(kinds, str) else kinds:
+        if kind not in KINDS:
+            raise ValueError(f"{at}: type {kind} is not known")
+    for name, own in schema.get("properties", {}).items():
+        check_schema(own, f"{at}.{name}")
+    for i, own in enumerate(schema.get("anyOf", ())):
+        check_schema(own, f"{at}.anyOf[{i}]")
+    for name in ("items", "additionalProperties"):
+        if name in schema:
+            check_schema(schema[name], f"{at}.{name}")
+
+
+def _is(value, kind: str) -> bool:
+    return isinstance(value, KINDS[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
+
+
 def fault(value, schema: dict, at: str = "arguments") -> str | None:
-    """The first fault of value under schema, by type, enum, minimum, maximum, minLength, maxLength, required, properties, additionalProperties and items."""
-    kind = schema.get("type")
+    """The first fault of value under schema, by the keywords of KNOWN. A whole number that is written as a fraction (1.0) is a number but no integer."""
+    if isinstance(schema, bool):
+        return None if schema else f"{at} is not allowed"
+    kinds = schema.get("type")
     if isinstance(value, float) and not math.isfinite(value):
         return f"{at} is no finite number"
-    if kind and (not isinstance(value, KINDS[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
-        return f"{at} is no {kind}"
-    if "enum" in schema and value not in schema["enum"]:
+    if kinds and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        return f"{at} is no {kinds if isinstance(kinds, str) else ' or '.join(kinds)}"
+    if "enum" in schema and not any(canonical(value) == canonical(x) for x in schema["enum"]):
         return f"{at} is none of its values"
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        return f"{at} is not its value"
+    if "anyOf" in schema and all(fault(value, own, at) for own in schema["anyOf"]):
+        return f"{at} is none of its kinds"
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        if "minimum" in schema and value < schema["minimum"]:
+        if "minimum" in schema and value < schema["minimum"] or "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]:
             return f"{at} is too small"
-        if "maximum" in schema and value > schema["maximum"]:
+        if "maximum" in schema and value > schema["maximum"] or "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
             return f"{at} is too large"
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0):
@@ -60,20 +97,61 @@ def fault(value, schema: dict, at: str = "arguments") -> str | None:
                     return found
             elif schema.get("additionalProperties") is False:
                 return f"{at}.{name} is unknown"
-    if isinstance(value, list) and "items" in schema:
+            elif found := fault(value[name], schema.get("additionalProperties", True), f"{at}.{name}"):
+                return found
+    if isinstance(value, list):
+        if len(value) < schema.get("minItems", 0):
+            return f"{at} has too few items"
+        if "maxItems" in schema and len(value) > schema["maxItems"]:
+            return f"{at} has too many items"
+        if schema.get("uniqueItems") and len({canonical(x) for x in value}) < len(value):
+            return f"{at} has an item twice"
         for i, x in enumerate(value):
-            if found := fault(x, schema["items"], f"{at}[{i}]"):
+            if found := fault(x, schema.get("items", True), f"{at}[{i}]"):
                 return found
     return None
 
 
+def _plain(value):
+    """value with every number that is whole as a whole number, so that equal values are spelt alike."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    return int(value) if isinstance(value, float) and value.is_integer() else value
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and no escapes beyond those that JSON asks for."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no spaces, no escapes beyond those that JSON asks for, and one spelling for each number."""
+    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _peeled(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """layers() of calls(conv_id, call_id) with edges(conv_id, call_id, to): each round takes those calls that wait for none, and their edges; one more round than there are layers."""
+    left, waits = cut(calls), cut(edges)
+    layer, done = 0, []
+    while True:
+        held = waits.select("conv_id", "call_id").distinct()
+        free = cut(left.join(held, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(layer).cast("long").alias("layer")))
+        if not free.head(1):
+            rest = left.select("conv_id", "call_id", F.lit(None).cast("long").alias("layer"))
+            return reduce(DataFrame.union, [*done, rest])
+        done.append(free)
+        left2 = cut(left.join(free, ["conv_id", "call_id"], "left_anti"))
+        waits2 = cut(waits.join(free.select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_anti").select("conv_id", "call_id", "to"))
+        release(left, waits)
+        left, waits, layer = left2, waits2, layer + 1
 
 
 def layers(calls: DataFrame) -> DataFrame:
-    """calls(conv_id, call_id, after) with layer: 0 for a call after none that is there, else one more than that call's; null on a cycle and after one."""
+    """calls(conv_id, call_id, after) with layer: 0 for a call after none that is there, else one more than the highest of those calls'; null on a cycle and after one. after: an identifier or an array of them."""
+    if isinstance(calls.schema["after"].dataType, ArrayType):
+        own = cut(calls.select("conv_id", "call_id"))
+        edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("to")).join(own.select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_semi").select("conv_id", "call_id", "to")
+        edges = cut(edges)
+        if edges.groupBy("conv_id", "call_id").count().where(F.col("count") > 1).head(1):
+            return _peeled(own, edges)
+        calls = own.join(edges.withColumnRenamed("to", "after"), ["conv_id", "call_id"], "left")
     keyed = calls.select("conv_id", "call_id", F.col("after").alias("to"))
     there = keyed.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("there"))
     at = cut(keyed.join(there, ["conv_id", "to"], "left").select("conv_id", "call_id", F.when(F.col("there"), F.col("to")).alias("to"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("layer")))
@@ -90,19 +168,23 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     """conv_id, call_id, seq, layer, linked, valid, error, record for every call and every result without one.
 
     calls has conv_id, call_id, seq, name, arguments (JSON text) and after (an identifier of the same
-    conversation); results has conv_id, call_id, seq, content. Conversation, layer, seq and
+    conversation, or an array of them); results has conv_id, call_id, seq, content. Conversation, layer, seq and
     call_id give a topological order. Of calls, or results, that repeat an identifier the one with
-    the smallest seq (then the smallest other fields) stands. A result without a call, or whose call
+    the smallest seq (then the smallest other fields) stands, of results the smallest that is beyond the call's. A result without a call, or whose call
     comes later, is not linked; a result alone gives a row with error "no call" and no layer.
     Nulls: a row without a conversation or identifier is not linked to any; as a call it has layer 0.
-    Null arguments are no JSON, numbers beyond a double's range and halves of surrogate pairs are errors, a null content is a JSON null, an unknown or null name is an error. record is
+    A schema with a keyword beyond KNOWN and SILENT raises ValueError before anything runs. Null arguments are no JSON, numbers beyond a double's range and halves of surrogate pairs are errors, a null content is a JSON null, an unknown or null name is an error. record is
     null unless the call is valid. Further columns are not read. Empty tables give an empty table.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     whole = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     columns = ("seq", "name", "arguments", "after")
     first = calls.where(whole).groupBy("conv_id", "call_id").agg(F.min(F.struct(*columns)).alias("c"))
     first = cut(first.select("conv_id", "call_id", *[f"c.{c}" for c in columns]))
-    answers = results.where(whole).groupBy("conv_id", "call_id").agg(F.min(F.struct("seq", "content")).alias("r"))
+    met = results.where(whole).select("conv_id", "call_id", "seq", "content").join(first.select("conv_id", "call_id", F.col("seq").alias("called_at")).hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    answer = F.struct("seq", "content")
+    answers = met.groupBy("conv_id", "call_id").agg(F.coalesce(F.min(F.when(F.col("seq") > F.col("called_at"), answer)), F.min(answer)).alias("r"))
     placed = first.join(layers(first), ["conv_id", "call_id"])
     joined = placed.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "full").withColumn("called", F.col("seq").isNotNull() | F.col("layer").isNotNull() | F.col("name").isNotNull() | F.col("arguments").isNotNull())
     joined = joined.withColumn("linked", F.col("called") & F.col("r").isNotNull() & F.coalesce(F.col("r.seq") > F.col("seq"), F.lit(False)))

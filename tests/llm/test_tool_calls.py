@@ -61,3 +61,39 @@ def test_strings_that_no_text_can_hold(spark):
     assert [got[f"c{i}"].valid for i in range(7)] == [False] * 4 + [True, False, False]
     assert "surrogate" in got["c0"].error and "surrogate" in got["c1"].error and "finite" in got["c2"].error and got["c3"].record is None
     assert got["c4"].record == '{"arguments":{"s":"\U0001f600"},"id":"c4","name":"t","result":"é"}'
+
+
+def test_several_parents_and_the_right_result(spark):
+    shape = CALLS.replace("after string", "after array<string>")
+    calls = [(1, "a", 0, "f", '{"x":1}', None), (1, "b", 1, "f", '{"x":1}', []), (1, "c", 2, "f", '{"x":1}', ["a", "b", "gone", "a"]), (1, "d", 3, "f", '{"x":1}', ["a", "c"]), (1, "e", 4, "f", '{"x":1}', ["d", "p"]), (1, "p", 5, "f", '{"x":1}', ["q", "a"]), (1, "q", 6, "f", '{"x":1}', ["p"]), (1, "r", 7, "f", '{"x":1}', [None, "b"])]
+    results = [(1, "b", 0, "before"), (1, "b", 3, "after"), (1, "b", 9, "later"), (1, "c", 1, "early")]
+    got = {r.call_id: r for r in link_calls(spark.createDataFrame(calls, shape), spark.createDataFrame(results, RESULTS), SCHEMA).collect()}
+    assert {c: r.layer for c, r in got.items()} == {"a": 0, "b": 0, "c": 1, "d": 2, "e": None, "p": None, "q": None, "r": 1}
+    assert got["e"].error == got["p"].error == "cycle"
+    assert got["b"].linked and json.loads(got["b"].record)["result"] == "after" and not got["c"].linked
+    one = [(*c[:5], c[5][:1] if c[5] else c[5]) for c in calls[:4]]
+    assert sorted(r.layer for r in link_calls(spark.createDataFrame(one, shape), spark.createDataFrame([], RESULTS), SCHEMA).collect()) == [0, 0, 1, 1]
+
+
+@pytest.mark.parametrize(
+    ("value", "schema", "want"),
+    [
+        (None, {"type": ["string", "null"]}, None), (3, {"type": ["string", "null"]}, "arguments is no string or null"), (True, {"enum": [1]}, "arguments is none of its values"), (1.0, {"enum": [1]}, None),
+        (2, {"const": 1}, "arguments is not its value"), (5, {"exclusiveMaximum": 5}, "arguments is too large"), (5, {"exclusiveMinimum": 5}, "arguments is too small"), ([1, 1.0], {"uniqueItems": True}, "arguments has an item twice"),
+        ([1], {"minItems": 2}, "arguments has too few items"), ([1, 2], {"maxItems": 1}, "arguments has too many items"), ("x", {"anyOf": [{"type": "integer"}, {"type": "null"}]}, "arguments is none of its kinds"),
+        ({"a": 1}, {"additionalProperties": {"type": "string"}}, "arguments.a is no string"), ([1], {"items": False}, "arguments[0] is not allowed"), (None, {"anyOf": [{"type": "integer"}, {"type": "null"}]}, None),
+    ],
+)
+def test_more_keywords(value, schema, want):
+    assert fault(value, schema) == want
+
+
+def test_schemas_that_are_not_known_are_refused(spark):
+    calls, results = spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)
+    for schema in ({"type": "object", "properties": {"x": {"pattern": "a"}}}, {"type": "text"}, {"items": {"oneOf": []}}, {"anyOf": [{"not": {}}]}):
+        with pytest.raises(ValueError):
+            link_calls(calls, results, {"t": schema})
+
+
+def test_equal_numbers_are_spelt_alike():
+    assert {canonical(x) for x in (1, 1.0, 1e0)} == {"1"} and canonical(-0.0) == "0" and canonical([1e22, 10**22, 0.5]) == "[10000000000000000000000,10000000000000000000000,0.5]"
