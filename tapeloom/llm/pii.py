@@ -145,7 +145,8 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
                 out.append((m.start(1), m.end(1), "account"))
         elif anchor in ("assigned", "carried"):
             m = (ASSIGNED if anchor == "assigned" else CARRIED).match(text, last + 1) if at >= over["secret"] else None
-            if m and any(c.isdigit() for c in m[1]):
+            # without a digit a word of prose stands there, but for marks or capitals inside it
+            if m and (any(c.isdigit() for c in m[1]) or len(m[1]) >= 8 and (any(not c.isalnum() for c in m[1]) or any(c.isupper() for c in m[1][1:]) and not m[1].isupper())):
                 over["secret"] = m.end(1)
                 out.append((m.start(1), m.end(1), "secret"))
         elif anchor in BY_PREFIX:

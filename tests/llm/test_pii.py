@@ -77,3 +77,10 @@ def test_planted_secrets_are_found(spark):
     planted = {r.doc_id for r in docs.where("text RLIKE 'token = \"[0-9a-f]{16,}\"'").collect()}
     got = {r.doc_id for r in pii_spans(docs).where("n_secret > 0").collect()}
     assert planted and planted <= got
+
+
+def test_secrets_without_digits():
+    from tapeloom.llm.pii import spans_of
+
+    for text, want in (("password=Correct-Horse-Battery", ["Correct-Horse-Battery"]), ("password: required", []), ("token = PLEASE", []), ("secret=aBcDeFgHiJk", ["aBcDeFgHiJk"]), ("password=abc", [])):
+        assert [text[s:e] for s, e, k in spans_of(text) if k == "secret"] == want, text
