@@ -6,6 +6,7 @@ a Viterbi path over the words with a penalty for every switch labels the spans.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,13 +25,15 @@ SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armen
 NAMES = sorted({n for _, n in SCRIPTS})
 FIRST = np.array([s for s, _ in SCRIPTS])
 SCRIPT = np.array([NAMES.index(n) for _, n in SCRIPTS], np.uint8)
-#: All but letters: numerals of any kind are none.
-OTHER = regex.compile(r"\P{L}+")
+#: All but letters and the marks on them: numerals of any kind are none, nor are marks without a letter.
+OTHER = regex.compile(r"(?:\A|[^\p{L}\p{M}]+)\p{M}*")
+#: Words that a path takes one after the other; longer texts are cut and their parts joined.
+STRETCH = 2048
 
 
 def letters(text: str) -> bytes:
-    """The words of a text, which are runs of letters, in lower case and between single blanks."""
-    return b" " + OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace") + b" "
+    """The words of a text, which are runs of letters with their marks, composed, in lower case and between single blanks."""
+    return b" " + OTHER.sub(" ", unicodedata.normalize("NFC", text.lower())).strip().encode("utf-8", "replace") + b" "
 
 
 def _segments(data: bytes) -> Iterator[np.ndarray]:
@@ -121,32 +124,74 @@ def word_scores(data: bytes, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(scores), np.concatenate(lengths)
 
 
-def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
-    """For every word the language on the best path of its text; texts are runs of scores' rows.
-
-    All texts advance one word a step together, the longest first, so a step is a few array operations.
-    """
-    order = np.argsort(-counts, kind="stable")
-    starts, counts = starts[order], counts[order]
+def _forward(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, penalty: float, value: np.ndarray, begun: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values of the best paths, whether a word keeps its predecessor's language, the language jumped from) after runs of scores' rows, the longest first, from the values before them; runs not begun pay nothing for their first word."""
     width = scores.shape[1]
-    stays = np.zeros(scores.shape, bool)
-    jumps = np.zeros(len(scores), np.uint8 if width < 256 else np.uint16)
-    value = np.zeros((len(starts), width), np.float64)
+    stays = np.zeros(scores.shape if keep else (0, width), bool)
+    jumps = np.zeros(len(scores) if keep else 0, np.uint8 if width < 256 else np.uint16)
     live = np.searchsorted(-counts, -np.arange(counts[0] if len(counts) else 0), "left")
+    fee = np.where(begun, penalty, 0.0)
     for t, n in enumerate(live):
         at, v = starts[:n] + t, value[:n]
         best = v.argmax(1)
-        top = v[np.arange(n), best][:, None] - (penalty if t else 0)
-        stays[at], jumps[at] = v >= top, best
+        top = (v[np.arange(n), best] - (penalty if t else fee[:n]))[:, None]
+        if keep:
+            stays[at], jumps[at] = v >= top, best
         value[:n] = np.maximum(v, top) + scores[at]
-    path = np.zeros(len(scores), jumps.dtype)
-    state = value.argmax(1)
+    return value, stays, jumps
+
+
+def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
+    """For every word the language on the best path of its text; texts are runs of scores' rows.
+
+    All texts advance one word a step together, the longest first, so a step is a few array operations. Texts of
+    more than STRETCH words are cut into stretches that advance together too: first from every language, which gives what a stretch
+    adds on the way from one language to another; sums of those are the values that each stretch begins with.
+    """
+    width = scores.shape[1]
+    parts = -(-counts // STRETCH)
+    text = np.repeat(np.arange(len(counts)), parts)
+    number = np.arange(len(text)) - (np.cumsum(parts) - parts)[text]
+    begin = starts[text] + number * STRETCH
+    size = np.minimum(counts[text] - number * STRETCH, STRETCH)
+    value = np.zeros((len(text), width))
+    cut = np.flatnonzero(parts[text] > 1)
+    if len(cut):
+        order = cut[np.argsort(-size[cut], kind="stable")]
+        each = np.repeat(order, width)
+        entry = np.full((len(each), width), -np.inf)
+        entry[np.arange(len(each)), np.tile(np.arange(width), len(order))] = 0
+        ways, _, _ = _forward(scores, begin[each], size[each], penalty, entry, number[each] > 0, False)
+        added = dict(zip(order.tolist(), ways.reshape(-1, width, width), strict=True))
+        for i in cut.tolist():
+            if number[i]:
+                value[i] = before
+            before = (value[i][:, None] + added[i]).max(0)
+            before = before - before.max()
+    order = np.argsort(-size, kind="stable")
+    last, stays, jumps = _forward(scores, begin[order], size[order], penalty, value[order], number[order] > 0, True)
+    # back from every language in which a stretch can end, then those ends from the last stretch on
+    ends = np.tile(np.arange(width), (len(order), 1))
+    path = np.zeros((len(scores), width), jumps.dtype)
+    rows = np.arange(len(order))[:, None]
+    lengths = size[order]
+    live = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
-        at = starts[:n] + t
-        path[at] = state[:n]
-        state[:n] = np.where(stays[at, state[:n]], state[:n], jumps[at])
-    return path
+        at = begin[order[:n]] + t
+        own = ends[:n]
+        path[at] = own
+        ends[:n] = np.where(stays[at[:, None], own], own, jumps[at][:, None])
+    entered, final = np.empty_like(ends), np.empty_like(last)
+    entered[order], final[order] = ends, last
+    state = np.zeros(len(text), np.int64)
+    for i in range(len(text) - 1, -1, -1):
+        alone = i + 1 == len(text) or text[i + 1] != text[i]
+        state[i] = final[i].argmax() if alone else entered[i + 1][state[i + 1]]
+    out = np.zeros(len(scores), jumps.dtype)
+    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    out[at] = path[at, np.repeat(state, size)]
+    return out
 
 
 def _label(texts: list[str], model: Model, penalty: float) -> tuple[list[str], list[float], list[list[dict]]]:
@@ -176,7 +221,7 @@ def language_spans(docs: DataFrame, model: Model, *, penalty: float = 12.0, id_c
     the largest share of the text's letters, and score is that share. Ties go to the language first
     by name. Nulls: a null text, or one without a letter, is und with score 0 and no spans, as is
     every text under a model of no language. Repeated rows are labelled alike; further columns,
-    also one named lang, are not read; with whole, columns named as its own three are replaced. The whole text counts, however long it is.
+    also one named lang, are not read; with whole, columns named as its own three are replaced. The whole text counts, however long it is, at a cost in proportion to its length. Marks belong to their letters and composed and decomposed letters are alike. An empty table gives an empty one.
     """
     rows = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("_lang_pred", "_score", "_spans")]) if whole else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     at = rows.columns.index(text_col if whole else "text")

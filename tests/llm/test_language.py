@@ -66,3 +66,36 @@ def test_odd_rows(spark, odd):
 def test_numerals_are_no_letters():
     assert all(letters(x).strip() == b"" for x in ("²", "½", "Ⅷ", "①", "12 ٣"))
     assert letters("a²b é1").split() == [b"a", b"b", "é".encode()]
+
+
+def test_marks_belong_to_their_letters(spark):
+    assert letters("हिन्दी भाषा").split() == [w.encode() for w in "हिन्दी भाषा".split()]
+    assert letters("ภาษาไทย ที่นี่").split() == [w.encode() for w in "ภาษาไทย ที่นี่".split()]
+    assert letters("cafe\u0301 ECOLE\u0301 İstanbul").split() == ["café".encode(), "ecolé".encode(), "i̇stanbul".encode()]
+    assert letters("\u0301 \u0301a 1\u0301b \u0301\u0301").split() == [b"a", b"b"]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("हिन्दी भाषा में यह एक वाक्य है", "hi"), ("ภาษาไทย เป็น ภาษา ที่ ใช้", "th"), ("été à la crème brûlée", "fr"), ("the of and that with", "en")] * 6)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["यह भाषा", "ภาษา ที่", "cre\u0300me e\u0301te\u0301", "that of the"]
+    got = language_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["hi", "th", "fr", "en"]
+
+
+def test_stretches_do_not_change_a_path(monkeypatch):
+    rng = np.random.default_rng(3)
+    counts = np.array([1, 40, 7, 23, 8, 2])
+    starts = np.cumsum(counts) - counts
+    scores = rng.normal(size=(counts.sum(), 4))
+    whole = viterbi(scores, starts, counts, 1.3)
+    for n in (1, 2, 7, 8, 39, 40):
+        monkeypatch.setattr("tapeloom.llm.language.STRETCH", n)
+        assert (viterbi(scores, starts, counts, 1.3) == whole).all()
+
+
+def test_a_million_words_in_time():
+    import time
+
+    rng = np.random.default_rng(4)
+    scores = rng.normal(size=(1_000_000, 4)).astype(np.float32)
+    began = time.perf_counter()
+    path = viterbi(scores, np.array([0]), np.array([1_000_000]), 2.0)
+    assert time.perf_counter() - began < 10 and len(path) == 1_000_000
