@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 #: While a table is written: bytes of an Arrow batch that goes to a Python worker, and rows that are read at once. Bounds of memory alone.
 LEAN = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 1024}
-#: Bytes of rows that a task holds until it writes them as one row group.
-GROUP = 16 << 20
+#: Bytes of rows that a task holds until it writes them as one row group, and of a page of a column: arrays of more than half a
+#: megabyte take up whole regions of an executor's heap, which fragments it.
+GROUP, PAGE = 16 << 20, 128 << 10
 _own: list[str] = []
 
 
@@ -57,7 +58,7 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tapeloom-{uuid.uuid4().hex}"
     asked = lean(spark)
     try:
-        df.write.option("parquet.block.size", GROUP).parquet(path)
+        df.write.option("parquet.block.size", GROUP).option("parquet.page.size", PAGE).option("parquet.dictionary.page.size", PAGE).parquet(path)
     finally:
         for name, own in asked.items():
             spark.conf.set(name, own)
