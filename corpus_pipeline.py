@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, fitting, lean
+from tapeloom.llm.common import cut, fitting, lean, release
 from tapeloom.llm.language import held_out, language_spans, train
 from tapeloom.llm.line_dedup import dedup_lines
 from tapeloom.llm.mixing import TREE, mix
@@ -69,6 +69,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            release(before)
+        before = docs
     return docs
