@@ -157,8 +157,8 @@ def _near(pairs: DataFrame, least: float, dim: int, kept: str) -> DataFrame:
     return pairs.select(*names, "ua", "ub").mapInArrow(run, kept)
 
 
-def _balls(classes: DataFrame, homes: DataFrame, codes: _Codes, cosine: float, dim: int, crowd: int) -> DataFrame | None:
-    """(id, ball) of classes that lie within half the angle of `cosine` about a mean of a bucket of more than crowd classes; None without such a bucket."""
+def _balls(classes: DataFrame, homes: DataFrame, looks: DataFrame, codes: _Codes, cosine: float, dim: int, crowd: int) -> DataFrame | None:
+    """(id, ball) of classes that lie within half the angle of `cosine` about the mean of a bucket of more than crowd classes that they stand in or look into; None without such a bucket."""
     key = ["label", "part", "bits"]
     crowded = cut(homes.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(*key, "n", F.monotonically_increasing_id().alias("bucket")))
     if not crowded.head(1):
@@ -199,7 +199,7 @@ def _balls(classes: DataFrame, homes: DataFrame, codes: _Codes, cosine: float, d
     where = _buckets(centres, codes, dim, True).join(centres.select("id", "n"), "id")
     largest = where.groupBy(*key).agg(F.max(F.struct("n", "id")).alias("most"))
     roots = cut(where.join(largest, key).groupBy(F.col("id").alias("bucket")).agg(F.max("most").alias("most")).select("bucket", F.col("most.id").alias("ball"), F.col("most.n").alias("n")))
-    asked = members.join(fitting(roots), "bucket").select("id", "ball", "n").distinct()
+    asked = members.union(looks.join(fitting(crowded), key).select("id", "bucket")).join(fitting(roots), "bucket").select("id", "ball", "n").distinct()
     asked = asked.join(fitting(centres.select(F.col("id").alias("ball"), F.col("unit").alias("ub"))), "ball").join(units.withColumnRenamed("unit", "ua"), "id")
     within = _near(asked, float(np.sqrt((1 + cosine) / 2)) + EPS, dim, "id long, ball long, n long")
     balls = cut(within.groupBy("id").agg(F.max(F.struct("n", "ball")).alias("most")).select("id", F.col("most.ball").alias("ball")))
@@ -229,7 +229,7 @@ def _met(homes: DataFrame, looks: DataFrame, balls: DataFrame | None, block: int
     return cut(asked.join(there, [*key, "of", "list"]).where(fits).select(F.least("id", "home").alias("a"), F.greatest("id", "home").alias("b")).distinct())
 
 
-def embedding_duplicates(rows: DataFrame, *, cosine: float = 0.98, sample: int = 20_000, crowd: int = 128, block: int = 2048, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
+def embedding_duplicates(rows: DataFrame, *, cosine: float = 0.98, sample: int = 20_000, crowd: int = 64, block: int = 2048, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of rows(vec_id, embedding, label).
 
     Two vectors are linked if their labels are equal (with label_col None all are) and their cosine in double precision is `cosine`, which is
@@ -273,8 +273,9 @@ def embedding_duplicates(rows: DataFrame, *, cosine: float = 0.98, sample: int =
     codes = _Codes(rotation, parts, apart + EPS)
 
     homes = cut(_buckets(classes, codes, dim, True))
-    balls = _balls(classes, homes, codes, cosine, dim, crowd)
-    met = _met(homes, _buckets(classes, codes, dim, False), balls, block)
+    looks = _buckets(classes, codes, dim, False)
+    balls = _balls(classes, homes, looks, codes, cosine, dim, crowd)
+    met = _met(homes, looks, balls, block)
     units = classes.select("id", "unit")
     pairs = met.join(units.select(F.col("id").alias("a"), F.col("unit").alias("ua")), "a").join(units.select(F.col("id").alias("b"), F.col("unit").alias("ub")), "b")
     links = cut(_near(pairs, cosine, dim, "a long, b long"))
