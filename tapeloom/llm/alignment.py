@@ -30,7 +30,7 @@ from tapeloom.llm.near_dup import run_hashes
 TOGETHER = 4096
 #: Linked pairs of ids that a task holds before it hands out their counts.
 PAIRS = 1 << 21
-PART = 1 << 21
+PART = 1 << 22
 LOW = (1 << 32) - 1
 
 
@@ -88,7 +88,7 @@ class Pair:
     bytes) and, with texts, the groups as text; None where the tokens' bytes are not the chunk's.
     """
 
-    def __init__(self, path_a: str, path_b: str, cached: int = 600_000, texts: bool = True):
+    def __init__(self, path_a: str, path_b: str, cached: int = 1_000_000, texts: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         self.a, self.b, self.cached, self.texts = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b), cached, texts
         self.a.encode_special_tokens = True
@@ -269,7 +269,8 @@ def aligned(docs: DataFrame, paths: tuple[str, str], *, common: int = 1 << 17, i
             hit = often[place] == part.pairs if len(often) else np.zeros(len(part.pairs), bool)
             of = np.repeat(np.arange(len(part.known)), part.sizes)
             each = np.zeros((5, len(part.known)), np.int64)
-            each[:3] = np.array([x[:3] for x in part.known], np.int64).reshape(-1, 3).T
+            for i in range(3):
+                each[i] = [x[i] for x in part.known]
             np.add.at(each[3], of[hit], is_best[place[hit]].astype(np.int64))
             np.add.at(each[4], of[hit], own[place[hit]])
             sums = np.zeros((6, n), np.int64)
