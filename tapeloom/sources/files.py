@@ -8,6 +8,7 @@ from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tapeloom.operators.runlog import payload_fault
 
@@ -59,7 +60,7 @@ def read_texts(spark: SparkSession, inputs: Sequence[str]) -> DataFrame:
     """(path, input_no, text) of the text files that paths and globs name: bad bytes replaced, line feeds for all line ends, empty files as empty texts.
 
     An input is a glob (* ? and sets in brackets) if any file matches it, else a path as it stands, whatever letters are in it. A file
-    that several inputs name comes once, under the place of the first of them: input_no counts the inputs from 0, and within one files are told apart by path.
+    that several inputs name comes once, in the place of the first of them: input_no counts the files from 0, by input and within one by path.
     FileNotFoundError for an input that names nothing, ValueError for a folder, and for names that begin with an underscore, which
     Spark's readers pass over. No inputs give an empty table.
     Spark lists the files of a glob, and its tasks read each by the path that its status gives. Its readers leave out empty files, so
@@ -69,6 +70,7 @@ def read_texts(spark: SparkSession, inputs: Sequence[str]) -> DataFrame:
     globs: list[tuple[int, str, str]] = []  # place, glob, pattern of its paths
     plain: list[tuple[str, int]] = []
     empty: list[tuple[str, int, str]] = []
+    n = len(inputs)
     for i, item in enumerate(inputs):
         place = jvm.org.apache.hadoop.fs.Path(_as_glob(item))
         fs = place.getFileSystem(conf)
@@ -83,6 +85,7 @@ def read_texts(spark: SparkSession, inputs: Sequence[str]) -> DataFrame:
             own = _matcher(full)
             empty += [(p, i, "") for p in _empty(jvm, found) if re.fullmatch(own, p) and not any(re.fullmatch(m, p) for _, _, m in globs) and p not in dict(plain) and p not in {x for x, _, _ in empty}]
             globs.append((i, full, own))
+            n += len(found)
             continue
         place = jvm.org.apache.hadoop.fs.Path(item)
         if not fs.exists(place):
@@ -110,7 +113,10 @@ def read_texts(spark: SparkSession, inputs: Sequence[str]) -> DataFrame:
         # a file below a folder that came to be since then
         strange = F.when(~F.col("path").rlike(f"\\A(?:{own})\\z"), F.raise_error(F.concat(F.lit("Input must name files alone: "), "path")))
         out = out.unionByName(rows.select(F.coalesce(strange.cast("string"), "path").alias("path"), F.lit(i).alias("input_no"), "text"))
-    return out
+    # names alone are put in order; up to a million of them are sent to the tasks that read, beyond that texts and numbers meet in a shuffle
+    place = F.row_number().over(Window.orderBy("input_no", "path")) - 1
+    numbers = out.select("path", place.alias("_no"))
+    return out.join(F.broadcast(numbers) if n <= 1_000_000 else numbers, "path").select("path", F.col("_no").alias("input_no"), "text")
 
 
 def out_name(path: Column | str, clean: str | None = None, redact: str | None = None) -> Column:

@@ -29,7 +29,7 @@ def test_names_of_any_letters(spark, tmp_path):
     assert set(texts(read_texts(spark, [f"{tmp_path}/[!a-h]*.txt"]))) >= {"i,j.txt", "k#l.txt", "m?n.txt"}
     got = read_texts(spark, [f"{tmp_path}/c%20d.txt", f"{tmp_path}/[ac]*.txt", f"{tmp_path}/a+b.txt", f"{tmp_path}/*.txt"]).collect()
     assert len(got) == len({r.path for r in got}) == len(names)
-    assert {os.path.basename(r.path): r.input_no for r in got if r.input_no < 3} == {"c%20d.txt": 0, "a+b.txt": 1}
+    assert {os.path.basename(r.path): r.input_no for r in got if r.input_no < 2} == {"c%20d.txt": 0, "a+b.txt": 1}
 
 
 def test_inputs_that_are_no_files(spark, tmp_path):
@@ -54,7 +54,8 @@ def test_many_files(spark, tmp_path):
     for i in range(3000):
         (tmp_path / f"f+{i}.txt").write_text(str(i))
     got = read_texts(spark, [f"{tmp_path}/f+1*.txt", f"{tmp_path}/*.txt"])
-    assert got.groupBy("input_no").agg(F.count("*").alias("n")).orderBy("input_no").collect() == [(0, 1111), (1, 1889)]
+    assert got.groupBy((F.col("input_no") < 1111).alias("first"), F.col("path").contains("/f+1").alias("one")).count().orderBy("first").collect() == [(False, False, 1889), (True, True, 1111)]
+    assert got.agg(F.countDistinct("input_no"), F.max("input_no")).first() == (3000, 2999)
     assert got.agg(F.sum(F.col("text").cast("long"))).first()[0] == sum(range(3000))
 
 
