@@ -34,7 +34,10 @@ def _at_steps(steps: DataFrame, segments: DataFrame, mode: str, range_s: float |
     key = ["media_id", "r"] if range_s else ["media_id"]
     before, after = Window.unboundedPreceding, Window.currentRow
     back = F.last("p", ignorenulls=True).over(Window.partitionBy(*key).orderBy("t", "kind").rowsBetween(before, after))
-    ahead = F.last("p", ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc("t"), F.desc("kind")).rowsBetween(before, after))
+    if mode == "previous":  # what comes ahead counts before the first step alone: no second sort
+        ahead = F.min("p").over(Window.partitionBy(*key))
+    else:
+        ahead = F.last("p", ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc("t"), F.desc("kind")).rowsBetween(before, after))
     met = rows.select(*key, "t", "kind", "seg_no", back.alias("a"), ahead.alias("b")).where("kind = 1")
     if range_s:
         # one row for each range of a recording

@@ -38,7 +38,7 @@ def merge_segments(segments: DataFrame, *, min_words: int = 8, min_s: float = 2.
     Recordings of more than limit segments are merged in chunks.
     """
     clean = segments.select("media_id", "seg_no", "start_s", "end_s", clean_ws(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
-    long = long_recordings(clean, limit)
+    long = long_recordings(segments, limit)
     if long is None:
         return _folded(clean, min_words, min_s)
     part = merged(clean.join(long, "media_id", "left_semi").withColumn("_words", words(F.col("text"))), min_words, min_s, limit)
