@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes and reads again
 for the next. All stages but the last return the columns of documents; further columns of the input
 are not read, whatever their names, and an empty table gives an empty one. As a stage's result is
-written after it returns, stages leave the session's settings for small batches, those of lean(), set.
+written after it returns, stages leave the session's settings for small batches, those of lean(), set; run() puts them back.
 """
 
 from __future__ import annotations
@@ -69,10 +69,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
-        if before is not None:
-            release(before)
-        before = docs
+    before, asked = None, lean(spark)
+    try:
+        for _, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir))
+            if before is not None:
+                release(before)
+            before = docs
+    finally:
+        for name, own in asked.items():
+            spark.conf.set(name, own)
     return docs

@@ -8,7 +8,7 @@ from test_packing import check as check_packed
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from tapeloom.llm.common import cut
+from tapeloom.llm.common import LEAN, cut
 from tapeloom.llm.language import _scripts, _trigrams, held_out, letters, train
 
 
@@ -107,7 +107,11 @@ def test_packed(stages):
 
 def test_run_gives_the_last_stage(spark, sf, stages):
     want = stages["packing"][1]
+    own = {name: "8192" if name.endswith("BatchSize") else str(64 << 20) for name in LEAN}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     got = entry.queries()["pipeline"](spark, sf)
+    assert {name: spark.conf.get(name) for name in LEAN} == own
     assert got.columns == want.columns
     count = lambda df: sorted(map(tuple, df.groupBy("doc_id", "doc_tokens").sum("length").collect()))
     assert count(got) == count(want)
