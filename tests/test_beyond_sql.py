@@ -8,3 +8,15 @@ def test_a_hit_has_its_own_place(spark, tmp_path):
     spark.createDataFrame([(812345,), (388888,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     rows = QUERIES["redact_hit_places"](spark, str(tmp_path)).where("label = 'ZIP'").collect()
     assert {(r.doc_id, r.match, r.orig_start, r.orig_end, r.original) for r in rows} == {(812345, "12345", 167, 172, "12345"), (388888, "38888", 171, 176, "38888")}
+
+
+def texts_of(spark, path, texts, name):
+    """The rows of a query over documents of these texts."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return QUERIES[name](spark, str(path))
+
+
+def test_a_street_is_no_part_of_a_word(spark, tmp_path):
+    texts = ["von 82.197.113.214 geieein. Stää zu ü", "von 82.197.113.214 geieein. St zu ü", "ü1 Oak Hill Rd"]
+    got = texts_of(spark, tmp_path, texts, "redact_light").orderBy("doc_id").collect()
+    assert [r.text for r in got] == [texts[0], "von 82.197.113.[ADDRESS] zu ü", texts[2]]
