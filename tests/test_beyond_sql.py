@@ -20,3 +20,11 @@ def test_a_street_is_no_part_of_a_word(spark, tmp_path):
     texts = ["von 82.197.113.214 geieein. Stää zu ü", "von 82.197.113.214 geieein. St zu ü", "ü1 Oak Hill Rd"]
     got = texts_of(spark, tmp_path, texts, "redact_light").orderBy("doc_id").collect()
     assert [r.text for r in got] == [texts[0], "von 82.197.113.[ADDRESS] zu ü", texts[2]]
+
+
+STANDARD = ["von 82.197.113.214 geieein. Stää zu", "zip ü12345, 12345ß, 12345", "May 5ä, May 5, 2024", "my name is Annä, my name is Ann"]
+
+
+def test_numbers_dates_and_names_end_with_the_word(spark, tmp_path):
+    got = texts_of(spark, tmp_path, STANDARD, "redact_standard").orderBy("doc_id").collect()
+    assert [r.text for r in got] == [STANDARD[0], "zip ü12345, 12345ß, [ZIP]", "May 5ä, [DATE]", "my name is Annä, my name is [NAME]"]
