@@ -28,3 +28,9 @@ STANDARD = ["von 82.197.113.214 geieein. Stää zu", "zip ü12345, 12345ß, 1234
 def test_numbers_dates_and_names_end_with_the_word(spark, tmp_path):
     got = texts_of(spark, tmp_path, STANDARD, "redact_standard").orderBy("doc_id").collect()
     assert [r.text for r in got] == [STANDARD[0], "zip ü12345, 12345ß, [ZIP]", "May 5ä, [DATE]", "my name is Annä, my name is [NAME]"]
+
+
+def test_counts_are_of_whole_words(spark, tmp_path):
+    texts = [*STANDARD, "von 82.197.113.214 geieein. St zu ü"]
+    got = {r.label: r.n for r in texts_of(spark, tmp_path, texts, "redaction_counts").collect()}
+    assert got == {"ADDRESS": 1, "ZIP": 1, "DATE": 1, "NAME": 1}
