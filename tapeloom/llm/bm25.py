@@ -6,9 +6,11 @@ shard where it is, so postings are neither shuffled nor written.
 
 Rows are searched in rounds of growing size, each with the k-th best scores of the rounds before as
 thresholds: a shard hands out only what reaches them, a few times k rows for a query and round
-however many shards there are. Queries of few words are pruned by block-max WAND. For those of whole
-texts the lists of rare words are scored and the others, in a tenth of the rows or more, count by
-their block maxima first: only rows whose bound reaches the threshold get their exact score.
+however many shards there are. Queries of few words are pruned by block-max WAND. Those of whole texts
+and the rows of a shard are laid in tiles and groups of like vocabulary and length. Of a tile and a
+group words that are common in both are multiplied as matrices, the others' lists are added, all in
+single precision; what could reach the threshold, the error taken off, gets its exact score. Queries
+that can't reach it by the best score of each word in the group are left out of that group.
 
 Impacts are whole numbers (2**-24 each), so sums don't depend on their order and ties are ties.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heappush, heapreplace
 
 import numpy as np
@@ -26,20 +29,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import cut, slices
+from tapeloom.llm.common import cut, ragged, slices
 from tapeloom.llm.license_scan import FOLD
 from tapeloom.llm.near_dup import word_hashes
 
 BLOCK = 128
-#: rows of a block, by length, for queries of whole texts
-NARROW = 16
+#: queries of a tile and rows of a group, at most
+TILE, GROUP = 1 << 10, 1 << 11
+#: of a tile and a group the share of pairs that hold a word in both, from which on it is multiplied as a column
+DENSE = 0.004
+#: kinds of vocabulary, told apart by the words that most queries hold; they only order the work
+KINDS, COMMON = 8, 128
 #: a round has this many times the rows of all rounds before and one more
 GROWTH = 4
-#: characters in a shard
-SHARD = 1 << 24
+#: characters in a shard, and of it in what is cut into words at once
+SHARD, PIECE = 1 << 25, 1 << 22
 SCALE = 1 << 24
-#: scores and postings that a task holds for the queries of a chunk
-CELLS = 1 << 20
+#: postings that are added at once
+ADDED = 1 << 16
 K1, B = 1.2, 0.75
 NEVER = (1 << 63) - 1
 
@@ -54,25 +61,43 @@ def _statistics(docs: DataFrame) -> tuple[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([sum(len(terms_of(t.as_py())) for t in batch.column(0))], pa.int64())], names=["n", "words"])
+            texts = batch.column(0).fill_null("").to_pylist()
+            for part in slices(texts, SHARD):
+                blank = np.frombuffer(b" ".join([b"", *(t.encode("utf-8", "replace").translate(FOLD) for t in texts[part])]), np.uint8) == 32
+                yield pa.RecordBatch.from_arrays([pa.array([part.stop - part.start], pa.int64()), pa.array([np.count_nonzero(blank[:-1] > blank[1:])], pa.int64())], names=["n", "words"])
 
     n, words = docs.select("text").mapInArrow(run, "n long, words long").agg(F.sum("n"), F.sum("words")).first()
     return n or 0, words or 0
 
 
-def _postings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, rows, counts, lengths) of the words of texts, by term and then row; a row is a place in texts."""
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the place among them of each word in turn, and the number of words of each text."""
     folded = [t.encode("utf-8", "replace").translate(FOLD) for t in texts]
     terms, at = word_hashes(b" ".join(folded))
-    rows = np.searchsorted(np.cumsum([len(t) + 1 for t in folded]), at, "right").astype(np.int32)
-    lengths = np.bincount(rows, minlength=len(folded))
-    terms = terms.view(np.int64)
-    by = np.lexsort((rows, terms))
-    terms, rows = terms[by], rows[by]
-    starts = np.flatnonzero(np.concatenate(([len(terms) > 0], (terms[1:] != terms[:-1]) | (rows[1:] != rows[:-1]))))
-    counts = np.diff(np.append(starts, len(terms)))
-    terms, rows = terms[starts], rows[starts]
-    return terms, rows, counts, lengths[rows]
+    lengths = np.diff(np.searchsorted(at, np.cumsum([len(t) + 1 for t in folded])), prepend=0)
+    coded = pa.array(terms.view(np.int64)).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy(), lengths
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values of x start, and their sizes."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(x)))
+
+
+def _postings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, rows, counts, lengths) of the words of texts, by term and then row; a row is a place in texts."""
+    terms, code, lengths = _tokens(texts)
+    order = np.argsort(terms)
+    place = np.empty(len(terms), np.int64)
+    place[order] = np.arange(len(terms))
+    key = place[code] << 32 | np.repeat(np.arange(len(texts)), lengths)
+    key.sort()
+    starts, counts = _runs(key)
+    rows = (key[starts] & 0xFFFFFFFF).astype(np.int32)
+    return terms[order][key[starts] >> 32], rows, counts, lengths[rows]
 
 
 def _held(docs: DataFrame) -> DataFrame:
@@ -82,8 +107,9 @@ def _held(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
             for part in slices(texts, SHARD):
-                terms, n = np.unique(_postings(texts[part])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], names=["term", "df"])
+                terms = _postings(texts[part])[0]
+                starts, n = _runs(terms)
+                yield pa.RecordBatch.from_arrays([pa.array(terms[starts]), pa.array(n)], names=["term", "df"])
 
     return docs.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
@@ -179,6 +205,53 @@ class Queries:
         self.terms, first, at = np.unique(term, return_index=True, return_inverse=True)
         self.idf, self.at, self.n = idf[first], at[by].astype(np.int32), n[by]
 
+    @cached_property
+    def kinds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The column of each common word (else -1), the middle of each kind, and the kind of each query."""
+        common = np.argsort(-np.bincount(self.at, minlength=len(self.terms)), kind="stable")[:COMMON]
+        column = np.full(len(self.terms), -1, np.int32)
+        column[common] = np.arange(len(common))
+        own = column[self.at]
+        held = _held_common(len(self.ids), np.repeat(np.arange(len(self.ids)), np.diff(self.bounds))[own >= 0], own[own >= 0])
+        middle = held[:1]
+        while len(middle) < KINDS:
+            middle = np.concatenate((middle, held[[np.argmin((held @ middle.T).max(1))]]))
+        for _ in range(8):
+            kind = (held @ middle.T).argmax(1)
+            for i in np.unique(kind):
+                total = held[kind == i].sum(0)
+                middle[i] = total / (np.linalg.norm(total) or 1)
+        return column, middle.T.copy(), (held @ middle.T).argmax(1)
+
+    @cached_property
+    def tiles(self) -> list[tuple[np.ndarray, ...]]:
+        """Of each tile its queries, their distinct words and in how many each is; then of each word of each query its place among those, the query's and its count."""
+        sizes, kind, out = np.diff(self.bounds), self.kinds[2], []
+        order = np.lexsort((sizes, kind))
+        for part in _stretches(kind[order], TILE):
+            who = order[part]
+            own = ragged(self.bounds[who], sizes[who])
+            words, at, n = np.unique(self.at[own], return_inverse=True, return_counts=True)
+            out.append((who, words, n, at.astype(np.int32), np.repeat(np.arange(len(who), dtype=np.int16), sizes[who]), self.n[own].astype(np.float32)))
+        return out
+
+
+def _held_common(n: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """For each of n rows a vector of length 1 (or 0) by the common words that it holds."""
+    out = np.zeros((n, COMMON), np.float32)
+    out[rows, columns] = 1
+    out -= out.mean(1, keepdims=True)
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1)
+
+
+def _stretches(x: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive slices of equal values of x, of most at most each."""
+    for start, size in zip(*(a.tolist() for a in _runs(x)), strict=True):
+        n = -(-size // most)
+        for i in range(n):
+            yield slice(start + size * i // n, start + size * (i + 1) // n)
+
 
 def _best(q: Queries, texts: list[str], mean: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of the query, row of texts, score) of the k best of texts for each query of few words, the smaller rows at ties; block-max WAND."""
@@ -207,69 +280,168 @@ def _asked(q: Queries, terms: np.ndarray, *columns: np.ndarray) -> list[np.ndarr
     return [place[asked], *(c[asked] for c in columns)]
 
 
-def _best_whole(q: Queries, texts: list[str], ids: np.ndarray, mean: float, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the query, row of texts, score) of those of the k best of texts, the smaller ids at ties, that score least[query] or more.
+def _add(sums: np.ndarray, to: np.ndarray, starts: np.ndarray, sizes: np.ndarray, weights: np.ndarray | None, rows: np.ndarray, scores: np.ndarray) -> None:
+    """Add each run of postings, times its weight, to sums from its place on."""
+    ends = np.cumsum(sizes)
+    cuts = np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + ADDED, ADDED)).tolist()
+    for part in map(slice, cuts[:-1], cuts[1:]):
+        if part.stop > part.start:
+            n = sizes[part]
+            own = ragged(starts[part], n)
+            place = np.repeat(to[part], n)
+            place += rows[own]
+            more = scores[own]
+            if weights is not None:
+                more *= np.repeat(weights[part], n)
+            np.add.at(sums, place, more)
+
+
+class _Group:
+    """Rows of a shard of like vocabulary and length, and their postings by word and then row."""
+
+    def __init__(self, rows: np.ndarray, places: np.ndarray, own: np.ndarray, scores: np.ndarray):
+        self.rows, self.places, self.own, self.exact = rows, places, own.astype(np.int32), scores
+        self.scores = scores.astype(np.float32)
+        self.starts, self.sizes = _runs(places)
+        self.tops = np.maximum.reduceat(self.scores, self.starts)
+        self.words = places[self.starts]
+        self.by_row = np.sort(own << 32 | np.arange(len(own))) & 0xFFFFFFFF
+        self.of_row = np.searchsorted(own[self.by_row], np.arange(len(rows) + 1))
+
+    def sums(self, tile: tuple[np.ndarray, ...], at: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the tile, about the scores of the rows) of those queries of a tile that can reach their bound. at: the place of each word of the queries among the group's, or -1."""
+        who, words, n, word, query, weight = tile
+        at = at[words]
+        here = at >= 0
+        may = np.bincount(query, weight * np.where(here, self.tops[at], 0)[word], len(who)) >= bound
+        who = np.flatnonzero(may)
+        if len(who) < len(may):
+            own = np.flatnonzero(may[query])
+            word, query, weight = word[own], (np.cumsum(may) - 1)[query[own]], weight[own]
+            n = np.bincount(word, minlength=len(words))
+        size = np.where(here, self.sizes[at], 0)
+        many = n * size >= max(1, DENSE * len(who) * len(self.rows))
+        column = np.full(len(words), -1, np.int32)
+        column[many] = np.arange(np.count_nonzero(many))
+        right = np.zeros((np.count_nonzero(many), len(self.rows)), np.float32)
+        own = ragged(self.starts[at[many]], size[many])
+        right[np.repeat(np.arange(len(right)), size[many]), self.own[own]] = self.scores[own]
+        left = np.zeros((len(who), len(right)), np.float32)
+        own = np.flatnonzero(column[word] >= 0)
+        left[query[own], column[word[own]]] = weight[own]
+        sums = left @ right
+        size[many] = 0
+        size, start = size[word], self.starts[at][word]
+        for one in (True, False):  # most words stand in a query once
+            run = np.flatnonzero((size > 0) & ((weight == 1) == one))
+            _add(sums.reshape(-1), query[run].astype(np.int64) * len(self.rows), start[run], size[run], None if one else weight[run], self.own, self.scores)
+        return who, sums
+
+    def scored(self, q: Queries, queries: np.ndarray, rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The exact scores of pairs of a query and a row, which come by row. weight: a zero for each word of the queries, as which it is left."""
+        out = np.empty(len(rows), np.int64)
+        for start, n in zip(*(a.tolist() for a in _runs(rows)), strict=True):
+            own = self.by_row[self.of_row[rows[start]] : self.of_row[rows[start] + 1]]
+            weight[self.places[own]] = self.exact[own]
+            asked = queries[start : start + n]
+            sizes = q.bounds[asked + 1] - q.bounds[asked]
+            at = ragged(q.bounds[asked], sizes)
+            out[start : start + n] = np.add.reduceat(weight[q.at[at]] * q.n[at], np.cumsum(sizes) - sizes)
+            weight[self.places[own]] = 0
+        return out
+
+
+class _Shard:
+    """Rows of which only the words that q asks for are kept, until they make groups."""
+
+    def __init__(self, q: Queries):
+        self.q, self.size, self.parts = q, 0, []
+
+    def add(self, ids: np.ndarray, texts: list[str]) -> None:
+        terms, code, lengths = _tokens(texts)
+        place = np.minimum(np.searchsorted(self.q.terms, terms), len(self.q.terms) - 1).astype(np.int32)
+        asked = (self.q.terms[place] == terms)[code]
+        rows = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        self.parts.append((ids, lengths, place[code[asked]], rows[asked]))
+        self.size += sum(map(len, texts))
+
+    def groups(self, mean: float) -> Iterator[_Group]:
+        """The groups of its rows, numbered as they came."""
+        lengths, place = (np.concatenate([x[c] for x in self.parts]) for c in (1, 2))
+        row = np.repeat(np.cumsum([0, *(len(x[0]) for x in self.parts)])[:-1], [len(x[3]) for x in self.parts])
+        row += np.concatenate([x[3] for x in self.parts])
+        self.ids, self.parts = np.concatenate([x[0] for x in self.parts]), []
+        column, middle, _ = self.q.kinds
+        common = column[place]
+        kind = (_held_common(len(lengths), row[common >= 0], common[common >= 0]) @ middle).argmax(1)
+        order = np.lexsort((-lengths, kind))
+        parts = list(_stretches(kind[order], GROUP))
+        to = np.empty(len(lengths), np.int64)
+        bits, bits_own = len(self.q.terms).bit_length(), GROUP.bit_length()
+        for i, part in enumerate(parts):
+            to[order[part]] = i << (bits + bits_own) | np.arange(part.stop - part.start)
+        key = to[row]
+        del row
+        key |= place.astype(np.int64) << bits_own
+        key.sort()
+        starts, counts = _runs(key)
+        key = key[starts]
+        cuts = np.searchsorted(key >> (bits + bits_own), np.arange(len(parts) + 1)).tolist()
+        for part, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True):
+            rows, place, own = order[part], key[a:b] >> bits_own & ((1 << bits) - 1), key[a:b] & ((1 << bits_own) - 1)
+            if b > a:
+                yield _Group(rows, place, own, np.rint(impact(counts[a:b], lengths[rows][own], mean) * self.q.idf[place] * SCALE).astype(np.int64))
+
+
+def _shards(q: Queries, batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
+    """Shards of batches(id, text), of about SHARD characters each whatever the size of a batch."""
+    shard = _Shard(q)
+    for batch in batches:
+        ids, texts = batch.column(0).to_numpy(), batch.column(1).fill_null("").to_pylist()
+        for part in slices(texts, min(SHARD, PIECE)):
+            shard.add(ids[part], texts[part])
+            if shard.size >= SHARD:
+                yield shard
+                shard = _Shard(q)
+    if shard.parts:
+        yield shard
+
+
+def _best_whole(shard: _Shard, mean: float, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, id, score) of those of the k best rows of a shard, the smaller ids at ties, that score least[query] or more; some others with them.
 
     Raises least where a k-th score is higher.
     """
-    terms, rows, counts, lengths = _postings(texts)
-    size_of = np.zeros(len(texts), np.int64)
-    size_of[rows] = lengths
-    order = np.argsort(size_of, kind="stable")  # rows of like length share a block, which makes its maxima tight
-    at_row = np.empty(len(texts), np.int64)
-    at_row[order] = np.arange(len(texts))
-    place, rows, counts, lengths = _asked(q, terms, at_row[rows], counts, lengths)
-    size = np.bincount(place, minlength=len(q.terms))
-    start = np.cumsum(size) - size
-    scores = np.rint(impact(counts, lengths, mean) * q.idf[place] * SCALE).astype(np.int64)
-    top = np.zeros(len(q.terms))
-    np.maximum.at(top, place, scores)
-    # sums of whole numbers below 2**53 are exact as floats too
-    exact = np.add.reduceat(q.n * top[q.at], q.bounds[:-1]).max() < 1 << 52
-    scores = scores.astype(np.float64 if exact else np.int64)
-    weights = q.n.astype(scores.dtype)
-    common = np.flatnonzero(10 * size >= max(10, len(texts)))
-    column = np.full(len(q.terms), -1, np.int32)
-    column[common] = np.arange(len(common))
-    blocks = -(-len(texts) // NARROW)
-    dense = np.zeros((blocks * NARROW, len(common)), scores.dtype)
-    there = column[place] >= 0
-    dense[rows[there], column[place[there]]] = scores[there]
-    tops = dense.reshape(blocks, NARROW, len(common)).max(1).T.copy()
-    dense = dense[: len(texts)]
-    rare = np.where(column < 0, size, 0)
-    ends = np.cumsum(np.add.reduceat(rare[q.at], q.bounds[:-1]) + len(texts) + len(common))
+    q = shard.q
+    # a sum in single precision is off by a 2**-24th for each word of the query at most, as scores aren't negative; twice that is taken off
+    exact = 1 - (np.diff(q.bounds) + 8) * 2.0**-23
+    at, weight = np.full(len(q.terms), -1, np.int32), np.zeros(len(q.terms), np.int64)
     out = [(np.zeros(0, np.int64),) * 3]
-    i = 0
-    while i < len(q.ids):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CELLS, "right")))
-        a, b = q.bounds[i], q.bounds[j]
-        of, t, w = np.repeat(np.arange(j - i), np.diff(q.bounds[i : j + 1])), q.at[a:b], weights[a:b]
-        matrix = np.zeros((j - i, len(common)), scores.dtype)
-        often = column[t] >= 0
-        matrix[of[often], column[t[often]]] = w[often]
-        n = rare[t]
-        at = np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        sums = np.zeros((j - i, len(texts)), scores.dtype)
-        np.add.at(sums.reshape(-1), np.repeat(of * len(texts), n) + rows[at], scores[at] * np.repeat(w, n))
-        bound = np.repeat(matrix @ tops, NARROW, axis=1)[:, : len(texts)] + sums
-        may = bound >= np.maximum(least[i:j, None], 1)
-        many = may.sum(1) * 16 > len(texts)
-        if many.any():
-            sums[many] += matrix[many] @ dense.T
-        for one in np.flatnonzero(~many):
-            own = np.flatnonzero(may[one])
-            sums[one, own] += dense[own] @ matrix[one]
-        sums[~may] = 0
-        if len(texts) > k:
-            least[i:j] = np.maximum(least[i:j], np.partition(sums, -k, axis=1)[:, -k])
-        one, row = np.nonzero(sums >= np.maximum(least[i:j, None], 1))
-        score, row = sums[one, row].astype(np.int64), order[row]
-        by = np.lexsort((row, ids[row], -score, one))
-        one, row, score = one[by], row[by], score[by]
-        keep = np.arange(len(one)) - np.searchsorted(one, one) < k
-        out.append((one[keep] + i, row[keep], score[keep]))
-        i = j
+    for group in shard.groups(mean):
+        at[group.words] = np.arange(len(group.words))
+        for tile in q.tiles:
+            who = tile[0]
+            bound = (np.maximum(least[who], 1) * exact[who]).astype(np.float32) * np.float32(1 - 2**-22)
+            may, sums = group.sums(tile, at, bound)
+            who, bound = who[may], bound[may]
+            one, row = np.divmod(np.flatnonzero(sums >= bound[:, None]), len(group.rows))
+            many = np.bincount(one, minlength=len(who)) > 4 * k
+            for i in np.flatnonzero(many).tolist():  # only what could be among the k best here
+                bound[i] = max(bound[i], np.partition(sums[i], -k)[-k] * np.float32(exact[who[i]] ** 2 * (1 - 2**-22)))
+            if many.any():
+                high = sums[one, row] >= bound[one]
+                one, row = one[high], row[high]
+            by = np.argsort(row, kind="stable")
+            query, row = who[one[by]], row[by]
+            score, own = group.scored(q, query, row, weight), shard.ids[group.rows[row]]
+            by = np.lexsort((own, -score, query))
+            query, own, score = query[by], own[by], score[by]
+            nth = np.arange(len(query)) - np.searchsorted(query, query)
+            full = nth == k - 1
+            least[query[full]] = np.maximum(least[query[full]], score[full])
+            keep = (nth < k) & (score >= np.maximum(least[query], 1))
+            out.append((query[keep], own[keep], score[keep]))
+        at[group.words] = -1
     return tuple(np.concatenate([x[c] for x in out]) for c in range(3))
 
 
@@ -308,19 +480,21 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, n_terms: int | N
     bucket = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(GROWTH ** (rounds - 1)))
 
     def best(sent, least, part: DataFrame) -> DataFrame:
+        def named(query: np.ndarray, docs: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sent.value.ids[query]), pa.array(docs), pa.array(score)], names=["query_id", "doc_id", "score"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bound = least.value.copy()
+            if n_terms is None and len(sent.value.ids):
+                for shard in _shards(sent.value, batches):
+                    yield named(*_best_whole(shard, mean, k, bound))
+                return
             for batch in batches:
                 ids, texts = batch.column(0).to_numpy(), batch.column(1).fill_null("").to_pylist()
                 for own in slices(texts, SHARD) if len(sent.value.ids) else ():
-                    if n_terms is None:
-                        query, row, score = _best_whole(sent.value, texts[own], ids[own], mean, k, bound)
-                        docs = ids[own][row]
-                    else:
-                        by = np.argsort(ids[own], kind="stable")
-                        query, row, score = _best(sent.value, [texts[own.start + i] for i in by], mean, k)
-                        docs = ids[own][by][row]
-                    yield pa.RecordBatch.from_arrays([pa.array(sent.value.ids[query]), pa.array(docs), pa.array(score)], names=["query_id", "doc_id", "score"])
+                    by = np.argsort(ids[own], kind="stable")
+                    query, row, score = _best(sent.value, [texts[own.start + i] for i in by], mean, k)
+                    yield named(query, ids[own][by][row], score)
 
         return part.mapInArrow(run, "query_id long, doc_id long, score long")
 
