@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.llm.common import cut, ragged, slices
+from tapeloom.llm.common import cut, parts, ragged, slices
 from tapeloom.llm.license_scan import FOLD
 from tapeloom.llm.near_dup import word_hashes
 
@@ -43,7 +43,7 @@ KINDS, COMMON = 8, 128
 #: a round has this many times the rows of all rounds before and one more
 GROWTH = 4
 #: characters in a shard, and of it in what is cut into words at once
-SHARD, PIECE = 1 << 25, 1 << 22
+SHARD, PIECE = 1 << 25, 1 << 20
 SCALE = 1 << 24
 #: postings that are added at once
 ADDED = 1 << 16
@@ -203,7 +203,7 @@ class Queries:
         self.ids, starts = np.unique(query[by], return_index=True)
         self.bounds = np.append(starts, len(query))
         self.terms, first, at = np.unique(term, return_index=True, return_inverse=True)
-        self.idf, self.at, self.n = idf[first], at[by].astype(np.int32), n[by]
+        self.idf, self.at, self.n = idf[first], at[by].astype(np.int32), n[by].astype(np.int32)
 
     @cached_property
     def kinds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,8 +211,11 @@ class Queries:
         common = np.argsort(-np.bincount(self.at, minlength=len(self.terms)), kind="stable")[:COMMON]
         column = np.full(len(self.terms), -1, np.int32)
         column[common] = np.arange(len(common))
-        own = column[self.at]
-        held = _held_common(len(self.ids), np.repeat(np.arange(len(self.ids)), np.diff(self.bounds))[own >= 0], own[own >= 0])
+        held = np.empty((len(self.ids), COMMON), np.float32)
+        for i in range(0, len(self.ids), TILE):
+            ends = self.bounds[i : i + TILE + 1]
+            own = column[self.at[ends[0] : ends[-1]]]
+            held[i : i + TILE] = _held_common(len(ends) - 1, np.repeat(np.arange(len(ends) - 1), np.diff(ends))[own >= 0], own[own >= 0])
         middle = held[:1]
         while len(middle) < KINDS:
             middle = np.concatenate((middle, held[[np.argmin((held @ middle.T).max(1))]]))
@@ -367,27 +370,30 @@ class _Shard:
 
     def groups(self, mean: float) -> Iterator[_Group]:
         """The groups of its rows, numbered as they came."""
-        lengths, place = (np.concatenate([x[c] for x in self.parts]) for c in (1, 2))
-        row = np.repeat(np.cumsum([0, *(len(x[0]) for x in self.parts)])[:-1], [len(x[3]) for x in self.parts])
-        row += np.concatenate([x[3] for x in self.parts])
-        self.ids, self.parts = np.concatenate([x[0] for x in self.parts]), []
+        self.ids, lengths = (np.concatenate([x[c] for x in self.parts]) for c in (0, 1))
         column, middle, _ = self.q.kinds
-        common = column[place]
-        kind = (_held_common(len(lengths), row[common >= 0], common[common >= 0]) @ middle).argmax(1)
+        kind = []
+        for _, own, place, row in self.parts:
+            common = column[place]
+            kind.append((_held_common(len(own), row[common >= 0], common[common >= 0]) @ middle).argmax(1))
+        kind = np.concatenate(kind)
         order = np.lexsort((-lengths, kind))
-        parts = list(_stretches(kind[order], GROUP))
+        stretches = list(_stretches(kind[order], GROUP))
         to = np.empty(len(lengths), np.int64)
         bits, bits_own = len(self.q.terms).bit_length(), GROUP.bit_length()
-        for i, part in enumerate(parts):
+        for i, part in enumerate(stretches):
             to[order[part]] = i << (bits + bits_own) | np.arange(part.stop - part.start)
-        key = to[row]
-        del row
-        key |= place.astype(np.int64) << bits_own
+        key, at, first = np.empty(sum(len(x[2]) for x in self.parts), np.int64), 0, 0
+        for i, (ids, _, place, row) in enumerate(self.parts):
+            key[at : at + len(row)] = to[first : first + len(ids)][row] | place.astype(np.int64) << bits_own
+            at, first, self.parts[i] = at + len(row), first + len(ids), ()
+        self.parts = []
         key.sort()
         starts, counts = _runs(key)
-        key = key[starts]
-        cuts = np.searchsorted(key >> (bits + bits_own), np.arange(len(parts) + 1)).tolist()
-        for part, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True):
+        key, counts = key[starts], counts.astype(np.int32)
+        del starts
+        cuts = np.searchsorted(key, np.arange(len(stretches) + 1) << (bits + bits_own)).tolist()
+        for part, a, b in zip(stretches, cuts[:-1], cuts[1:], strict=True):
             rows, place, own = order[part], key[a:b] >> bits_own & ((1 << bits) - 1), key[a:b] & ((1 << bits_own) - 1)
             if b > a:
                 yield _Group(rows, place, own, np.rint(impact(counts[a:b], lengths[rows][own], mean) * self.q.idf[place] * SCALE).astype(np.int64))
@@ -396,13 +402,11 @@ class _Shard:
 def _shards(q: Queries, batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
     """Shards of batches(id, text), of about SHARD characters each whatever the size of a batch."""
     shard = _Shard(q)
-    for batch in batches:
-        ids, texts = batch.column(0).to_numpy(), batch.column(1).fill_null("").to_pylist()
-        for part in slices(texts, min(SHARD, PIECE)):
-            shard.add(ids[part], texts[part])
-            if shard.size >= SHARD:
-                yield shard
-                shard = _Shard(q)
+    for part, texts in parts(batches, 1, min(SHARD, PIECE)):
+        shard.add(part.column(0).to_numpy(), texts)
+        if shard.size >= SHARD:
+            yield shard
+            shard = _Shard(q)
     if shard.parts:
         yield shard
 

@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -130,3 +132,24 @@ def test_long_words_of_equal_polynomials_are_told_apart():
     for _ in range(11):
         a, b = a + b, b + a
     assert word_hashes(a)[0] != word_hashes(b)[0] and word_hashes(a)[0] == word_hashes(bytes(a))[0]
+
+
+def test_small_batches_make_one_shard_of_the_same_rows(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", [1 + i * i for i in range(26)], k=rng.randint(1, 60))) for _ in range(300)] + [None, ""]
+    terms, rows, counts, _ = bm25._postings([t or "" for t in texts[:40]])
+    table = pa.table({"query_id": pa.array(rows, pa.int64()), "term": terms, "idf": 1 + (terms % 7) / 7, "n": pa.array(counts, pa.int64())})
+    queries, batch = bm25.Queries(table), pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+
+    def best(size, piece, group, tile):
+        for name, value in (("PIECE", piece), ("GROUP", group), ("TILE", tile)):
+            monkeypatch.setattr(bm25, name, value)
+        queries.__dict__.pop("tiles", None)
+        shard, = bm25._shards(queries, iter([batch.slice(i, size) for i in range(0, len(texts), size)]))
+        query, row, score = bm25._best_whole(shard, 30.0, 5, np.zeros(len(queries.ids), np.int64))
+        found = sorted(zip(query.tolist(), (-score).tolist(), row.tolist(), strict=True))
+        return [x for q in range(40) for x in [f for f in found if f[0] == q][:5]]
+
+    want = best(len(texts), 1 << 20, 1 << 11, 1 << 10)
+    assert len(want) == 200
+    assert best(7, 100, 16, 8) == want and best(50, 1 << 20, 64, 1 << 10) == want
